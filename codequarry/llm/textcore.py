@@ -32,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the n+1 offsets of its rows; nulls are empty."""
-    col = column.fill_null("").cast(pa.large_string())
+    col = column.cast(pa.large_string()).fill_null("")
     n, first = len(col), col.offset
     offsets = np.frombuffer(col.buffers()[1], dtype=np.int64, count=n + first + 1)[first:]
     raw = col.buffers()[2]
