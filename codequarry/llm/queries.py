@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixture, quality, revisits, session, token_counts, toxicity
+from . import bpe, embedding_dedup, media, mixture, quality, revisits, session, token_counts, toxicity
 from .labelled import held_out
 
 
@@ -71,6 +71,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.small_batches(spark)
     return media.text_media(table(spark, sf_dir, "documents"))
@@ -96,5 +100,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op5_signature_sniffing, op7_toxic_spans, op8_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op4_embedding_near_dedup, op5_signature_sniffing, op7_toxic_spans, op8_quality_rules, op10_byte_bpe)
 }
