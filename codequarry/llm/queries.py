@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, media, mixture, quality, revisits, session, token_counts, toxicity
+from . import bpe, embedding_dedup, jaccard_join, media, mixture, quality, revisits, session, token_counts, toxicity
 from .labelled import held_out
 
 
@@ -92,6 +92,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -100,5 +104,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op4_embedding_near_dedup, op5_signature_sniffing, op7_toxic_spans, op8_quality_rules, op10_byte_bpe)
+    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op4_embedding_near_dedup, op5_signature_sniffing, op7_toxic_spans, op8_quality_rules, op9_ngram_jaccard_join, op10_byte_bpe)
 }
