@@ -11,12 +11,18 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``limit`` labelled rows that aren't held out, chosen by a hash of the id.
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of all labelled rows that aren't held out.
 
     Labels other than 0 and 1 are ignored, of repeated labels the largest counts.
     """
-    ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    usable = F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    return labels.where(usable).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, zeros: int, ones: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``zeros`` and ``ones`` training rows of the two classes, chosen by a hash of the id."""
+    ids = training_labels(labels, label)
+    first = [ids.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, zeros), (1, ones))]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "doc_id")  # at most `limit` ids
+    return rows.join(F.broadcast(first[0].unionByName(first[1])), "doc_id")  # at most zeros + ones ids

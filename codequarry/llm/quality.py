@@ -20,20 +20,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import training_rows
+from .labelled import training_labels, training_rows
 from .mixture import word_count
 
-#: Labelled documents to fit on, at most.
-TRAINING_ROWS = 20_000
+#: Labelled documents of each class to fit on, at most.
+TRAINING_ROWS = 6000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = "#$%&*|<>{}[]=_~^@\\/+"
 STATISTICS = ["words", "mean_word", "upper", "marks", "digits", "shouts", "pipes", "stops", "lines", "repeated_lines", "repeated_parts"]
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of the whole text; shares are per character."""
+def with_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns ``more`` and the statistics of the whole text; shares are per character."""
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id"), body.alias("b"), F.length(body).alias("n"), word_count(F.col("text")).alias("words"))
+    d = docs.select("doc_id", *more, body.alias("b"), F.length(body).alias("n"), word_count(F.col("text")).alias("words"))
     without = lambda chars: F.col("n") - F.length(F.translate("b", chars, ""))
     only = lambda c: F.col("n") - F.length(F.replace("b", F.lit(c), F.lit("")))
     share = lambda x: x / F.greatest(F.col("n"), F.lit(1))
@@ -43,6 +43,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     repeated = lambda a: 1 - F.size(F.array_distinct(a)) / F.size(a)
     return d.select(
         "doc_id",
+        *more,
         F.col("words").cast("double").alias("words"),
         ((F.col("n") - only(" ") - only("\n")) / F.greatest(F.col("words"), F.lit(1))).alias("mean_word"),
         share(without(_UPPER)).alias("upper"),
@@ -153,10 +154,15 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str] = STATISTICS, *, trees: i
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> RuleModel:
-    """Fit on the statistics of at most ``limit`` labelled rows that aren't held out."""
-    rows = training_rows(docs, labels, "quality", limit)
-    table = with_statistics(rows).join(rows.select("doc_id", "label"), "doc_id").orderBy("doc_id", *STATISTICS).toPandas()
-    return fit(table[STATISTICS].to_numpy(float), table["label"].to_numpy(int))
+    """Fit on the statistics of at most ``limit`` labelled rows a class that aren't held out; the bias follows the classes' full counts."""
+    rows = training_rows(docs, labels, "quality", limit, limit)
+    table = with_statistics(rows, "label").orderBy("doc_id", *STATISTICS).toPandas()
+    y = table["label"].to_numpy(int)
+    model = fit(table[STATISTICS].to_numpy(float), y)
+    if model.rules:
+        full = {r["label"]: r["count"] for r in training_labels(labels, "quality").groupBy("label").count().collect()}
+        model.bias += float(np.log(full[1] / full[0]) - np.log(y.mean() / (1 - y.mean())))
+    return model
 
 
 def score_documents(docs: DataFrame, model: RuleModel) -> DataFrame:

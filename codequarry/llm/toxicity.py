@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import session
-from .labelled import training_rows
-from .textcore import _LOWER, mix, shingles, slices, text_buffer, word_hashes, word_spans
+from .labelled import training_labels, training_rows
+from .textcore import _LOWER, mix, row_ids, shingles, slices, text_buffer, word_hashes, word_spans
 
 SEQUENCE = 64
 BUCKETS = 1 << 16
-#: Labelled documents to fit on, at most.
-TRAINING_ROWS = 6000
+#: Clean and toxic labelled documents to fit on, at most.
+TRAINING_ROWS = (3000, 1000)
 #: Likelihood ratio from which a word or stem counts as tied to the label.
-TIED = 24.0
+TIED = 20.0
 _SALTS = [np.uint64(s) for s in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x94D049BB133111EB)]
 
 
@@ -68,7 +68,7 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np
 
 
 def buckets(keys: list[np.ndarray]) -> np.ndarray:
-    return np.stack([(mix(k) >> np.uint64(48)).astype(np.int64) for k in keys])
+    return np.stack([(mix(k) >> np.uint64(48)).astype(np.int32) for k in keys])
 
 
 def lanes(word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -115,28 +115,34 @@ def marginals(emission: np.ndarray, valid: np.ndarray, transitions: np.ndarray,
     return (out, expected) if pairs else out
 
 
-def copy_groups(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """For each text the first one with its least shingle: copies of one text must not count as separate evidence."""
-    sh, so = shingles(hashes, words)
-    out = np.arange(len(words) - 1)
-    some = np.diff(so) > 0
-    for salt in _SALTS[:3]:
-        least = np.minimum.reduceat(mix(sh ^ salt), so[:-1][some])
-        _, first, where = np.unique(least, return_index=True, return_inverse=True)
-        out[some] = np.minimum(out[some], out[some][first[where]])
+def copy_groups(least: np.ndarray) -> np.ndarray:
+    """For each text the first one with one of its least shingles: copies of one text must not count as separate evidence."""
+    out = np.arange(len(least))
+    for column in least.T:
+        _, first, where = np.unique(column, return_index=True, return_inverse=True)
+        out = np.minimum(out, out[first[where]])
     return out
 
 
 def tied_keys(keys: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Keys that occur in documents of the toxic class far more often than chance allows."""
-    pair = np.unique(np.stack([keys, doc.astype(np.uint64)], 1), axis=0)
-    key, where = np.unique(pair[:, 0], return_inverse=True)
-    hit = np.bincount(where, weights=toxic[pair[:, 1].astype(np.int64)], minlength=len(key))
-    seen = np.bincount(where, minlength=len(key))
+    """Keys that occur in documents of the toxic class far more often than chance allows.
+
+    ``keys`` and ``doc`` are distinct pairs, sorted by key.
+    """
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    hit = np.add.reduceat(toxic[doc], first)
+    seen = np.diff(np.append(first, len(keys)))
     rate = toxic[np.unique(doc)].mean()
     q = np.clip(hit / seen, 1e-9, 1 - 1e-9)
     ratio = 2 * (hit * np.log(q / rate) + (seen - hit) * np.log((1 - q) / (1 - rate)))
-    return key[(ratio >= TIED) & (q >= 0.8)]
+    return keys[first[(ratio >= TIED) & (q >= 0.8)]]
+
+
+def distinct_pairs(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((doc, keys))
+    keys, doc = keys[order], doc[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) if len(keys) else np.zeros(0, bool)
+    return keys[new], doc[new]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -161,44 +167,62 @@ def document_inputs(p: np.ndarray, word_offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(words)), top, np.log1p(total)], 1)
 
 
+def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row range, bytes, word starts and ends, and word offsets of each slice of the texts."""
+    data, offsets = text_buffer(texts)
+    for a, b in slices(offsets):
+        part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        yield a, b, part, *word_spans(part, off)
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
-    """The field's weights and the document score's, from labelled texts."""
+    """The field's weights and the document score's, from labelled texts, slice by slice."""
     empty = np.zeros((len(_SALTS), BUCKETS), np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         return Crf(empty, 0.0, np.zeros((2, 2)), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
-    data, offsets = text_buffer(texts)
-    starts, ends, words = word_spans(data, offsets)
-    keys = word_keys(data, starts, ends)
-    doc = np.repeat(np.arange(len(labels)), np.diff(words))
     toxic = labels.astype(float)
-    copy = copy_groups(word_hashes(data, starts, ends), words)
-    tag = np.zeros(len(starts), bool)
+    least = np.stack([np.arange(len(labels), dtype=np.uint64)] * 3, 1)
+    for a, b, data, starts, ends, words in parts(texts):
+        sh, so = shingles(word_hashes(data, starts, ends), words)
+        some = np.flatnonzero(np.diff(so))
+        for k, salt in enumerate(_SALTS[:3]):
+            if len(some):
+                least[a + some, k] = np.minimum.reduceat(mix(sh ^ salt), so[some])
+    copy = copy_groups(least)
+    tied = []
     for k in (0, 1, 2):
-        tied = tied_keys(keys[k], copy[doc], toxic)
-        tag |= np.isin(keys[k], tied)
-    tag &= labels[doc] == 1
-    feature = buckets(keys)
-    row, col, n = lanes(words)
-    held = np.zeros(n, bool)
-    held[col[tag]] = True
-    held |= np.arange(n) % max(1, n // max(1, 3 * int(held.sum()))) == 0  # sequences without a toxic word, for contrast
-    keep = held[col]
-    renumber = np.cumsum(held) - 1
-    row_k, col_k, f_k, y_k = row[keep], renumber[col[keep]], feature[:, keep], tag[keep]
-    lanes_n = int(held.sum())
+        found = []
+        for a, _, data, starts, ends, words in parts(texts):
+            found.append(distinct_pairs(word_keys(data, starts, ends)[k], copy[a + row_ids(np.diff(words))]))
+        keys, doc = distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        tied.append(tied_keys(keys, doc, toxic) if len(keys) else keys)
+    # Sequences with a tagged word, and three times as many others for contrast, spread evenly.
+    sets: list[tuple[np.ndarray, ...]] = []
+    lanes_n = 0
+    for a, _, data, starts, ends, words in parts(texts):
+        keys = word_keys(data, starts, ends)
+        tag = labels[a + row_ids(np.diff(words))] == 1
+        tag &= np.any([np.isin(keys[k], tied[k]) for k in (0, 1, 2)], axis=0)
+        row, col, n = lanes(words)
+        held = np.zeros(n, bool)
+        held[col[tag]] = True
+        held |= np.arange(n) % max(1, n // max(1, 3 * int(held.sum()))) == 0
+        keep = held[col]
+        renumber = np.cumsum(held) - 1 + lanes_n
+        lanes_n += int(held.sum())
+        sets.append((row[keep], renumber[col[keep]], buckets([x[keep] for x in keys]), tag[keep]))
+    row_k, col_k, y_k = (np.concatenate([s[i] for s in sets]) for i in (0, 1, 3))
+    f_k = np.concatenate([s[2] for s in sets], 1)
     valid = np.zeros((SEQUENCE, lanes_n), bool)
     valid[row_k, col_k] = True
-    y = np.zeros((SEQUENCE, lanes_n), np.int64)
+    y = np.zeros((SEQUENCE, lanes_n), np.int8)
     y[row_k, col_k] = y_k
-    seen = np.zeros((2, 2))
-    for i in (0, 1):
-        for j in (0, 1):
-            seen[i, j] = ((y[:-1] == i) & (y[1:] == j) & valid[1:]).sum()
+    seen = np.array([[((y[:-1] == i) & (y[1:] == j) & valid[1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
     weights, bias, moves = np.zeros((len(_SALTS), BUCKETS)), -2.0, np.zeros((2, 2))
     g2w, g2b, g2t = np.full(weights.shape, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     for _ in range(rounds):  # AdaGrad on the conditional likelihood
         e = np.zeros((SEQUENCE, lanes_n))
-        e[row_k, col_k] = weights[np.arange(len(_SALTS))[:, None], f_k].sum(0) + bias
+        e[row_k, col_k] = sum(weights[k][f_k[k]] for k in range(len(_SALTS))) + bias
         p, expected = marginals(e, valid, moves, pairs=True)
         gap = y_k - p[row_k, col_k]
         for k in range(len(_SALTS)):
@@ -211,20 +235,30 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
         g2t += g * g
         moves += 0.2 * g / np.sqrt(g2t)
     model = Crf(weights.astype(np.float32), float(bias), moves, np.zeros(3))
-    p = word_marginals(model, feature, words)
-    model.document = logistic(document_inputs(p, words), toxic)
+    inputs = [document_inputs(text_marginals(model, data, starts, ends, words), words) for _, _, data, starts, ends, words in parts(texts)]
+    model.document = logistic(np.concatenate(inputs), toxic)
     return model
 
 
+def text_marginals(model: Crf, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """P(toxic) of every word."""
+    return word_marginals(model, buckets(word_keys(data, starts, ends)), words) if len(starts) else np.zeros(0)
+
+
 def word_marginals(model: Crf, feature: np.ndarray, words: np.ndarray) -> np.ndarray:
     row, col, n = lanes(words)
     e = np.zeros((SEQUENCE, n))
     valid = np.zeros((SEQUENCE, n), bool)
     valid[row, col] = True
-    e[row, col] = model.weights[np.arange(len(_SALTS))[:, None], feature].sum(0) + model.bias
+    e[row, col] = sum(model.weights[k][feature[k]] for k in range(len(_SALTS))) + model.bias
     return marginals(e, valid, model.transitions)[row, col]
 
 
+def text_start(text: str) -> int:
+    """Characters before a text's first word."""
+    return len(text) - len(text.lstrip(" \t\n\v\f\r"))
+
+
 def runs(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: np.ndarray) -> list[dict]:
     """Stretches of words with marginals of at least one half, as character offsets."""
     hit = np.flatnonzero(p >= 0.5)
@@ -243,30 +277,33 @@ def score_documents(docs: DataFrame, model: Crf, *, spans: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
             score, found = np.zeros(batch.num_rows), []
-            for a, b in slices(offsets):
-                part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                s, e, w = word_spans(part, off)
-                p = word_marginals(model, buckets(word_keys(part, s, e)), w) if len(s) else np.zeros(0)
+            for a, b, part, s, e, w in parts(batch.column(1)):
+                p = text_marginals(model, part, s, e, w)
                 z = document_inputs(p, w) @ model.document
                 score[a:b] = model.constant if model.constant is not None else 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                if spans:
-                    for r in range(b - a):
-                        mine = slice(w[r], w[r + 1])
-                        if w[r] < w[r + 1] and p[mine].max() >= 0.5:
-                            chars = np.concatenate([[0], np.cumsum((part[off[r] : off[r + 1]] & 0xC0) != 0x80)])
-                            found.append(runs(p[mine], s[mine] - off[r], e[mine] - off[r], chars))
-                        else:
-                            found.append([])
+                for r in range(b - a) if spans else ():
+                    mine = slice(w[r], w[r + 1])
+                    if w[r] < w[r + 1] and p[mine].max() >= 0.5:
+                        first = s[w[r]]  # character offsets: bytes that don't continue a character
+                        lead = text_start(batch.column(1)[a + r].as_py())
+                        chars = np.concatenate([[0], np.cumsum((part[first : e[w[r + 1] - 1]] & 0xC0) != 0x80)]) + lead
+                        found.append(runs(p[mine], s[mine] - first, e[mine] - first, chars))
+                    else:
+                        found.append([])
             cols = [batch.column(0), pa.array(score)] + ([pa.array(found, arrow_spans)] if spans else [])
             yield pa.RecordBatch.from_arrays(cols, [k.name for k in kinds])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, T.StructType(kinds))
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Crf:
-    """Fit on at most ``limit`` labelled rows that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAINING_ROWS) -> Crf:
+    """Fit on at most ``limit`` clean and toxic labelled rows that aren't held out; the score's constant follows the classes' full counts."""
     session.small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic", limit).select("doc_id", "text", "label").toArrow().combine_chunks().sort_by("doc_id")
-    return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy().astype(np.int64))
+    rows = training_rows(docs, labels, "toxic", *limit).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    y = rows.column("label").to_numpy().astype(np.int64)
+    model = fit(rows.column("text").combine_chunks(), y)
+    if model.constant is None:
+        full = {r["label"]: r["count"] for r in training_labels(labels, "toxic").groupBy("label").count().collect()}
+        model.document[0] += np.log(full[1] / full[0]) - np.log(y.mean() / (1 - y.mean()))
+    return model
