@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, jaccard_join, media, mixture, quality, revisits, session, token_counts, toxicity
+from . import bpe, embedding_dedup, jaccard_join, media, mixture, quality, revisits, session, substring_dedup, token_counts, toxicity
 from .labelled import held_out
 
 
@@ -80,6 +80,10 @@ def op5_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -104,5 +108,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op4_embedding_near_dedup, op5_signature_sniffing, op7_toxic_spans, op8_quality_rules, op9_ngram_jaccard_join, op10_byte_bpe)
+    f.__name__: f for f in (op1_warc_revisits, op2_token_counts, op3_source_mix, op4_embedding_near_dedup, op5_signature_sniffing, op6_compact_windows, op7_toxic_spans, op8_quality_rules, op9_ngram_jaccard_join, op10_byte_bpe)
 }
