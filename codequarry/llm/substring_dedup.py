@@ -39,8 +39,9 @@ MIN_WORDS = 50
 FUNCTIONS = 4
 #: Functions whose windows must overlap before a pair is verified.
 ENOUGH = 2
-#: Shingles on one side of a window's owner that make its group: 5 of them, 4 words apart, are 21 words.
-CONTEXT = (0, 4, 8, 12, 16)
+#: Shingles on one side of a window's owner that make its group: together they are 27 words.
+#: One side of an owner in 46 shingles (50 words) or more always has as many.
+CONTEXT = (0, 5, 10, 15, 20, 22)
 #: Unmatched shingles inside a passage that don't end it: two edits side by side.
 GAP = 10
 _POSITION = np.uint64((1 << 28) - 1)

@@ -268,6 +268,20 @@ def runs(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, chars: np.ndarray)
     return out
 
 
+def document_scores(model: Crf, texts: pa.Array) -> np.ndarray:
+    score = np.zeros(len(texts))
+    for a, b, part, s, e, w in parts(texts):
+        score[a:b] = calibrated(model, text_marginals(model, part, s, e, w), w)
+    return score
+
+
+def calibrated(model: Crf, p: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Document scores from the words' marginals."""
+    if model.constant is not None:
+        return np.full(len(words) - 1, model.constant)
+    return 1 / (1 + np.exp(-np.clip(document_inputs(p, words) @ model.document, -30, 30)))
+
+
 def score_documents(docs: DataFrame, model: Crf, *, spans: bool = False) -> DataFrame:
     """doc_id, score and, if asked for, spans (array of start, end, p) of every whole text."""
     kinds = [T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]
@@ -280,8 +294,7 @@ def score_documents(docs: DataFrame, model: Crf, *, spans: bool = False) -> Data
             score, found = np.zeros(batch.num_rows), []
             for a, b, part, s, e, w in parts(batch.column(1)):
                 p = text_marginals(model, part, s, e, w)
-                z = document_inputs(p, w) @ model.document
-                score[a:b] = model.constant if model.constant is not None else 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                score[a:b] = calibrated(model, p, w)
                 for r in range(b - a) if spans else ():
                     mine = slice(w[r], w[r + 1])
                     if w[r] < w[r + 1] and p[mine].max() >= 0.5:
@@ -297,6 +310,18 @@ def score_documents(docs: DataFrame, model: Crf, *, spans: bool = False) -> Data
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, T.StructType(kinds))
 
 
+def below(docs: DataFrame, model: Crf, limit: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``limit``, with all their columns, in one pass."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(document_scores(model, batch.column(at)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAINING_ROWS) -> Crf:
     """Fit on at most ``limit`` clean and toxic labelled rows that aren't held out; the score's constant follows the classes' full counts."""
     session.small_batches(docs.sparkSession)
