@@ -1,10 +1,82 @@
-"""From raw documents to token ids: the training-data pipeline."""
+"""From raw documents to token ids: the training-data pipeline.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the next stage's docs.  All but the last return the columns
+of ``documents``.
+
+Null and empty texts pass the filtering stages: they are neither toxic nor near
+duplicates, hold no passages, weigh nothing in the mix, and have no tokens.
+Repeated rows are near duplicates of each other, so one stays.  Columns that
+``docs`` has beyond those of ``documents`` are carried along.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from codequarry.llm import bpe, jaccard_join, mixture, session, substring_dedup, toxicity
+from codequarry.llm.queries import table, tokenizer_file
+
+#: SQL can't express a random field or a vocabulary's merges; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below one half.  The field is trained on the labelled documents of ``sf_dir``."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.below(docs, model, 0.5)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join: the one with the smallest id.
+
+    A document without words or without an id is its own component.  Of rows
+    with one id the one with the smallest text digest stays.
+    """
+    same = jaccard_join.similar_documents(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.min("component_id").alias("component_"))
+    kept = same.where("id_ = component_").select("id_")
+    first = docs.groupBy("doc_id").agg(F.count("*").alias("rows_"), F.min(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("first_"))
+    repeated = first.where("doc_id is not null and rows_ > 1").select(F.col("doc_id").alias("rep_id_"), "first_")
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("id_"), "left_semi")
+    once = named.join(repeated, F.col("doc_id") == F.col("rep_id_"), "left_anti")
+    again = named.join(repeated, F.col("doc_id") == F.col("rep_id_")).where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("first_"))
+    again = again.withColumn("n_", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "lang"))).where("n_ = 1")
+    return once.unionByName(again.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; a text that is nothing else goes."""
+    found = session.stash(substring_dedup.repeated_passages(docs), "passages")
+    return substring_dedup.without_repeats(docs, found)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as the mix takes them: each as often as the block with its first word was selected."""
+    return mixture.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of the ids and of the decoded bytes, for each row."""
+    import public_tokenizers
+
+    session.small_batches(spark)
+    return bpe.encode_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", keep_one_of_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("source_mix", mix_sources),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn, each over what the one before it kept."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = session.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
