@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -32,6 +33,21 @@ def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts don't pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Joins of texts with ids test a Bloom filter of the ids in the scan; its size is bounded (8 MB) whatever their number.
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows of ``docs`` whose doc_id is in ``ids`` (column id).
+
+    ``ids`` is stored first, so that the scan of the texts can test a Bloom
+    filter of it: what is shuffled are the texts asked for and few more.
+    """
+    wanted = stash(ids.select("id").distinct(), "ids").where("id > -9223372036854775808")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return texts.join(wanted, "id", "left_semi")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
