@@ -113,8 +113,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     Only texts of documents in pairs are shuffled.  A leader's text travels once a
     pair; its set is remembered while its pairs follow each other.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(ids, "id", "left_semi")
+    texts = session.texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left = texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a")
     right = texts.withColumnRenamed("id", "b").withColumnRenamed("text", "text_b")
 
@@ -152,16 +151,21 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     session.small_batches(spark)
     signed = session.stash(signatures(docs, percent, common_shingles(docs)), "prefixes")
     some = signed.where("doc_id is not null and n_shingles > 0")
-    member = some.select("doc_id", "n_shingles", "digest")
-    classes = session.stash(member.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep")), "set-classes")
-    reps = some.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
-    reps = reps.dropDuplicates(["doc_id", "digest"])
     base = F.expr(f"cast(n_shingles - ((({percent} * n_shingles) + 99) div 100) + 1 as int)")
-    posts = reps.select("doc_id", "n_shingles", base.alias("base"), F.posexplode("prefix").alias("pos", "h"))
-
-    # Only elements that two classes hold can make a pair.
-    shared = posts.select("h", "doc_id").groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("leader")).where("df > 1")
-    posts = session.stash(posts.join(shared.hint("shuffle_hash"), "h"), "shared-elements")
+    member = session.stash(some.select("doc_id", "n_shingles", "digest").distinct(), "set-members")
+    classes = session.stash(member.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep")), "set-classes")
+    placed = member.join(classes, ["n_shingles", "digest"])
+    # A document of several sets, from rows with one id, is filtered by the range of their sizes.
+    per = placed.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max(base).alias("base"), F.count("*").alias("sets"), F.min("rep").alias("rep"))
+    per = session.stash(per.where("doc_id = rep or sets > 1").drop("rep"), "representatives")
+
+    # Only elements that two documents hold can make a pair; only (element, doc_id) is shuffled to find them.
+    posts = some.select("doc_id", F.posexplode("prefix").alias("pos", "h"))
+    twice = posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
+    posts = posts.join(twice.hint("shuffle_hash"), "h", "left_semi")
+    posts = session.stash(posts.join(per, "doc_id"), "shared-elements")
+    leaders = posts.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").drop("last")
+    posts = session.stash(posts.join(leaders, "h"), "class-elements")
 
     # Round one: each class against the leader that most of its elements name.
     votes = posts.where("doc_id <> leader and pos < base").groupBy("doc_id", "leader").count()
@@ -170,38 +174,42 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     joined = components(first)
 
     # Round two: elements that still lead from one component to others.
-    placed = posts.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    per = placed.groupBy("h", "component").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("cost")).where("cost > 1")
-    open_ = session.stash(placed.join(per, "h"), "open-elements")
+    placed = posts.drop("leader").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    cost = placed.groupBy("h", "component").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("cost")).where("cost > 1")
+    open_ = session.stash(placed.join(cost, "h"), "open-elements")
     costly = F.col("cost") > COSTLY
-    matches = open_.groupBy("doc_id", "n_shingles").agg(F.sum((costly & (F.col("pos") < F.col("base") + LENGTHEN)).cast("int")).alias("dear"))
+    matches = open_.groupBy("doc_id").agg(F.sum((costly & (F.col("pos") < F.col("base") + LENGTHEN)).cast("int")).alias("dear"))
     # A prefix is lengthened by one for each costly element in it, as far as it can be; else none is passed over.
-    open_ = open_.join(matches, ["doc_id", "n_shingles"])
-    can = F.col("dear") <= LENGTHEN
+    open_ = open_.join(matches, "doc_id")
+    can = (F.col("dear") <= LENGTHEN) & (F.col("sets") == 1)
     open_ = open_.withColumn("stuck", ~can).withColumn("matches", F.when(can, F.col("dear") + 1).otherwise(1)).where(F.col("pos") < F.col("base") + F.col("matches") - 1)
-    open_ = session.stash(open_.select("h", "doc_id", "n_shingles", "component", "pos", "matches", "stuck", costly.alias("costly")), "lengthened-prefixes")
+    carried = ["doc_id", "low", "high", "component", "pos", "base", "sets", "matches", "stuck"]
+    open_ = session.stash(open_.select("h", costly.alias("costly"), *carried), "lengthened-prefixes")
+    x = open_.select("h", "costly", *[F.col(c).alias(f"{c}_a") for c in carried])
+    y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in carried])
     least = lambda n: F.expr(f"(({percent} * {n}) + 99) div 100")
-    x = open_.select("h", "costly", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "n_shingles", "component", "pos", "matches", "stuck")])
-    y = open_.select(F.col("h"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n_shingles", "component", "pos", "matches", "stuck")])
-    need = F.expr(f"({percent} * (n_shingles_a + n_shingles_b) + {99 + percent}) div {100 + percent}")
-    reach = F.least(F.col("n_shingles_a") - F.col("pos_a"), F.col("n_shingles_b") - F.col("pos_b"))
-    fits = (F.col("n_shingles_a") >= least("n_shingles_b")) & (F.col("n_shingles_b") >= least("n_shingles_a"))
+    need = F.expr(f"({percent} * (low_a + low_b) + {99 + percent}) div {100 + percent}")
+    reach = F.least(F.col("low_a") - F.col("pos_a"), F.col("low_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
+    fits = (F.col("high_a") >= least("low_b")) & (F.col("high_b") >= least("low_a"))
     cheap = x.where("not costly").join(y, "h").where("doc_id_a > doc_id_b")
     # A costly element is passed over, except for those that could not lengthen their prefix.
-    dear = x.where("costly and stuck_a").join(y, "h").where("not stuck_b or doc_id_a > doc_id_b")
+    dear = x.where("costly and stuck_a").join(y, "h").where("doc_id_a <> doc_id_b and (not stuck_b or doc_id_a > doc_id_b)")
     pairs = cheap.unionByName(dear).where("component_a <> component_b").where(fits)
     # Matches before this one are bounded by the positions, those after it by what is left.
-    pairs = pairs.where(reach + F.least("pos_a", "pos_b") >= need)
-    pairs = pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"), F.least("matches_a", "matches_b").alias("wanted")).groupBy("a", "b").agg(F.count("*").alias("met"), F.min("wanted").alias("wanted"))
+    pairs = pairs.where((F.greatest("sets_a", "sets_b") > 1) | (reach >= need))
+    ends = [F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")]
+    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.min(F.least("matches_a", "matches_b")).alias("wanted"), F.max(F.greatest("sets_a", "sets_b")).alias("sets"))
+    pairs = session.stash(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
     # Of the required matches all but one may be costly elements that were passed over; they are looked up in the prefixes.
-    sure = pairs.where("met >= wanted").select("a", "b")
-    unsure = pairs.where("met < wanted")
-    held = reps.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.struct("n_shingles", "prefix")).alias("p"), F.count("*").alias("sets")).select("doc_id", "sets", base.alias("base"), F.col("p.prefix").alias("prefix"))
-    cut = lambda s: F.slice(F.col(f"prefix_{s}"), F.lit(1), F.col(f"base_{s}") + F.col("wanted").cast("int") - 1)
+    sure = pairs.where("met >= wanted or sets > 1").select("a", "b")
+    unsure = pairs.where("met < wanted and sets = 1").select("a", "b", F.col("wanted").cast("int").alias("wanted"))
+    sides = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = some.join(sides, "doc_id", "left_semi").select("doc_id", base.alias("base"), "prefix").dropDuplicates(["doc_id"])
+    cut = lambda s: F.slice(F.col(f"prefix_{s}"), F.lit(1), F.col(f"base_{s}") + F.col("wanted") - 1)
     for side in ("a", "b"):
-        unsure = unsure.join(held.select(F.col("doc_id").alias(side), F.col("sets").alias(f"sets_{side}"), F.col("base").alias(f"base_{side}"), F.col("prefix").alias(f"prefix_{side}")), side)
-    unsure = unsure.where((F.size(F.array_intersect(cut("a"), cut("b"))) >= F.col("wanted")) | (F.col("sets_a") > 1) | (F.col("sets_b") > 1)).select("a", "b")
-    second = verify(session.stash(sure.unionByName(unsure).join(first, ["a", "b"], "left_anti"), "candidates"), docs, percent)
+        unsure = unsure.join(held.select(F.col("doc_id").alias(side), F.col("base").alias(f"base_{side}"), F.col("prefix").alias(f"prefix_{side}")), side)
+    unsure = unsure.where(F.size(F.array_intersect(cut("a"), cut("b"))) >= F.col("wanted")).select("a", "b")
+    second = session.stash(verify(session.stash(sure.unionByName(unsure), "candidates"), docs, percent), "second-links")
 
     copies = member.join(classes, ["n_shingles", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = components(first.unionByName(second).unionByName(copies)).withColumnRenamed("id", "doc_id")

@@ -235,8 +235,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     pairs = links.groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links"), F.countDistinct("link.f").alias("fs")).where(F.col("fs") >= enough).drop("fs")
     pairs = session.stash(pairs, "linked-documents")
     width = min_words - SHINGLE_WORDS + 1
-    ids = pairs.select(F.explode(F.array("doc_id", "ref")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, "id", "left_semi")
+    texts = session.texts_of(docs, pairs.select(F.explode(F.array("doc_id", "ref")).alias("id")))
     mine = texts.withColumnRenamed("id", "doc_id")
     other = texts.withColumnRenamed("id", "ref").withColumnRenamed("text", "ref_text")
     names = ["doc_id", "start_word", "end_word", "start_char", "end_char", "ref_doc_id", "ref_start_word", "ref_end_word", "n_words", "similarity"]
