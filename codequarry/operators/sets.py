@@ -34,7 +34,7 @@ def replace_edges(edges: DataFrame, fresh: DataFrame, files: DataFrame) -> DataF
     """``edges`` with those of ``files`` replaced by ``fresh``; one row stays of each (src, dst, kind, line), the fresh one."""
     kept = edges.join(files.select("file").distinct(), "file", "left_anti").withColumn("age_", F.lit(1))
     both = kept.unionByName(fresh.withColumn("age_", F.lit(0)))
-    return first_of(both, ["src", "dst", "kind", "line"], ["age_", "file"]).drop("age_")
+    return first_of(both, ["src", "dst", "kind", "line"], ["age_", "file"]).select(*edges.columns)
 
 
 def partition_changed(files: DataFrame, cached: DataFrame) -> DataFrame:
