@@ -41,7 +41,7 @@ COMMON_LEAST = 64
 #: Classes that an element may lead to before it counts as costly.
 COSTLY = 32
 #: How far a prefix may be lengthened.
-LENGTHEN = 8
+LENGTHEN = 12
 
 
 def required(size: int, percent: int) -> int:
@@ -168,7 +168,8 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     posts = session.stash(posts.join(leaders, "h"), "class-elements")
 
     # Round one: each class against the leader that most of its elements name.
-    votes = posts.where("doc_id <> leader and pos < base").groupBy("doc_id", "leader").count()
+    # Near copies share most of a prefix; a few shared elements are left to round two.
+    votes = posts.where("doc_id <> leader and pos < base").groupBy("doc_id", "leader", "base").count().where("10 * count >= 3 * base")
     star = votes.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("leader"))).alias("m")).select(F.col("doc_id").alias("a"), (-F.col("m.col2")).alias("b"))
     first = session.stash(verify(star, docs, percent), "first-links")
     joined = components(first)
@@ -178,12 +179,18 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     cost = placed.groupBy("h", "component").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("cost")).where("cost > 1")
     open_ = session.stash(placed.join(cost, "h"), "open-elements")
     costly = F.col("cost") > COSTLY
-    matches = open_.groupBy("doc_id").agg(F.sum((costly & (F.col("pos") < F.col("base") + LENGTHEN)).cast("int")).alias("dear"))
-    # A prefix is lengthened by one for each costly element in it, as far as it can be; else none is passed over.
-    open_ = open_.join(matches, "doc_id")
-    can = (F.col("dear") <= LENGTHEN) & (F.col("sets") == 1)
-    open_ = open_.withColumn("stuck", ~can).withColumn("matches", F.when(can, F.col("dear") + 1).otherwise(1)).where(F.col("pos") < F.col("base") + F.col("matches") - 1)
-    carried = ["doc_id", "low", "high", "component", "pos", "base", "sets", "matches", "stuck"]
+    # The more candidates a prefix leads to, the further it is lengthened, and always past its costly elements;
+    # a document that can't be passes over none of them.
+    spare = F.least(F.col("low") - F.col("base") + 1, F.lit(1 + LENGTHEN)).cast("int")
+    price = F.sum(F.when(F.col("pos") < F.col("base"), F.least("cost", F.lit(COSTLY)) - 1).otherwise(0))
+    open_ = open_.withColumn("spare", spare)
+    per_doc = open_.groupBy("doc_id").agg(F.sum((costly & (F.col("pos") < F.col("base") + F.col("spare") - 1)).cast("int")).alias("dear"), price.alias("price"))
+    open_ = open_.join(per_doc, "doc_id")
+    can = (F.col("dear") < F.col("spare")) & (F.col("sets") == 1)
+    asked = F.least(F.col("spare"), F.greatest(F.col("dear") + 1, 1 + F.floor(F.log2(1 + F.col("price"))).cast("int")))
+    open_ = open_.withColumn("stuck", ~can).withColumn("matches", F.when(F.col("sets") > 1, 1).otherwise(asked)).where(F.col("pos") < F.col("base") + F.col("matches") - 1)
+    open_ = open_.withColumn("dear", F.when(can, F.col("dear")).otherwise(0))
+    carried = ["doc_id", "low", "high", "component", "pos", "sets", "matches", "stuck", "dear"]
     open_ = session.stash(open_.select("h", costly.alias("costly"), *carried), "lengthened-prefixes")
     x = open_.select("h", "costly", *[F.col(c).alias(f"{c}_a") for c in carried])
     y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in carried])
@@ -197,19 +204,12 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = cheap.unionByName(dear).where("component_a <> component_b").where(fits)
     # Matches before this one are bounded by the positions, those after it by what is left.
     pairs = pairs.where((F.greatest("sets_a", "sets_b") > 1) | (reach >= need))
-    ends = [F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")]
-    pairs = pairs.groupBy(*ends).agg(F.count("*").alias("met"), F.min(F.least("matches_a", "matches_b")).alias("wanted"), F.max(F.greatest("sets_a", "sets_b")).alias("sets"))
-    pairs = session.stash(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
-    # Of the required matches all but one may be costly elements that were passed over; they are looked up in the prefixes.
-    sure = pairs.where("met >= wanted or sets > 1").select("a", "b")
-    unsure = pairs.where("met < wanted and sets = 1").select("a", "b", F.col("wanted").cast("int").alias("wanted"))
-    sides = unsure.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = some.join(sides, "doc_id", "left_semi").select("doc_id", base.alias("base"), "prefix").dropDuplicates(["doc_id"])
-    cut = lambda s: F.slice(F.col(f"prefix_{s}"), F.lit(1), F.col(f"base_{s}") + F.col("wanted") - 1)
-    for side in ("a", "b"):
-        unsure = unsure.join(held.select(F.col("doc_id").alias(side), F.col("base").alias(f"base_{side}"), F.col("prefix").alias(f"prefix_{side}")), side)
-    unsure = unsure.where(F.size(F.array_intersect(cut("a"), cut("b"))) >= F.col("wanted")).select("a", "b")
-    second = session.stash(verify(session.stash(sure.unionByName(unsure), "candidates"), docs, percent), "second-links")
+    # Of the required matches as many may be costly elements as both sides passed over.
+    wanted = F.when((F.greatest("sets_a", "sets_b") > 1), 1).otherwise(F.least("matches_a", "matches_b") - F.least("dear_a", "dear_b"))
+    pairs = pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"), wanted.alias("wanted"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("wanted").alias("wanted")).where("met >= wanted").select("a", "b")
+    pairs = session.stash(pairs.join(first, ["a", "b"], "left_anti"), "candidates")
+    second = session.stash(verify(pairs, docs, percent), "second-links")
 
     copies = member.join(classes, ["n_shingles", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = components(first.unionByName(second).unionByName(copies)).withColumnRenamed("id", "doc_id")
