@@ -82,8 +82,9 @@ class Codec:
     def encode(self, text: str, chunk: int, overlap: int) -> bytes:
         """The ids as little-endian unsigned 32-bit integers.
 
-        A stretch between two boundaries of the text is encoded as it would be
-        inside the text, as the pattern never looks behind.
+        A stretch between two boundaries is encoded as it would be inside the
+        text if it doesn't end with white space, the only thing for which the
+        pattern looks ahead.
         """
         if len(text) <= chunk:
             ids = self._core.encode_ordinary(text)
@@ -91,7 +92,7 @@ class Codec:
             ends = stitched_boundaries(self.pattern, text, chunk, overlap)
             cuts, last = [0], 0
             for e in ends:
-                if e - last >= chunk:
+                if e - last >= chunk and not text[e - 1].isspace():
                     cuts.append(last := e)
             cuts.append(len(text))
             ids = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self._core.encode_ordinary(text[a:b])]

@@ -34,10 +34,11 @@ from . import session
 from .components import components
 from .textcore import shingle_rows
 
-#: A shingle in more than one of so many documents of a batch may be common ...
-COMMON_SHARE = 512
-#: ... and is so if the batches that named it add up to this share of all documents, but at least COMMON_LEAST.
-COMMON_LEAST = 64
+#: A shingle that a larger share of all documents holds, but COMMON_LEAST of them at least, is common.
+COMMON_SHARE = 1 / 4096
+COMMON_LEAST = 32
+#: Elements whose counts a task holds at once, in about two documents a share or more.
+COUNTED = 4_000_000
 #: Classes that an element may lead to before it counts as costly.
 COSTLY = 32
 #: How far a prefix may be lengthened.
@@ -54,27 +55,39 @@ def prefix_length(size: int, percent: int, matches: int = 1) -> int:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that a large share of all documents holds.
-
-    Whatever is in more than 1 / COMMON_SHARE of the documents is in as large a
-    share of some batch, so batches name their own and only those are summed.
-    At most 2 * COMMON_SHARE * (mean set size) can pass, whatever the corpus, so
-    the list may be sent to every task.  It orders elements and decides
-    nothing else.
+    """Sorted hashes of shingles that many documents hold.
+
+    Tasks count their documents in stretches and name what they met three times
+    or more; the named counts are summed.  What is in a large share of all
+    documents is in as large a share of some stretch, so it is named.  At most
+    (mean set size) * 2 / COMMON_SHARE shingles can pass, whatever the corpus, so
+    the list may be sent to every task.  It orders elements and decides nothing
+    else: what it lacks costs time, not links.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = rows = 0
         for batch in batches:
-            sets = [np.unique(s) for _, s, _ in shingle_rows(batch.column(0))]
-            value, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= max(3, batch.num_rows / COMMON_SHARE)
-            yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(n[often].astype(np.int64)), pa.array(np.full(int(often.sum()), 0, np.int64))], ["h", "n", "rows"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([batch.num_rows], pa.int64())], ["h", "n", "rows"])
-
-    named = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h bigint, n bigint, rows bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+            rows += batch.num_rows
+            for _, sh, _ in shingle_rows(batch.column(0)):
+                held.append(np.unique(sh))
+                size += len(held[-1])
+            if size >= COUNTED:
+                yield named_counts(held, rows)
+                held, size, rows = [], 0, 0
+        yield named_counts(held, rows)
+
+    def named_counts(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        often = n >= max(3, rows * COMMON_SHARE / 2)
+        h = [*value[often].astype(np.int64).tolist(), None]
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[often].tolist(), rows], pa.int64())], ["h", "n"])
+
+    named = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     named = session.stash(named, "named-shingles")
-    total = named.where("h is null").select(F.sum("rows")).collect()[0][0] or 0
-    rows = named.where(F.col("h").isNotNull() & (F.col("n") >= max(COMMON_LEAST, total / COMMON_SHARE / 2))).select("h").toArrow()
+    total = named.where("h is null").select(F.sum("n")).collect()[0][0] or 0
+    rows = named.where(F.col("h").isNotNull() & (F.col("n") >= max(COMMON_LEAST, total * COMMON_SHARE / 2))).select("h").toArrow()
     return np.sort(rows.column("h").to_numpy().astype(np.int64).view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
 
 
@@ -90,12 +103,13 @@ def ordered(values: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and its prefix with LENGTHEN spare elements."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, parts = [], [], []
             for _, sh, _ in shingle_rows(batch.column(1)):
-                s = ordered(sh, common)
+                s = ordered(sh, shared.value)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 parts.append(s[: prefix_length(len(s), percent, 1 + LENGTHEN)].astype(np.int64))
@@ -206,11 +220,20 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = pairs.where((F.greatest("sets_a", "sets_b") > 1) | (reach >= need))
     # Of the required matches as many may be costly elements as both sides passed over.
     wanted = F.when((F.greatest("sets_a", "sets_b") > 1), 1).otherwise(F.least("matches_a", "matches_b") - F.least("dear_a", "dear_b"))
-    pairs = pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"), wanted.alias("wanted"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("wanted").alias("wanted")).where("met >= wanted").select("a", "b")
+    higher = F.col("doc_id_a") > F.col("doc_id_b")
+    pairs = pairs.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b"), wanted.alias("wanted"), F.when(higher, F.col("component_a")).otherwise(F.col("component_b")).alias("ca"), F.when(higher, F.col("component_b")).otherwise(F.col("component_a")).alias("cb"))
+    pairs = pairs.groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("met"), F.min("wanted").alias("wanted")).where("met >= wanted").drop("wanted")
     pairs = session.stash(pairs.join(first, ["a", "b"], "left_anti"), "candidates")
-    second = session.stash(verify(pairs, docs, percent), "second-links")
+    # Of two components the most promising pair first; where it links them, the others needn't be looked at.
+    best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("met", "a", "b")).alias("m")).select("m.a", "m.b")
+    best = session.stash(best, "best-candidates")
+    second = session.stash(verify(best, docs, percent), "second-links")
+    name = components(first.unionByName(second)).withColumnRenamed("component", "c")
+    rest = pairs.join(best, ["a", "b"], "left_anti")
+    for side, old in (("a", "ca"), ("b", "cb")):
+        rest = rest.join(name.select(F.col("id").alias(side), F.col("c").alias(f"new_{side}")), side, "left").withColumn(old, F.coalesce(f"new_{side}", old))
+    third = session.stash(verify(session.stash(rest.where("ca <> cb").select("a", "b"), "other-candidates"), docs, percent), "third-links")
 
     copies = member.join(classes, ["n_shingles", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    same = components(first.unionByName(second).unionByName(copies)).withColumnRenamed("id", "doc_id")
+    same = components(first.unionByName(second).unionByName(third).unionByName(copies)).withColumnRenamed("id", "doc_id")
     return signed.select("doc_id", "n_shingles").join(same, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

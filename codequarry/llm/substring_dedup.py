@@ -36,12 +36,14 @@ from . import session
 from .textcore import SHINGLE_WORDS, mix, row_ids, shingles, slices, text_buffer, word_hashes, word_spans
 
 MIN_WORDS = 50
-FUNCTIONS = 4
+FUNCTIONS = 3
 #: Functions whose windows must overlap before a pair is verified.
 ENOUGH = 2
-#: Shingles on one side of a window's owner that make its group: together they are 27 words.
-#: One side of an owner in 46 shingles (50 words) or more always has as many.
-CONTEXT = (0, 5, 10, 15, 20, 22)
+#: Shingles on one side of a window's owner that make its groups: together they are 15 and 27 words.
+#: The short ones reach into passages with edits, the long ones tell passages apart that begin alike;
+#: one side of an owner in 46 shingles (50 words) or more always has room for a long one.
+CONTEXTS = ((0, 5, 10), (0, 5, 10, 15, 20, 22))
+KEYS = ("left_short", "left_long", "right_short", "right_long")
 #: Unmatched shingles inside a passage that don't end it: two edits side by side.
 GAP = 10
 _POSITION = np.uint64((1 << 28) - 1)
@@ -102,23 +104,25 @@ def compact_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tupl
     return d, owner, first, last
 
 
-def context_key(sh: np.ndarray, owner: np.ndarray, bound: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the words on one side of each owner, and whether they lie in its window."""
-    inside = (owner + side * CONTEXT[-1] <= bound) if side > 0 else (owner + side * CONTEXT[-1] >= bound)
-    acc = np.full(len(owner), 0x51 + side, np.uint64)
-    for step in CONTEXT:
+def context_key(sh: np.ndarray, owner: np.ndarray, bound: np.ndarray, side: int, steps: tuple[int, ...]) -> pa.Array:
+    """Hash of the words on one side of each owner; null where they don't lie in its window."""
+    inside = (owner + side * steps[-1] <= bound) if side > 0 else (owner + side * steps[-1] >= bound)
+    acc = np.full(len(owner), 0x51, np.uint64)
+    for step in steps:
         at = np.clip(owner + side * step, 0, len(sh) - 1)
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sh[at])
-    return acc.astype(np.int64), inside
+    return pa.array((acc >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~inside)
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, *, owners_only: bool = False) -> DataFrame:
     """Compact windows of all texts: owner's value, doc_id, function, owner, first, last, and the keys of both sides.
 
-    Positions count shingles of the text.  ``owners_only`` returns the owners' values alone.
+    Positions count shingles of the text.  The keys are meant beside the
+    owner's value, which is different under each function.  ``owners_only``
+    returns the owners' values alone.
     """
     width = min_words - SHINGLE_WORDS + 1
-    names = ["owner", "doc_id", "f", "c", "l", "r", "left_key", "right_key"]
+    names = ["owner", "doc_id", "f", "c", "l", "r", *KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,15 +141,11 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, functions: int = FUNCTI
                     if owners_only:
                         yield pa.RecordBatch.from_arrays([owner], names[:1])
                         continue
-                    lk, lok = context_key(sh, c, first, -1)
-                    rk, rok = context_key(sh, c, last, 1)
                     base = so[d]
-                    yield pa.RecordBatch.from_arrays(
-                        [owner, pa.array(ids[a + d].astype(np.int64)), pa.array(np.full(len(c), f, np.int32)), *(pa.array((x - base).astype(np.int32)) for x in (c, first, last)), pa.array(lk, mask=~lok), pa.array(rk, mask=~rok)],
-                        names,
-                    )
+                    keys = [context_key(sh, c, bound, side, steps) for bound, side in ((first, -1), (last, 1)) for steps in CONTEXTS]
+                    yield pa.RecordBatch.from_arrays([owner, pa.array(ids[a + d].astype(np.int64)), pa.array(np.full(len(c), f, np.int32)), *(pa.array((x - base).astype(np.int32)) for x in (c, first, last)), *keys], names)
 
-    schema = "owner bigint" if owners_only else "owner bigint, doc_id bigint, f int, c int, l int, r int, left_key bigint, right_key bigint"
+    schema = "owner bigint" if owners_only else "owner bigint, doc_id bigint, f int, c int, l int, r int, " + ", ".join(f"{k} int" for k in KEYS)
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -227,10 +227,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     spark = docs.sparkSession
     session.small_batches(spark)
     twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner", "left_semi").drop("owner"), "shared-windows")
-    keyed = kept.select("doc_id", "f", "c", "l", "r", F.explode(F.array("left_key", "right_key")).alias("key")).where("key is not null")
-    lead = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    links = keyed.join(lead.hint("shuffle_hash"), "key").where("doc_id > first.doc_id")
+    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner", "left_semi"), "shared-windows")
+    keyed = kept.select("owner", "doc_id", "f", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null")
+    key = ["owner", "kind", "key"]
+    lead = keyed.groupBy(*key).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
+    links = keyed.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id")
     links = links.select("doc_id", F.col("first.doc_id").alias("ref"), F.struct("f", "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr")).alias("link"))
     pairs = links.groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links"), F.countDistinct("link.f").alias("fs")).where(F.col("fs") >= enough).drop("fs")
     pairs = session.stash(pairs, "linked-documents")

@@ -45,7 +45,7 @@ class Crf:
     weights: np.ndarray  # one row a feature kind
     bias: float
     transitions: np.ndarray  # from tag, to tag
-    document: np.ndarray  # bias, largest marginal's weight, summed marginals' weight
+    document: np.ndarray  # bias, largest marginal's weight, weight of the tagged words' marginals
     constant: float | None = None
 
 
@@ -157,13 +157,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def document_inputs(p: np.ndarray, word_offsets: np.ndarray) -> np.ndarray:
-    """Constant, largest marginal and log of one plus the summed marginals of each row."""
+    """Constant, largest marginal and log of one plus the summed marginals of the tagged words of each row.
+
+    Words below one half are left out of the sum: in a long text they would add up.
+    """
     words = np.diff(word_offsets)
     top, total = np.zeros(len(words)), np.zeros(len(words))
     some = words > 0
     if some.any():
         top[some] = np.maximum.reduceat(p, word_offsets[:-1][some])
-        total[some] = np.add.reduceat(p, word_offsets[:-1][some])
+        total[some] = np.add.reduceat(np.where(p >= 0.5, p, 0.0), word_offsets[:-1][some])
     return np.stack([np.ones(len(words)), top, np.log1p(total)], 1)
 
 
