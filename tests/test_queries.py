@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from codequarry.catalog import ORACLES, QUERIES
+from codequarry.registry import ORACLES, QUERIES
 
 DIR = os.environ.get("CODEQUARRY_TEST_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
