@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,13 +174,14 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     per = placed.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max(base).alias("base"), F.count("*").alias("sets"), F.min("rep").alias("rep"))
     per = session.stash(per.where("doc_id = rep or sets > 1").drop("rep"), "representatives")
 
-    # Only elements that two documents hold can make a pair; only (element, doc_id) is shuffled to find them.
+    # Only elements that two documents hold can make a pair.  One shuffle by element finds them and their leaders;
+    # common shingles stand last in the order, so a prefix element's rows are few.
+    group = W.partitionBy("h")
     posts = some.select("doc_id", F.posexplode("prefix").alias("pos", "h"))
-    twice = posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h")
-    posts = posts.join(twice.hint("shuffle_hash"), "h", "left_semi")
-    posts = session.stash(posts.join(per, "doc_id"), "shared-elements")
-    leaders = posts.groupBy("h").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("last > leader").drop("last")
-    posts = session.stash(posts.join(leaders, "h"), "class-elements")
+    posts = posts.withColumn("leader", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group)).where("last > leader").drop("last")
+    posts = session.stash(posts, "shared-elements").join(per, "doc_id")
+    # Copies of a class go, and with them the elements that only copies share.
+    posts = session.stash(posts.withColumn("last", F.max("doc_id").over(group)).where("last > leader").drop("last"), "class-elements")
 
     # Round one: each class against the leader that most of its elements name.
     # Near copies share most of a prefix; a few shared elements are left to round two.
