@@ -149,14 +149,14 @@ def latest(health: DataFrame, keep: int = 1) -> DataFrame:
     return health.withColumn("k", k).where(F.col("k") <= keep)
 
 
-def alerts(health: DataFrame, threshold: str = "D") -> DataFrame:
+def alerts(health: DataFrame, threshold: str = "D", *more: str) -> DataFrame:
     """Readings that call for an alert: a cold start at or below the threshold, a strict worsening that touches it or drops two grades, or a crossing."""
     w = W.partitionBy("file").orderBy("ts", "id")
     g = health.withColumn("grade", grade(F.col("total"))).withColumn("previous", F.lag("grade").over(w))
     bad = {"A": 0, "B": 1, "C": 2, "D": 3, "F": 4}[threshold]
     now, old = grade_rank(F.col("grade")), grade_rank(F.col("previous"))
     worse = (now > old) & ((now >= bad) | (old >= bad) | (now - old >= 2))
-    return g.where(F.when(F.col("previous").isNull(), now >= bad).otherwise(worse)).select("id", "file", "previous", "grade")
+    return g.where(F.when(F.col("previous").isNull(), now >= bad).otherwise(worse)).select("id", "file", "previous", "grade", *more)
 
 
 def change_counts(changes: DataFrame, priority: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import grade
+from ..operators.metrics import alerts
 
 _RANK = {"A": 0, "B": 1, "C": 2, "D": 3, "F": 4}
 ALERTS = "file string, id bigint, previous string, grade string, at double"
@@ -41,12 +42,22 @@ def readings(health: DataFrame) -> DataFrame:
 
 
 def alerts_with_cooldown(health: DataFrame, threshold: str = "D", cooldown_s: float = 3600) -> DataFrame:
-    """Batch twin of ``alert_stream``: one group a file."""
+    """Batch twin of ``alert_stream``.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step((None, None), pdf, threshold, cooldown_s)[1], columns=["file", "id", "previous", "grade", "at"])
+    A window finds the readings that call for an alert; only these go through
+    the greedy scan of their file.
+    """
+    due_ = alerts(health, threshold, "ts").select("file", "id", "previous", "grade", F.col("ts").cast("timestamp").cast("double").alias("at"))
 
-    return readings(health).groupBy("file").applyInPandas(run, ALERTS)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "id"])
+        keep, last = [], None
+        for at in pdf["at"]:
+            keep.append(last is None or at - last >= cooldown_s)
+            last = at if keep[-1] else last
+        return pdf[keep]
+
+    return due_.groupBy("file").applyInPandas(run, ALERTS)
 
 
 def alert_stream(health: DataFrame, threshold: str = "D", cooldown_s: float = 3600) -> DataFrame:
