@@ -135,5 +135,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, fold:
 
     new = missing.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType())]))
     new.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    # Writers at the same time may have stored a digest twice; stored as one row each, the join below can be split where copies crowd.
+    counts = session.stash(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")
