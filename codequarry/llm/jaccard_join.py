@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import session
 from .components import components
-from .textcore import shingle_rows
+from .textcore import mix, shingle_rows
 
 #: A shingle that a larger share of all documents holds, but COMMON_LEAST of them at least, is common.
 COMMON_SHARE = 1 / 4096
@@ -42,8 +42,11 @@ COMMON_LEAST = 32
 COUNTED = 4_000_000
 #: Classes that an element may lead to before it counts as costly.
 COSTLY = 32
+#: Words of 64 bits of a set's parity bitmap: sets differ in at least as many elements as their bitmaps in bits.
+PARITY = 4
 #: How far a prefix may be lengthened.
 LENGTHEN = 12
+FLIPS = [f"p{i}" for i in range(PARITY)]
 
 
 def required(size: int, percent: int) -> int:
@@ -102,23 +105,33 @@ def ordered(values: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~late], s[late]])
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """PARITY words in which each element of the set flips one bit."""
+    at = (mix(values) >> np.uint64(32)).astype(np.int64) % (64 * PARITY)
+    bits = np.bincount(at, minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and its prefix with LENGTHEN spare elements."""
+    """doc_id, n_shingles, digest of the set, its parity bitmap, and its prefix with LENGTHEN spare elements."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, parts = [], [], []
+            sizes, digests, parts, flips = [], [], [], []
             for _, sh, _ in shingle_rows(batch.column(1)):
                 s = ordered(sh, shared.value)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                flips.append(parity(s))
                 parts.append(s[: prefix_length(len(s), percent, 1 + LENGTHEN)].astype(np.int64))
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32))
             flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(ends, flat)], ["doc_id", "n_shingles", "digest", "prefix"])
+            words = np.stack(flips, 1) if flips else np.zeros((PARITY, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(w) for w in words), pa.ListArray.from_arrays(ends, flat)], names)
 
-    schema = "doc_id bigint, n_shingles bigint, digest binary, prefix array<bigint>"
+    names = ["doc_id", "n_shingles", "digest", *FLIPS, "prefix"]
+    schema = "doc_id bigint, n_shingles bigint, digest binary, " + "".join(f"{f} bigint, " for f in FLIPS) + "prefix array<bigint>"
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -206,7 +219,9 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     asked = F.least(F.col("spare"), F.greatest(F.col("dear") + 1, 1 + F.floor(F.log2(1 + F.col("price"))).cast("int")))
     open_ = open_.withColumn("stuck", ~can).withColumn("matches", F.when(F.col("sets") > 1, 1).otherwise(asked)).where(F.col("pos") < F.col("base") + F.col("matches") - 1)
     open_ = open_.withColumn("dear", F.when(can, F.col("dear")).otherwise(0))
-    carried = ["doc_id", "low", "high", "component", "pos", "sets", "matches", "stuck", "dear"]
+    flips = some.groupBy("doc_id").agg(*[F.min(f).alias(f) for f in FLIPS])
+    open_ = open_.join(flips, "doc_id")
+    carried = ["doc_id", "low", "high", "component", "pos", "sets", "matches", "stuck", "dear", *FLIPS]
     open_ = session.stash(open_.select("h", costly.alias("costly"), *carried), "lengthened-prefixes")
     x = open_.select("h", "costly", *[F.col(c).alias(f"{c}_a") for c in carried])
     y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in carried])
@@ -219,7 +234,9 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     dear = x.where("costly and stuck_a").join(y, "h").where("doc_id_a <> doc_id_b and (not stuck_b or doc_id_a > doc_id_b)")
     pairs = cheap.unionByName(dear).where("component_a <> component_b").where(fits)
     # Matches before this one are bounded by the positions, those after it by what is left.
-    pairs = pairs.where((F.greatest("sets_a", "sets_b") > 1) | (reach >= need))
+    # The sets differ in at least as many elements as their bitmaps do in bits.
+    differ = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in FLIPS), F.lit(0))
+    pairs = pairs.where((F.greatest("sets_a", "sets_b") > 1) | ((reach >= need) & (F.col("low_a") + F.col("low_b") - differ >= 2 * need)))
     # Of the required matches as many may be costly elements as both sides passed over.
     wanted = F.when((F.greatest("sets_a", "sets_b") > 1), 1).otherwise(F.least("matches_a", "matches_b") - F.least("dear_a", "dear_b"))
     higher = F.col("doc_id_a") > F.col("doc_id_b")
