@@ -192,9 +192,8 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     group = W.partitionBy("h")
     posts = some.select("doc_id", F.posexplode("prefix").alias("pos", "h"))
     posts = posts.withColumn("leader", F.min("doc_id").over(group)).withColumn("last", F.max("doc_id").over(group)).where("last > leader").drop("last")
-    posts = session.stash(posts, "shared-elements").join(per, "doc_id")
-    # Copies of a class go, and with them the elements that only copies share.
-    posts = session.stash(posts.withColumn("last", F.max("doc_id").over(group)).where("last > leader").drop("last"), "class-elements")
+    # Copies of a class go; a leader is never one, as its class has a smaller id.  Elements that only copies share lead nowhere from here.
+    posts = session.stash(posts.join(per, "doc_id"), "class-elements")
 
     # Round one: each class against the leader that most of its elements name.
     # Near copies share most of a prefix; a few shared elements are left to round two.
