@@ -15,6 +15,13 @@ are joined; where the windows of enough functions overlap, the passages are
 verified on the texts: ``MIN_WORDS`` words or more, Jaccard similarity of the
 shingles ``percent`` or more.
 
+The first document of a group may hold less than the passage that later ones
+share.  Members whose surroundings no verified passage covers are therefore led
+again, by the first document that has the same ``MIN_WORDS`` words around the
+owner: every run of that length has its own group, of which all members share a
+passage, so none that is repeated word for word depends on a leader.  One
+function is enough for that, as all texts with the run have the same owner in it.
+
 The first document, by id, keeps a passage.  Texts that are null, empty or
 shorter than the shortest passage have none.  Passages repeated inside one
 document only are not reported.  Rows that share a doc_id are one document, of
@@ -218,40 +225,36 @@ def passages(x: np.ndarray, y: np.ndarray, spans_x: list[tuple[int, int]], spans
 RESULT = "doc_id bigint, start_word int, end_word int, start_char bigint, end_char bigint, ref_doc_id bigint, ref_start_word int, ref_end_word int, n_words int, similarity double"
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 75, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
-    """Passages that an earlier document has as well: RESULT, ends exclusive.
+def parsed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Shingles, first and last bytes of the words, and bytes of each text."""
+    data, offsets = text_buffer(column)
+    for a, b in slices(offsets):
+        part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        s, e, w = word_spans(part, off)
+        sh, so = shingles(word_hashes(part, s, e), w)
+        for r in range(b - a):
+            span = slice(w[r], w[r + 1])
+            yield sh[so[r] : so[r + 1]], s[span] - off[r], e[span] - off[r], part[off[r] : off[r + 1]]
 
-    Texts are scanned twice, first for owners alone; only windows whose
-    owner occurs twice are kept, and only texts of linked documents are shuffled.
-    """
-    spark = docs.sparkSession
-    session.small_batches(spark)
-    twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner", "left_semi"), "shared-windows")
-    keyed = kept.select("owner", "doc_id", "f", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null")
-    key = ["owner", "kind", "key"]
-    lead = keyed.groupBy(*key).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    links = keyed.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id")
-    links = links.select("doc_id", F.col("first.doc_id").alias("ref"), F.struct("f", "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr")).alias("link"))
-    pairs = links.groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links"), F.countDistinct("link.f").alias("fs")).where(F.col("fs") >= enough).drop("fs")
-    pairs = session.stash(pairs, "linked-documents")
-    width = min_words - SHINGLE_WORDS + 1
+
+def run_hashes(sh: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` shingles, from prefix sums of a polynomial."""
+    step = 0x9E3779B97F4A7C15
+    if len(sh) < width:
+        return np.zeros(0, np.uint64)
+    power, back = (np.cumprod(np.full(len(sh), m, np.uint64)) for m in (step, pow(step, -1, 1 << 64)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sh * power)])
+    return mix((total[width:] - total[:-width]) * back[: len(sh) - width + 1])
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int, enough: int) -> DataFrame:
+    """RESULT of the linked documents ``pairs`` (doc_id, ref, links)."""
     texts = session.texts_of(docs, pairs.select(F.explode(F.array("doc_id", "ref")).alias("id")))
     mine = texts.withColumnRenamed("id", "doc_id")
     other = texts.withColumnRenamed("id", "ref").withColumnRenamed("text", "ref_text")
     names = ["doc_id", "start_word", "end_word", "start_char", "end_char", "ref_doc_id", "ref_start_word", "ref_end_word", "n_words", "similarity"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
 
-    def parsed(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        data, offsets = text_buffer(column)
-        for a, b in slices(offsets):
-            part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            s, e, w = word_spans(part, off)
-            sh, so = shingles(word_hashes(part, s, e), w)
-            for r in range(b - a):
-                span = slice(w[r], w[r + 1])
-                yield sh[so[r] : so[r + 1]], s[span] - off[r], e[span] - off[r], part[off[r] : off[r + 1]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -272,6 +275,67 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     return pairs.join(mine, "doc_id").join(other, "ref").select("doc_id", "ref", "links", "text", "ref_text").mapInArrow(run, RESULT)
 
 
+def linked_again(docs: DataFrame, kept: DataFrame, links: DataFrame, found: DataFrame, width: int) -> DataFrame:
+    """(doc_id, ref, links): documents joined to the first one with the same run of ``width`` shingles, for runs that ``found`` doesn't cover."""
+    once = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 1").select("doc_id")  # else positions are of several texts
+    spans = found.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("a"), (F.col("end_word") - SHINGLE_WORDS).alias("b"))).alias("spans"))
+    # One side of an owner always has room for a long key in such a run.
+    long = links.where(F.col("link.f") == 0).where(F.col("kind") % 2 == 1).join(spans, "doc_id", "left")
+    low, high = F.greatest("link.l", F.col("c") - (width - 1)), F.least("link.r", F.col("c") + (width - 1))
+    open_ = long.where(~F.coalesce(F.exists("spans", lambda x: (x["a"] <= low) & (x["b"] >= high)), F.lit(False))).select("owner", "kind", "key").distinct()
+    members = kept.where("f = 0").select("owner", "doc_id", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null and kind % 2 = 1")
+    members = members.join(open_.hint("shuffle_hash"), ["owner", "kind", "key"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("owner", "c", "l", "r")).alias("at"))
+    members = session.stash(members.join(spans, "doc_id", "left"), "open-windows")
+    texts = session.texts_of(docs, members.select(F.col("doc_id").alias("id")))
+    salt = salts(1)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, windows_, covered = (batch.column(k).to_pylist() for k in (0, 1, 2))
+            for i, (x, _, _, _) in enumerate(parsed(batch.column(3))):
+                own = [w for w in windows_[i] if w["r"] < len(x) and int(mix(x[w["c"] : w["c"] + 1] ^ salt).astype(np.int64)[0]) == w["owner"]]
+                if not own:
+                    continue
+                hashes = run_hashes(x, width)
+                starts = [np.arange(max(w["l"], w["c"] - width + 1), min(w["c"], w["r"] - width + 1) + 1) for w in own]
+                at = np.concatenate(starts)
+                settled = np.zeros(len(at), bool)
+                for s in covered[i] or []:
+                    settled |= (at >= s["a"]) & (at + width - 1 <= s["b"])
+                n = [len(v) for v in starts]
+                l, r = (np.repeat(np.array([w[k] for w in own], np.int32), n) for k in ("l", "r"))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), ids[i], np.int64)), pa.array(l), pa.array(r), pa.array(settled)], ["run", "doc_id", "l", "r", "settled"])
+
+    rows = members.join(texts.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "at", "spans", "text")
+    runs = session.stash(rows.mapInArrow(run, "run bigint, doc_id bigint, l int, r int, settled boolean"), "open-runs")
+    lead = runs.groupBy("run").agg(F.min(F.struct("doc_id", "l", "r")).alias("first"), F.max(F.when(~F.col("settled"), F.col("doc_id"))).alias("last")).where("last > first.doc_id")
+    again = runs.where("not settled").join(lead.hint("shuffle_hash"), "run").where("doc_id > first.doc_id")
+    link = F.struct(F.lit(0).alias("f"), "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr"))
+    return again.groupBy("doc_id", F.col("first.doc_id").alias("ref")).agg(F.collect_set(link).alias("links"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int = 75, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
+    """Passages that an earlier document has as well: RESULT, ends exclusive.
+
+    Texts are scanned twice, first for owners alone; only windows whose
+    owner occurs twice are kept, and only texts of linked documents are shuffled.
+    """
+    spark = docs.sparkSession
+    session.small_batches(spark)
+    twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
+    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner", "left_semi"), "shared-windows")
+    keyed = kept.select("owner", "doc_id", "f", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null")
+    key = ["owner", "kind", "key"]
+    lead = keyed.groupBy(*key).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
+    links = keyed.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id")
+    links = links.select(*key, "c", "doc_id", F.col("first.doc_id").alias("ref"), F.struct("f", "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr")).alias("link"))
+    pairs = links.groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links"), F.countDistinct("link.f").alias("fs")).where(F.col("fs") >= enough).drop("fs")
+    width = min_words - SHINGLE_WORDS + 1
+    found = session.stash(verified(docs, session.stash(pairs, "linked-documents"), percent, width, enough), "first-passages")
+    again = session.stash(linked_again(docs, kept, links, found, width), "documents-linked-again")
+    return found.unionByName(verified(docs, again, percent, width, 1)).distinct()
+
+
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages; rows left without a word are dropped, other texts are not touched."""
     cuts = found.groupBy(F.col("doc_id").alias("id_")).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("cuts_"))

@@ -167,3 +167,18 @@ def test_blocks_of_a_crowded_cell_find_the_same(spark, monkeypatch):
     x = np.ones(16) + rng.standard_normal((100, 16)) * 0.02
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
     assert {(r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()} == {(99, 0)}
+
+
+def test_passages_are_found_behind_earlier_fragments(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], set()
+    for k in range(40):
+        passage = text(60)
+        parts = [passage[:45], passage[8:53], passage[15:], passage, passage]
+        rows += [(100 * i + k, " ".join(text(60) + part + text(60))) for i, part in enumerate(parts)]
+        want.add((400 + k, 300 + k))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in found} == want
+    t = dict(rows)
+    assert all(t[r["doc_id"]][r["start_char"] : r["end_char"]].split() == words(t[r["doc_id"]])[60:120] for r in found)
