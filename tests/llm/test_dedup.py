@@ -182,3 +182,20 @@ def test_passages_are_found_behind_earlier_fragments(spark):
     assert {(r["doc_id"], r["ref_doc_id"]) for r in found} == want
     t = dict(rows)
     assert all(t[r["doc_id"]][r["start_char"] : r["end_char"]].split() == words(t[r["doc_id"]])[60:120] for r in found)
+
+
+def test_edited_passages_near_the_threshold_are_found(spark):
+    rng = random.Random(3)
+    text = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(400):
+        passage = text(50)
+        edited = list(passage)
+        for at in ((20, 21), (10, 11), (25,), (10,))[k % 4]:
+            edited[at] = f"edited{k}"
+        a, b = shingle_set(" ".join(passage)), shingle_set(" ".join(edited))
+        assert 100 * len(a & b) >= 75 * len(a | b)
+        rows += [(k, " ".join(text(80) + passage + text(80))), (1000 + k, " ".join(text(80) + edited + text(80)))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    pairs = {(r["doc_id"], r["ref_doc_id"]) for r in found}
+    assert pairs <= {(1000 + k, k) for k in range(400)} and len(pairs) >= 0.98 * 400
