@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalog import _GRADE, SEED, _ids, _ladder, _nodes, _refs, _seed, query
+from .catalog import _GRADE, ORACLES, SEED, _ids, _ladder, _nodes, _refs, _seed, query
 from .functions import text as tx
 from .operators import graph, metrics, quality, resolve, search, sets
 from .sources import fixtures as fx
@@ -239,3 +239,72 @@ def st_history(spark, d):
 def st_sliding(spark, d):
     e = fx.table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("at", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.unix_timestamp("w.start").alias("start"), "n")
+
+
+# -- whole graphs -------------------------------------------------------------
+# The queries above and in the catalog that keep two imports a module, few hops or 100 rows, without those bounds.
+
+
+def _whole(name: str) -> str:
+    """SQL of a query over the two heaviest imports, over all of them."""
+    return ORACLES[name].split(f"import_top2 AS ({fx.SQL['import_top2']})", 1)[1].lstrip(", ").replace("import_top2", "imports")
+
+
+def _imports(spark, d):
+    return fx.imports(spark, d).select("src", "dst")
+
+
+def _coupling_all(spark, d):
+    e = fx.imports(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return metrics.coupling(e, e)
+
+
+@query(_whole("agg_coupling"), ("imports",))
+def agg_coupling_all(spark, d):
+    return _coupling_all(spark, d)
+
+
+@query("+ " + _whole("agg_matrix_summary"), ("imports",))
+def agg_matrix_summary_all(spark, d):
+    return metrics.matrix_summary(_coupling_all(spark, d), metrics.instability(fx.imports(spark, d)))
+
+
+@query(_whole("rank_most_coupled"), ("imports",))
+def rank_most_coupled_all(spark, d):
+    return _coupling_all(spark, d).orderBy(F.desc("score"), "file_a", "file_b").limit(10).select("file_a", "file_b", "score")
+
+
+@query("+ " + _whole("agg_depth_hist"), ("imports",), True)
+def agg_depth_hist_all(spark, d):
+    e = _imports(spark, d)
+    far = graph.reach(e, e.select(F.col("src").alias("node")), 10).groupBy("seed").agg(F.max("depth").alias("depth"))
+    return far.groupBy(F.when(F.col("depth") <= 2, "shallow").when(F.col("depth") <= 5, "medium").otherwise("deep").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(_whole("g_deps"), ("imports",))
+def g_deps_all(spark, d):
+    e = _imports(spark, d)
+    out = e.groupBy(F.col("src").alias("module")).agg(F.count("*").alias("dependencies"))
+    into = e.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("dependents"))
+    return out.join(into, "module", "left").select("module", "dependencies", F.coalesce("dependents", F.lit(0)).alias("dependents"))
+
+
+@query("+ " + _whole("g_blast_file"), ("imports",), True)
+def g_blast_file_all(spark, d):
+    return graph.reach(graph.reverse(_imports(spark, d)), spark.createDataFrame([("m0",)], "node string"), 10).select("node", "depth")
+
+
+@query("+ " + _whole("g_blast_forward"), ("imports",), True)
+def g_blast_forward_all(spark, d):
+    e = _imports(spark, d)
+    return graph.reach(e, e.select(F.col("src").alias("node"))).groupBy("seed").agg(F.count("*").alias("dependencies"))
+
+
+@query("+ " + _whole("g_tree"), ("imports",), True)
+def g_tree_all(spark, d):
+    return graph.tree(_imports(spark, d), "m3", 4).withColumn("path", F.array_join("path", "/"))
+
+
+@query(_whole("g_cycles"), ("imports",))
+def g_cycles_all(spark, d):
+    return graph.two_cycles_and_three(_imports(spark, d)).select(F.array_join("cycle", "/").alias("cycle"), "length")
