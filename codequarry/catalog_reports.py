@@ -308,3 +308,22 @@ def g_tree_all(spark, d):
 @query(_whole("g_cycles"), ("imports",))
 def g_cycles_all(spark, d):
     return graph.two_cycles_and_three(_imports(spark, d)).select(F.array_join("cycle", "/").alias("cycle"), "length")
+
+
+def _deeper(name: str, hops: int) -> str:
+    """SQL of a query that goes two hops, for ``hops``."""
+    return ORACLES[name].replace("WHERE d < 2", f"WHERE d < {hops}")
+
+
+@query(_deeper("g_reachable_dead", 20))
+def g_reachable_dead_all(spark, d):
+    s = fx.symbols(spark, d).withColumnRenamed("id", "node")
+    return graph.dead(_ids(spark, d), s.select("node"), s.where(tx.is_test_path(F.col("file"))).select("node"), 20)
+
+
+@query(_deeper("g_blast_functions", 5))
+def g_blast_functions_all(spark, d):
+    e, s = _ids(spark, d), _seed(spark, SEED)
+    both = graph.reach(e, s, 5).withColumn("way", F.lit("out")).unionByName(graph.reach(graph.reverse(e), s, 5).withColumn("way", F.lit("in")))
+    files = fx.symbols(spark, d).select(F.col("id").alias("node"), "file")
+    return both.join(files, "node").groupBy("file", "way").agg(F.count("*").alias("functions"))

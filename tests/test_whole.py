@@ -29,3 +29,23 @@ def test_tree_and_cycles_with_three_edges_out_equal_brute_force(spark):
     has = set(pairs)
     cycles = {(a, b) for a, b in pairs if a < b and (b, a) in has} | {(a, b, c) for a, b in pairs for c in nodes if a < b and a < c and b != c and (b, c) in has and (c, a) in has}
     assert {tuple(r["cycle"]) for r in graph.two_cycles_and_three(e).collect()} == cycles
+
+
+def chain_of_calls(spark, path, first, n):
+    """Tables in which parts first, first + 1, ... call the next one, and the first one's file is a test."""
+    parts = [(first + k, f"p{k}", "STANDARD", 10 if k == 0 else 2, "Brand#1") for k in range(n)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_type string, p_size int, p_brand string").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame([(1, k, first + k) for k in range(n)], "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_dead_code_follows_calls_for_twenty_hops(spark, tmp_path):
+    d = chain_of_calls(spark, tmp_path, 1, 23)
+    assert {r["node"] for r in QUERIES["g_reachable_dead"](spark, d).collect()} == set(range(4, 24))
+    assert {r["node"] for r in QUERIES["g_reachable_dead_all"](spark, d).collect()} == {22, 23}
+
+
+def test_blast_of_functions_goes_five_hops(spark, tmp_path):
+    d = chain_of_calls(spark, tmp_path, 243, 8)
+    assert sum(r["functions"] for r in QUERIES["g_blast_functions"](spark, d).collect()) == 2
+    assert sum(r["functions"] for r in QUERIES["g_blast_functions_all"](spark, d).collect()) == 5
