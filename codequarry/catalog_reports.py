@@ -327,3 +327,9 @@ def g_blast_functions_all(spark, d):
     both = graph.reach(e, s, 5).withColumn("way", F.lit("out")).unionByName(graph.reach(graph.reverse(e), s, 5).withColumn("way", F.lit("in")))
     files = fx.symbols(spark, d).select(F.col("id").alias("node"), "file")
     return both.join(files, "node").groupBy("file", "way").agg(F.count("*").alias("functions"))
+
+
+@query(ORACLES["rank_source_pref"].replace(" ORDER BY place LIMIT 100", ""))
+def rank_source_pref_all(spark, d):
+    keys = [tx.is_test_path(F.col("file")), tx.is_generated_path(F.col("file")), F.col("file"), F.col("line"), F.col("name"), F.col("id")]
+    return search.places(fx.symbols(spark, d), keys).select("id", "place")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import KIND_WEIGHT, is_test_path, symbol_text, words
+from .graph import cut
 
 K1, B = 1.2, 0.75
 #: Weights of a term's column in the ranking.
@@ -152,3 +153,19 @@ def batch(files: DataFrame, patterns: list[str]) -> DataFrame:
     flags = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col("line").rlike(p).alias("hit")) for p in patterns])
     e = lines(files).select("id", F.explode(flags).alias("x"))
     return e.groupBy(F.col("x.pattern").alias("pattern")).agg(F.count_if("x.hit").alias("matches"), F.countDistinct(F.when(F.col("x.hit"), F.col("id"))).alias("files"))
+
+
+def places(rows: DataFrame, keys: list[Column]) -> DataFrame:
+    """``rows`` with each one's ``place`` in the order of ``keys``, from 1.
+
+    Ranges of the keys are sorted apart; a range begins behind the rows of those before it.
+    """
+    ranges = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at_", F.monotonically_increasing_id()))
+    range_, at = F.shiftright("at_", 33), F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(map(tuple, ranges.groupBy(range_.alias("range_")).agg(F.count("*").alias("n")).collect()))
+    before, starts = 0, []
+    for k, n in sizes:
+        starts.append((k, before))
+        before += n
+    starts = ranges.sparkSession.createDataFrame(starts, "range_ bigint, before_ bigint")
+    return ranges.withColumn("range_", range_).join(F.broadcast(starts), "range_").withColumn("place", at + F.col("before_") + 1).drop("range_", "before_", "at_")

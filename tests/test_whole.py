@@ -49,3 +49,9 @@ def test_blast_of_functions_goes_five_hops(spark, tmp_path):
     d = chain_of_calls(spark, tmp_path, 243, 8)
     assert sum(r["functions"] for r in QUERIES["g_blast_functions"](spark, d).collect()) == 2
     assert sum(r["functions"] for r in QUERIES["g_blast_functions_all"](spark, d).collect()) == 5
+
+
+def test_every_symbol_has_a_place(spark):
+    n = spark.read.parquet(f"{DIR}/part.parquet").count()
+    assert n > 100
+    assert sorted(r["place"] for r in QUERIES["rank_source_pref_all"](spark, DIR).collect()) == list(range(1, n + 1))
