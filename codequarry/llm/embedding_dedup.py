@@ -13,14 +13,15 @@ are counted among those.  A pair that shares several bands is counted in its
 first one.
 
 Vectors that are null, zero, or have null or non-finite components link with
-nothing and are components of their own; so do those of another length than
-the most common one.  Identical vectors are collapsed first and linked with each
+nothing and are components of their own.  Each length of vectors is compared
+apart.  Identical vectors are collapsed first and linked with each
 other.  Repeated vec_ids are one vector: links between their rows are dropped.  A
 null vec_id never links.  Tables without vectors give an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from math import ceil, comb, erf, exp, log, pi, sqrt
 
@@ -161,86 +162,92 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, *, projections:
     finite = F.expr("vec_id is not null and e is not null and size(e) > 0 and forall(e, t -> t is not null and not isnan(t) and abs(t) < double('Infinity')) and exists(e, t -> t <> 0)")
     good = v.where(finite)
     ids = v.select("vec_id")
-    sizes = good.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
+    # Vectors of unlike lengths have no cosine; a length that only one row has links with nothing.
+    lengths = sorted(r["d"] for r in good.groupBy(F.size("e").alias("d")).count().where("count > 1").collect())
+    if not lengths:
         return ids.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = sizes[0]["d"]
-    keyed = good.where(F.size("e") == dim).withColumn("same", F.xxhash64("e")).groupBy("vec_id", "same", "e").agg(F.lit(1).alias("one")).drop("one")
-    groups = session.stash(keyed.groupBy("same", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
-    member = session.stash(keyed.join(groups, ["same", "e"]).select("vec_id", "rep", "copies"), "vector-members")
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     kind = np.float32 if single else np.float64
-    bands, leading = banding(groups.count(), threshold, width, recall)
-    count = calibrated(threshold, projections, 0.999, half_width)
-    axes = np.random.default_rng(seed + 1).standard_normal((dim, projections))
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        x = x.astype(np.float64)
-        x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, dim)
-            keys = band_keys(unit(x), bands, leading, width, seed)
-            raw, all_keys = np.array([r.tobytes() for r in x], object), np.array([k.tobytes() for k in keys], object)
-            for a in range(bands):  # a batch a band: no more rows at once than came in
+
+    def of_length(dim: int) -> tuple[DataFrame, DataFrame]:
+        """Members of the groups of identical vectors, and links and forests between the groups."""
+        keyed = good.where(F.size("e") == dim).withColumn("same", F.xxhash64("e")).groupBy("vec_id", "same", "e").agg(F.lit(1).alias("one")).drop("one")
+        groups = session.stash(keyed.groupBy("same", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
+        member = session.stash(keyed.join(groups, ["same", "e"]).select("vec_id", "rep", "copies"), "vector-members")
+        bands, leading = banding(groups.count(), threshold, width, recall)
+        count = calibrated(threshold, projections, 0.999, half_width)
+        axes = np.random.default_rng(seed + 1).standard_normal((dim, projections))
+
+        def unit(x: np.ndarray) -> np.ndarray:
+            x = x.astype(np.float64)
+            x = x / np.abs(x).max(1, keepdims=True)
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, dim)
+                keys = band_keys(unit(x), bands, leading, width, seed)
+                raw, all_keys = np.array([r.tobytes() for r in x], object), np.array([k.tobytes() for k in keys], object)
+                for a in range(bands):  # a batch a band: no more rows at once than came in
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, a, np.int32)), pa.array(keys[:, a]), batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(all_keys, pa.binary())],
+                        ["band", "cell", "rep", "copies", "x", "keys"],
+                    )
+
+        schema = T.StructType([T.StructField(n, t) for n, t in (("band", T.IntegerType()), ("cell", T.LongType()), ("rep", T.LongType()), ("copies", T.LongType()), ("x", T.BinaryType()), ("keys", T.BinaryType()))])
+        rows = groups.select("rep", "e", "copies").mapInArrow(spread, schema)
+        crowded = rows.groupBy("band", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+        crowded = session.stash(crowded.select("band", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded-cells")
+        rows = rows.join(crowded, ["band", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+        # Every vector meets each block of its cell, as a row of the lower or of the higher of the two.
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("band", "cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "x", "keys")
+        group = ["band", "cell", "lo", "hi"]
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for f in whole_groups(batches, group, 4096):
+                x = unit(np.frombuffer(b"".join(f["x"]), kind).reshape(-1, dim))
+                p = x @ axes
+                g = f.groupby(group, sort=False).ngroup().to_numpy()
+                order = np.lexsort((p[:, 0], g))
+                g, x, p = g[order], x[order], p[order]
+                rep, copies, block = (f[c].to_numpy()[order] for c in ("rep", "copies", "block"))
+                band, cross = f["band"].to_numpy()[order], (f["lo"] != f["hi"]).to_numpy()[order]
+                k = np.frombuffer(b"".join(f["keys"]), np.int64).reshape(-1, bands)[order]
+                earlier = np.arange(bands)[None, :] < band[:, None]
+                links = np.zeros(len(rep), np.int64)
+                ends: list[tuple[np.ndarray, np.ndarray]] = []
+                for i, j in window_pairs(g, p[:, 0], reach):
+                    ok = ~cross[i] | (block[i] != block[j])
+                    i, j = i[ok], j[ok]
+                    ok = verified(i, j, x, p, half_width, count, threshold)
+                    i, j = i[ok], j[ok]
+                    fresh = ~((k[i] == k[j]) & earlier[i]).any(1)  # not met in an earlier band
+                    i, j = i[fresh], j[fresh]
+                    if len(i):
+                        np.add.at(links, i, copies[j])
+                        np.add.at(links, j, copies[i])
+                        ends.append((rep[i], rep[j]))
+                some = np.flatnonzero(links)
+                tree = forest(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])) if ends else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, a, np.int32)), pa.array(keys[:, a]), batch.column(0), batch.column(2), pa.array(raw, pa.binary()), pa.array(all_keys, pa.binary())],
-                    ["band", "cell", "rep", "copies", "x", "keys"],
+                    [pa.array(rep[some].tolist() + [t[0] for t in tree], pa.int64()), pa.array([None] * len(some) + [t[1] for t in tree], pa.int64()), pa.array(links[some].tolist() + [0] * len(tree), pa.int64())],
+                    ["a", "b", "links"],
                 )
 
-    schema = T.StructType([T.StructField(n, t) for n, t in (("band", T.IntegerType()), ("cell", T.LongType()), ("rep", T.LongType()), ("copies", T.LongType()), ("x", T.BinaryType()), ("keys", T.BinaryType()))])
-    rows = groups.select("rep", "e", "copies").mapInArrow(spread, schema)
-    crowded = rows.groupBy("band", "cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    crowded = session.stash(crowded.select("band", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowded-cells")
-    rows = rows.join(crowded, ["band", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
-    # Every vector meets each block of its cell, as a row of the lower or of the higher of the two.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "copies", "x", "keys")
-    group = ["band", "cell", "lo", "hi"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in whole_groups(batches, group, 4096):
-            x = unit(np.frombuffer(b"".join(f["x"]), kind).reshape(-1, dim))
-            p = x @ axes
-            g = f.groupby(group, sort=False).ngroup().to_numpy()
-            order = np.lexsort((p[:, 0], g))
-            g, x, p = g[order], x[order], p[order]
-            rep, copies, block = (f[c].to_numpy()[order] for c in ("rep", "copies", "block"))
-            band, cross = f["band"].to_numpy()[order], (f["lo"] != f["hi"]).to_numpy()[order]
-            k = np.frombuffer(b"".join(f["keys"]), np.int64).reshape(-1, bands)[order]
-            earlier = np.arange(bands)[None, :] < band[:, None]
-            links = np.zeros(len(rep), np.int64)
-            ends: list[tuple[np.ndarray, np.ndarray]] = []
-            for i, j in window_pairs(g, p[:, 0], reach):
-                ok = ~cross[i] | (block[i] != block[j])
-                i, j = i[ok], j[ok]
-                ok = verified(i, j, x, p, half_width, count, threshold)
-                i, j = i[ok], j[ok]
-                fresh = ~((k[i] == k[j]) & earlier[i]).any(1)  # not met in an earlier band
-                i, j = i[fresh], j[fresh]
-                if len(i):
-                    np.add.at(links, i, copies[j])
-                    np.add.at(links, j, copies[i])
-                    ends.append((rep[i], rep[j]))
-            some = np.flatnonzero(links)
-            tree = forest(np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])) if ends else []
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rep[some].tolist() + [t[0] for t in tree], pa.int64()), pa.array([None] * len(some) + [t[1] for t in tree], pa.int64()), pa.array(links[some].tolist() + [0] * len(tree), pa.int64())],
-                ["a", "b", "links"],
-            )
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartition(parts, *group).sortWithinPartitions(*group)
-    found = session.stash(dealt.mapInArrow(compare, "a bigint, b bigint, links bigint"), "vector-links")
-    links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = rows.repartition(parts, *group).sortWithinPartitions(*group)
+        found = session.stash(dealt.mapInArrow(compare, "a bigint, b bigint, links bigint"), "vector-links")
+        return member.withColumn("d", F.lit(dim)), found.withColumn("d", F.lit(dim))
+
+    member, found = (functools.reduce(DataFrame.unionByName, parts) for parts in zip(*map(of_length, lengths), strict=True))
+    links = found.where("b is null").groupBy("d", F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     same = components(found.where("b is not null").select("a", "b").unionByName(member.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))))
-    by_vector = member.join(links, "rep", "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    by_vector = member.join(links, ["d", "rep"], "left").groupBy("vec_id").agg(F.sum(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = ids.join(by_vector, "vec_id", "left").join(same.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

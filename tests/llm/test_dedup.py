@@ -199,3 +199,12 @@ def test_edited_passages_near_the_threshold_are_found(spark):
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     pairs = {(r["doc_id"], r["ref_doc_id"]) for r in found}
     assert pairs <= {(1000 + k, k) for k in range(400)} and len(pairs) >= 0.98 * 400
+
+
+def test_vectors_of_each_length_are_compared(spark):
+    rng = np.random.default_rng(9)
+    base = {n: rng.standard_normal(n) for n in (16, 24)}
+    rows = [(i, (base[16] + rng.standard_normal(16) * 0.01).tolist()) for i in range(6)]
+    rows += [(10 + i, (base[24] + rng.standard_normal(24) * 0.01).tolist()) for i in range(4)] + [(20, base[24].tolist()), (21, base[24].tolist()), (30, [1.0] * 5)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {i: (5, 0) for i in range(6)} | {i: (5, 10) for i in (10, 11, 12, 13, 20, 21)} | {30: (0, 30)}
