@@ -108,7 +108,7 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 1 << 16, overlap: int = 1 << 10, keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 1 << 12, overlap: int = 1 << 8, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) of every text.
 
     One pass over (doc_id, text) without a shuffle; memory follows the longest text.

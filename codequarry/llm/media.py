@@ -11,7 +11,9 @@ happens to hold them is left alone.  Equal values give equal results.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -25,6 +27,27 @@ from pyspark.sql import types as T
 UNKNOWN = "application/octet-stream"
 
 
+class Marks:
+    """Places in a value that validators look ahead for, and places that are known to lead nowhere.
+
+    Found once a value, so that the work of all hits together stays in
+    proportion to its size.
+    """
+
+    def __init__(self, value: bytes):
+        self.value = value
+        self._at: dict[bytes, list[int]] = {}
+        self.dead: set[tuple] = set()
+
+    def next(self, pattern: bytes, start: int) -> int:
+        """First match of ``pattern`` at or after ``start``, -1 if there is none."""
+        if pattern not in self._at:
+            self._at[pattern] = [m.start() for m in re.finditer(pattern, self.value)]
+        at = self._at[pattern]
+        k = bisect.bisect_left(at, start)
+        return at[k] if k < len(at) else -1
+
+
 class Found(NamedTuple):
     """A confirmed file inside a value: its type, extent, and the extent of its sample data if the format has such."""
 
@@ -35,7 +58,7 @@ class Found(NamedTuple):
     data_length: int = 0
 
 
-def _wav(b: memoryview, at: int) -> Found | None:
+def _wav(b: memoryview, at: int, marks: Marks) -> Found | None:
     if len(b) - at < 12 or bytes(b[at + 8 : at + 12]) != b"WAVE":
         return None
     end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
@@ -53,7 +76,7 @@ def _wav(b: memoryview, at: int) -> Found | None:
     return Found("audio/wav", at, end - at, *data) if form and data else None
 
 
-def _bmp(b: memoryview, at: int) -> Found | None:
+def _bmp(b: memoryview, at: int, marks: Marks) -> Found | None:
     if len(b) - at < 54:
         return None
     size, zero, first, head = struct.unpack_from("<IIII", b, at + 2)
@@ -66,7 +89,7 @@ def _bmp(b: memoryview, at: int) -> Found | None:
     return Found("image/bmp", at, size, at + first, need) if first + need <= size else None
 
 
-def _png(b: memoryview, at: int) -> Found | None:
+def _png(b: memoryview, at: int, marks: Marks) -> Found | None:
     p, names = at + 8, []
     while p + 12 <= len(b):
         size, name = int.from_bytes(b[p : p + 4], "big"), bytes(b[p + 4 : p + 8])
@@ -79,7 +102,7 @@ def _png(b: memoryview, at: int) -> Found | None:
     return None
 
 
-def _gif(b: memoryview, at: int) -> Found | None:
+def _gif(b: memoryview, at: int, marks: Marks) -> Found | None:
     if len(b) - at < 14:
         return None
     flags = b[at + 10]
@@ -103,36 +126,29 @@ def _gif(b: memoryview, at: int) -> Found | None:
     return None
 
 
-def _jpeg(b: memoryview, at: int) -> Found | None:
-    p, scan = at + 2, False
-    while p + 4 <= len(b):
-        if b[p] != 0xFF:
-            return None
+def _jpeg(b: memoryview, at: int, marks: Marks) -> Found | None:
+    p, scan, met = at + 2, False, []
+    while p + 2 <= len(b) and b[p] == 0xFF and ("jpeg", p, scan) not in marks.dead:
+        met.append(("jpeg", p, scan))
         mark = b[p + 1]
         if mark == 0xD9:
-            return Found("image/jpeg", at, p + 2 - at) if scan else None
+            if scan:
+                return Found("image/jpeg", at, p + 2 - at)
+            break
         size = int.from_bytes(b[p + 2 : p + 4], "big")
-        if size < 2 or not 0xC0 <= mark <= 0xFE:
-            return None
+        if p + 4 > len(b) or size < 2 or not 0xC0 <= mark <= 0xFE:
+            break
         p += 2 + size
-        if mark == 0xDA:
+        if mark == 0xDA:  # what follows a scan's header runs up to the next marker that isn't stuffed or a restart
             scan = True
-            raw = bytes(b[p:])
-            q = 0
-            while True:
-                q = raw.find(b"\xff", q)
-                if q < 0 or q + 1 >= len(raw):
-                    return None
-                if raw[q + 1] and not 0xD0 <= raw[q + 1] <= 0xD7:
-                    break
-                q += 2
-            p += q
-    if p + 2 <= len(b) and bytes(b[p : p + 2]) == b"\xff\xd9" and scan:
-        return Found("image/jpeg", at, p + 2 - at)
+            p = marks.next(rb"\xff[^\x00\xd0-\xd7]", p)
+            if p < 0:
+                break
+    marks.dead.update(met)  # what comes after a marker doesn't depend on where the file began
     return None
 
 
-def _gzip(b: memoryview, at: int) -> Found | None:
+def _gzip(b: memoryview, at: int, marks: Marks) -> Found | None:
     if len(b) - at < 18 or b[at + 3] & 0xE0:
         return None
     d, size, p = zlib.decompressobj(31), 0, at
@@ -145,29 +161,31 @@ def _gzip(b: memoryview, at: int) -> Found | None:
     return Found("application/gzip", at, min(p, len(b)) - len(d.unused_data) - at) if d.eof else None
 
 
-def _zip(b: memoryview, at: int) -> Found | None:
-    p = at
+def _zip(b: memoryview, at: int, marks: Marks) -> Found | None:
+    p, met = at, []
     while len(b) - p >= 30 and bytes(b[p : p + 4]) == b"PK\x03\x04":
+        met.append(("zip", p))
         flags, = struct.unpack_from("<H", b, p + 6)
         packed, _, names, extra = struct.unpack_from("<IIHH", b, p + 18)
-        if flags & 8:
+        if flags & 8 or ("zip", p) in marks.dead:
+            marks.dead.update(met)
             return None
         p += 30 + names + extra + packed
     while len(b) - p >= 46 and bytes(b[p : p + 4]) == b"PK\x01\x02":
         p += 46 + sum(struct.unpack_from("<HHH", b, p + 28))
     if len(b) - p < 22 or bytes(b[p : p + 4]) != b"PK\x05\x06":
+        marks.dead.update(met)
         return None
     return Found("application/zip", at, p + 22 + int.from_bytes(b[p + 20 : p + 22], "little") - at)
 
 
-def _pdf(b: memoryview, at: int) -> Found | None:
-    raw = bytes(b[at:])
-    end = raw.find(b"%%EOF")
-    return Found("application/pdf", at, end + 5) if end > 0 and b"startxref" in raw[:end] and raw[5:6].isdigit() else None
+def _pdf(b: memoryview, at: int, marks: Marks) -> Found | None:
+    end, table = marks.next(b"%%EOF", at), marks.next(b"startxref", at)
+    return Found("application/pdf", at, end + 5 - at) if 0 < table < end and bytes(b[at + 5 : at + 6]).isdigit() else None
 
 
 #: Magic bytes of the formats, and their validators.
-SIGNATURES: list[tuple[bytes, Callable[[memoryview, int], Found | None]]] = [
+SIGNATURES: list[tuple[bytes, Callable[[memoryview, int, Marks], Found | None]]] = [
     (b"RIFF", _wav),
     (b"BM", _bmp),
     (b"\x89PNG\r\n\x1a\n", _png),
@@ -195,10 +213,10 @@ def sniff(value: bytes | None) -> list[Found]:
     """Confirmed files in order of their start; files inside another one are not carved again."""
     if not value:
         return []
-    view, found, end = memoryview(value), [], 0
+    view, found, end, marks = memoryview(value), [], 0, Marks(value)
     hits = sorted((stop - size + 1, k) for stop, (k, size) in automaton().iter(value.decode("latin-1")))
     for start, k in hits:
-        if start >= end and (f := SIGNATURES[k][1](view, start)):
+        if start >= end and (f := SIGNATURES[k][1](view, start, marks)):
             found.append(f)
             end = f.start + f.length
     return found
@@ -245,7 +263,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     """Each text as an 8-bit WAV value whose samples are its payload, found again by sniffing the stored bytes.
 
     Returns the digests of the payload as read back, of the stored form, and a
-    feature: the sniffed type, the number of carved files and the mean sample.
+    feature: the sniffed type, the number of files carved out of the payload and
+    the mean sample.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()]
@@ -256,7 +275,7 @@ def text_media(docs: DataFrame) -> DataFrame:
         found = sniff(media)
         f = found[0]
         back = media[f.data_start : f.data_start + f.data_length]
-        feature = f"{type_of(found)};carved={len(found) - 1};mean={sum(back) // len(back)}"
+        feature = f"{type_of(found)};carved={len(sniff(back))};mean={sum(back) // len(back)}"
         return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> Rul
     table = with_statistics(rows, "label").orderBy("doc_id", *STATISTICS).toPandas()
     y = table["label"].to_numpy(int)
     model = fit(table[STATISTICS].to_numpy(float), y)
-    if model.rules:
+    if len(y) and y.min() != y.max():
         full = {r["label"]: r["count"] for r in training_labels(labels, "quality").groupBy("label").count().collect()}
         model.bias += float(np.log(full[1] / full[0]) - np.log(y.mean() / (1 - y.mean())))
     return model

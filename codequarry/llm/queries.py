@@ -86,8 +86,8 @@ def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), spans=True)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

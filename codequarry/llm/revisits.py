@@ -12,7 +12,8 @@ n_bytes.  Results by case: a revisit without an earlier response is
 ETag, Last-Modified or payload digest unlike the response's it is
 ``validator_mismatch``; else ``resolved``.  Responses of one URL and instant count as
 one, the largest record_id.  Revisits at the very instant of a response do not
-see it.  Repeated rows are resolved alike.  Other columns are not read.
+see it.  Repeated rows are resolved alike; of responses with one record_id the
+one with the largest digest, size, status and headers counts.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -69,7 +70,10 @@ def resolve(records: DataFrame) -> DataFrame:
     found = found.select("canonical_url", "warc_date", F.col("hit.response_id").alias("response_id"), F.col("hit.warc_date").alias("response_date"))
     revisits = r.where("warc_type = 'revisit'").join(found, ["canonical_url", "warc_date"], "left")
     wanted = r.where(is_response).select(F.col("record_id").alias("response_id"), F.col("headers").alias("full_headers"), F.col("payload_digest").alias("full_digest"), F.col("n_bytes").alias("full_bytes"), F.col("http_status").alias("full_status"))
-    wanted = wanted.dropDuplicates(["response_id"])
+    # Responses that share a record_id: the one with the largest digest, then size, then headers counts.
+    rest = F.struct("full_headers", "full_digest", "full_bytes", "full_status")
+    rank = F.struct("full_digest", "full_bytes", "full_status", F.to_json("full_headers"))
+    wanted = wanted.groupBy("response_id").agg(F.max_by(rest, rank).alias("r")).select("response_id", "r.*")
     j = revisits.join(wanted, "response_id", "left")
 
     def differs(name: str) -> F.Column:

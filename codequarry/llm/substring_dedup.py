@@ -343,27 +343,33 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the repeated passages; rows left without a word are dropped, other texts are not touched."""
-    cuts = found.groupBy(F.col("doc_id").alias("id_")).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("cuts_"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, cuts_ in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                if cuts_:
-                    left, last = [], 0
-                    for c in cuts_:
-                        left.append(text[last : max(last, c["start_char"])])
-                        last = max(last, c["end_char"])
-                    text = "".join([*left, text[last:]])
-                    text = text if text.strip(" \t\n\v\f\r") else None
-                out.append(text)
-            cols = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            drop = [o is None and c is not None for o, c in zip(out, batch.column(len(names)).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not d for d in drop], pa.bool_()))
+    """``docs`` without the repeated passages; rows left without a word are dropped, other texts are not touched.
 
+    Only rows of documents with passages are shuffled.  Other columns are
+    carried along, whatever their names.
+    """
+    cuts = found.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("cuts"))
+    cuts = session.stash(cuts, "passages-of-documents")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    maybe, rest = session.split_by_ids(rows, F.col("id"), cuts)
+    joined = maybe.join(cuts, "id", "left")
     names = docs.columns
     at = names.index("text")
-    joined = docs.join(cuts, F.col("doc_id") == F.col("id_"), "left").select(*[F.col(f"`{n}`") for n in names], "cuts_")
-    touched = joined.where("cuts_ is not null").mapInArrow(run, T.StructType(docs.schema.fields))
-    return joined.where("cuts_ is null").drop("cuts_").unionByName(touched)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = batch.column(0), []
+            columns = row.flatten()
+            for text, cut in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, last = [], 0
+                for c in cut:
+                    left.append(text[last : max(last, c["start_char"])])
+                    last = max(last, c["end_char"])
+                text = "".join([*left, text[last:]])
+                out.append(text if text.strip(" \t\n\v\f\r") else None)
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([t is not None for t in out], pa.bool_()))
+
+    touched = joined.where("cuts is not null").select("row", "cuts").mapInArrow(run, T.StructType(docs.schema.fields))
+    plain = rest.select("row").unionByName(joined.where("cuts is null").select("row")).select("row.*")
+    return plain.unionByName(touched)

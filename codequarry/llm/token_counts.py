@@ -5,7 +5,7 @@ tokenizer's version; digests found in the cache take their stored counts, one
 row of each missing digest is encoded, and the new counts are appended.
 
 Null texts are empty (0 tokens).  Repeated rows share one digest and are encoded
-once.  A null or repeated ``doc_id`` keeps its rows.  Columns other than doc_id
+once a task that reads them, usually one.  A null or repeated ``doc_id`` keeps its rows.  Columns other than doc_id
 and text are not read.
 """
 
@@ -26,6 +26,8 @@ from . import session
 CACHE_SCHEMA = "digest string, n_tokens bigint"
 #: Words whose counts a worker remembers.
 CACHE_WORDS = 1_000_000
+#: Digests that a task remembers, so as not to encode repeated rows again.
+REMEMBERED = 1_000_000
 #: Above this code point, or for these characters, a text goes to the library as a whole.
 _LATIN_END = 0x250
 _ODD = dict.fromkeys([*range(0x1C, 0x20), 0x85, 0xA0])
@@ -110,30 +112,46 @@ def content_digest(text, version: str, fold: bool) -> F.Column:
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, *, fold: bool, by_words: bool) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of ``docs``; new counts are appended to ``cache_path``.
 
-    ``docs`` is read twice: once for digests, once for the texts of missing
-    digests, which are the only texts shuffled.  The join back to the counts has
-    one row a digest on its right side, so copies in any number stay splittable.
+    ``docs`` is read for digests, then for texts.  A missing digest of one row
+    is encoded where the row is read; of a missing digest of several rows those
+    of the smallest doc_id are brought together and one of them is encoded in
+    each task that they reach, usually one.  Texts whose digests are known are
+    neither encoded nor shuffled.  The join back to the counts has one
+    row a digest on its right side, so copies in any number stay splittable.
     """
     spark = docs.sparkSession
     session.small_batches(spark)
     version = tokenizer_version(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("digest", content_digest(F.col("text"), version, fold))
-    keyed = session.stash(rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "digest"), "digests")
-    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if session.path_exists(spark, cache_path) else None
-    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    keyed = session.stash(rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), content_digest(F.col("text"), version, fold).alias("digest")), "digests")
+    known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).select("digest") if session.path_exists(spark, cache_path) else None
+    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n"))
+    doubtful = missing.where("n > 1").select("digest")
     if known is not None:
-        first = first.join(known, "digest", "left_anti")
-    first = first.withColumnRenamed("digest", "rep_digest").withColumnRenamed("doc_id", "rep_id")
-    missing = rows.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("digest") == F.col("rep_digest")), "left_semi")
+        missing = missing.join(known, "digest", "left_anti")
+        doubtful = doubtful.unionByName(known).distinct()
+    # What isn't doubtful is a miss of one row for sure; of the others the misses are looked up by digest, and their texts brought together.
+    row = F.coalesce("doc_id", F.lit(0))
+    test = session.id_filter(keyed.join(doubtful, "digest", "left_semi").select(row.alias("id")))
+    maybe, alone = session.split(rows, row, test)
+    looked_up = session.split(keyed, row, test)[0].select("digest").distinct()
+    wanted = session.stash(missing.join(looked_up, "digest", "left_semi").select(F.col("digest").alias("id"), "rep_id"), "doubtful-misses")
+    few = session.split_by_ids(maybe, row, wanted.select(F.coalesce("rep_id", F.lit(0)).alias("id")))[0].withColumn("digest", content_digest(F.col("text"), version, fold))
+    again = few.join(wanted, (F.col("digest") == F.col("id")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    alone = alone.withColumn("digest", content_digest(F.col("text"), version, fold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path, by_words)
+        done: set[str] = set()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c.count(texts), pa.int64())], ["digest", "n_tokens"])
-
-    new = missing.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType())]))
+            texts = {d: t or "" for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d not in done}
+            done.update(texts)
+            if len(done) > REMEMBERED:
+                done.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(c.count(list(texts.values())), pa.int64())], ["digest", "n_tokens"])
+
+    schema = T.StructType([T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType())])
+    new = alone.select("digest", "text").unionByName(again.select("digest", "text")).mapInArrow(run, schema)
     new.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")).write.mode("append").parquet(cache_path)
     # Writers at the same time may have stored a digest twice; stored as one row each, the join below can be split where copies crowd.
     counts = session.stash(spark.read.schema(CACHE_SCHEMA).parquet(cache_path).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")

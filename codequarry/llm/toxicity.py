@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Two tags (clean, toxic) over the words of a text, in sequences of at most
-``SEQUENCE`` words.  A word's features are hashes of the word, of its first four
+Two tags (clean, toxic) over the words of a text, which is one chain from its
+first word to its last.  A word's features are hashes of the word, of its first four
 and five bytes and of its last four.  Forward-backward gives every word its
 marginal; the marginals give the document's score, and runs of marginals of at
 least one half the offending offsets.
@@ -9,7 +9,8 @@ least one half the offending offsets.
 Only documents carry labels, so token labels are derived first: in toxic
 training documents the words and stems that a likelihood-ratio test ties to the
 toxic label are tagged toxic.  Everything is learned from a bounded sample of
-training rows; scoring reads whole texts.
+training rows, the field from pieces of ``SEQUENCE`` words of them; scoring
+reads whole texts.
 
 Null and empty texts get the score of a document without toxic words and no
 spans.  Repeated rows get equal results, a null ``doc_id`` stays null.  With no
@@ -31,10 +32,13 @@ from . import session
 from .labelled import training_labels, training_rows
 from .textcore import _LOWER, mix, row_ids, shingles, slices, text_buffer, word_hashes, word_spans
 
+#: Words of a training piece, and of a lane in which a chain's words are worked on.
 SEQUENCE = 64
 BUCKETS = 1 << 16
 #: Clean and toxic labelled documents to fit on, at most.
 TRAINING_ROWS = (3000, 1000)
+#: Bytes of text to fit on, at most: rows beyond are left out of the sample, in the order of the ids' hashes.
+TRAINING_BYTES = 32 << 20
 #: Likelihood ratio from which a word or stem counts as tied to the label.
 TIED = 20.0
 _SALTS = [np.uint64(s) for s in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x94D049BB133111EB)]
@@ -254,7 +258,59 @@ def word_marginals(model: Crf, feature: np.ndarray, words: np.ndarray) -> np.nda
     valid = np.zeros((SEQUENCE, n), bool)
     valid[row, col] = True
     e[row, col] = sum(model.weights[k][feature[k]] for k in range(len(_SALTS))) + model.bias
-    return marginals(e, valid, model.transitions)[row, col]
+    return chain_marginals(e, valid, model.transitions, -(-np.diff(words) // SEQUENCE))[row, col]
+
+
+def chain_marginals(emission: np.ndarray, valid: np.ndarray, transitions: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """P(toxic) of each word, each text being one chain: ``blocks`` says how many lanes in a row are one text's.
+
+    Lanes only order the work.  Each lane is reduced to the matrix that takes a
+    message from its start to its end; the messages at the borders follow from
+    those, lane after lane of all texts at once, and then each lane's words.
+    """
+    steps, n = emission.shape
+    if not n:
+        return emission
+    e = np.exp(np.clip(emission, -30, 30))
+    m = np.exp(transitions)
+    g = np.zeros((2, 2, n))  # from the tag before the first word's emission, to the tag after the last's
+    g[0, 0], g[1, 1] = 1, e[0]
+    for t in range(1, steps):
+        to = np.stack([g[:, 0] * m[0, 0] + g[:, 1] * m[1, 0], (g[:, 0] * m[0, 1] + g[:, 1] * m[1, 1]) * e[t]], 1)
+        g = np.where(valid[t], to / to.sum((0, 1)), g)
+    order = np.argsort(-blocks, kind="stable")
+    start, count = (np.concatenate([[0], np.cumsum(blocks)])[:-1])[order], blocks[order]
+    before, behind = np.ones((2, n)), np.ones((2, n))
+    for j in range(1, int(count[0])):
+        at = start[: np.searchsorted(-count, -j)] + j
+        out = before[0, at - 1] * g[0][:, at - 1] + before[1, at - 1] * g[1][:, at - 1]
+        to = np.stack([out[0] * m[0, 0] + out[1] * m[1, 0], out[0] * m[0, 1] + out[1] * m[1, 1]])
+        before[:, at] = to / to.sum(0)
+    for j in range(int(count[0]) - 1, 0, -1):
+        at = start[: np.searchsorted(-count, -j)] + j
+        out = g[:, 0, at] * behind[0, at] + g[:, 1, at] * behind[1, at]
+        to = np.stack([m[0, 0] * out[0] + m[0, 1] * out[1], m[1, 0] * out[0] + m[1, 1] * out[1]])
+        behind[:, at - 1] = to / to.sum(0)
+    f = np.zeros((steps, 2, n))
+    f[0, 0], f[0, 1] = before[0], before[1] * e[0]
+    f[0] /= f[0].sum(0)
+    for t in range(1, steps):
+        p = f[t - 1]
+        f[t, 0] = p[0] * m[0, 0] + p[1] * m[1, 0]
+        f[t, 1] = (p[0] * m[0, 1] + p[1] * m[1, 1]) * e[t]
+        f[t] /= f[t].sum(0)
+    out = np.zeros((steps, n))
+    b0, b1 = behind
+    for t in range(steps - 1, -1, -1):
+        if t < steps - 1:
+            live = valid[t + 1]
+            c1 = b1 * e[t + 1]
+            n0, n1 = m[0, 0] * b0 + m[0, 1] * c1, m[1, 0] * b0 + m[1, 1] * c1
+            s = n0 + n1
+            b0, b1 = np.where(live, n0 / s, b0), np.where(live, n1 / s, b1)
+        num = f[t, 1] * b1
+        out[t] = num / (num + f[t, 0] * b0)
+    return out
 
 
 def text_start(text: str) -> int:
@@ -326,9 +382,9 @@ def below(docs: DataFrame, model: Crf, limit: float) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] = TRAINING_ROWS) -> Crf:
-    """Fit on at most ``limit`` clean and toxic labelled rows that aren't held out; the score's constant follows the classes' full counts."""
+    """Fit on at most ``limit`` clean and toxic labelled rows and TRAINING_BYTES of text that aren't held out; the score's constant follows the classes' full counts."""
     session.small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic", *limit).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = training_rows(docs, labels, "toxic", *limit, most_bytes=TRAINING_BYTES).select("doc_id", "text", "label").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = rows.column("label").to_numpy().astype(np.int64)
     model = fit(rows.column("text").combine_chunks(), y)
     if model.constant is None:
