@@ -6,8 +6,12 @@ of ``documents``.
 
 Null and empty texts pass the filtering stages: they are neither toxic nor near
 duplicates, hold no passages, weigh nothing in the mix, and have no tokens.
-Repeated rows are near duplicates of each other, so one stays.  Columns that
-``docs`` has beyond those of ``documents`` are carried along.
+Repeated rows are near duplicates of each other, so one stays.  Of near copies
+the smallest id stays, of a repeated passage the document with the smallest id
+keeps it, so no tie is left open.  Very long texts are processed whole in every
+stage.  Columns that ``docs`` has beyond those of ``documents`` are carried along
+to the last stage but one, whatever their names; the last returns its own
+columns.  Tables without rows give none.
 """
 
 from __future__ import annotations
@@ -32,18 +36,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join: the one with the smallest id.
 
-    A document without words or without an id is its own component.  Of rows
-    with one id the one with the smallest text digest stays.
+    A row without an id, or a text without words, is its own component.  Texts
+    that share an id are documents of their own: the first by digest goes by the
+    id, the others by a key from a hash, which comes after ids below 2 ** 62.
+    Rows with one id and text are one document, of which any one row of the
+    least hash over all columns stays.
+
+    Texts of documents that no decision touches are not shuffled.
     """
-    same = jaccard_join.similar_documents(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias("id_")).agg(F.min("component_id").alias("component_"))
-    kept = same.where("id_ = component_").select("id_")
-    first = docs.groupBy("doc_id").agg(F.count("*").alias("rows_"), F.min(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("first_"))
-    repeated = first.where("doc_id is not null and rows_ > 1").select(F.col("doc_id").alias("rep_id_"), "first_")
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("id_"), "left_semi")
-    once = named.join(repeated, F.col("doc_id") == F.col("rep_id_"), "left_anti")
-    again = named.join(repeated, F.col("doc_id") == F.col("rep_id_")).where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("first_"))
-    again = again.withColumn("n_", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "lang"))).where("n_ = 1")
-    return once.unionByName(again.select(*docs.columns)).unionByName(docs.where("doc_id is null"))
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
+    # Ids with several rows: their rows are told apart by digest.
+    several = session.stash(whole.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    maybe, single = session.split_by_ids(whole, F.col("id"), several)
+    maybe = maybe.join(several.withColumn("again", F.lit(True)), "id", "left").withColumn("digest", F.when(F.col("again"), digest))
+    first = session.stash(maybe.where("again").groupBy("id").agg(F.min("digest").alias("first")), "first-digests")
+    other = F.xxhash64("id", "digest").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    key = F.when(F.col("digest").isNull() | (F.col("digest") == F.col("first")), F.col("id")).otherwise(other)
+    maybe = maybe.join(first, "id", "left").select("row", "text", key.alias("id"), F.coalesce("again", F.lit(False)).alias("again"))
+    keyed = maybe.unionByName(single.select("row", "text", "id", F.lit(False).alias("again")))
+    same = jaccard_join.similar_documents(keyed.select(F.col("id").alias("doc_id"), "text"))
+    gone = session.stash(same.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies")
+    maybe, kept = session.split_by_ids(keyed, F.col("id"), gone)
+    left = kept.unionByName(maybe.join(gone, "id", "left_anti").select(*kept.columns))
+    once = left.where("again").withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("row")))).where("n = 1")
+    return left.where("not again").select("row.*").unionByName(once.select("row.*"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +92,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn, each over what the one before it kept."""
+    """The stages in turn, each over what the one before it kept.
+
+    What a stage stored for itself is deleted when its output is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = session.mark()
         docs = session.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        session.release(mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
