@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import session
 from .labelled import training_labels, training_rows
-from .textcore import _LOWER, mix, row_ids, shingles, slices, text_buffer, word_hashes, word_spans
+from .textcore import _LOWER, SLICE_BYTES, mix, row_ids, shingles, slices, text_buffer, word_hashes, word_spans
 
 #: Words of a training piece, and of a lane in which a chain's words are worked on.
 SEQUENCE = 64
@@ -38,7 +38,7 @@ BUCKETS = 1 << 16
 #: Clean and toxic labelled documents to fit on, at most.
 TRAINING_ROWS = (3000, 1000)
 #: Bytes of text to fit on, at most: rows beyond are left out of the sample, in the order of the ids' hashes.
-TRAINING_BYTES = 32 << 20
+TRAINING_BYTES = 8 << 20
 #: Likelihood ratio from which a word or stem counts as tied to the label.
 TIED = 20.0
 _SALTS = [np.uint64(s) for s in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35, 0x27D4EB2F165667C5, 0x94D049BB133111EB)]
@@ -174,10 +174,10 @@ def document_inputs(p: np.ndarray, word_offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(words)), top, np.log1p(total)], 1)
 
 
-def parts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def parts(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row range, bytes, word starts and ends, and word offsets of each slice of the texts."""
     data, offsets = text_buffer(texts)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, limit):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         yield a, b, part, *word_spans(part, off)
 
@@ -189,7 +189,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
         return Crf(empty, 0.0, np.zeros((2, 2)), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
     toxic = labels.astype(float)
     least = np.stack([np.arange(len(labels), dtype=np.uint64)] * 3, 1)
-    for a, b, data, starts, ends, words in parts(texts):
+    for a, b, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
         sh, so = shingles(word_hashes(data, starts, ends), words)
         some = np.flatnonzero(np.diff(so))
         for k, salt in enumerate(_SALTS[:3]):
@@ -199,14 +199,14 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
     tied = []
     for k in (0, 1, 2):
         found = []
-        for a, _, data, starts, ends, words in parts(texts):
+        for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
             found.append(distinct_pairs(word_keys(data, starts, ends)[k], copy[a + row_ids(np.diff(words))]))
         keys, doc = distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
         tied.append(tied_keys(keys, doc, toxic) if len(keys) else keys)
     # Sequences with a tagged word, and three times as many others for contrast, spread evenly.
     sets: list[tuple[np.ndarray, ...]] = []
     lanes_n = 0
-    for a, _, data, starts, ends, words in parts(texts):
+    for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
         keys = word_keys(data, starts, ends)
         tag = labels[a + row_ids(np.diff(words))] == 1
         tag &= np.any([np.isin(keys[k], tied[k]) for k in (0, 1, 2)], axis=0)
@@ -242,7 +242,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
         g2t += g * g
         moves += 0.2 * g / np.sqrt(g2t)
     model = Crf(weights.astype(np.float32), float(bias), moves, np.zeros(3))
-    inputs = [document_inputs(text_marginals(model, data, starts, ends, words), words) for _, _, data, starts, ends, words in parts(texts)]
+    inputs = [document_inputs(text_marginals(model, data, starts, ends, words), words) for _, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8)]
     model.document = logistic(np.concatenate(inputs), toxic)
     return model
 
