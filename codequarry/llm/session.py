@@ -15,7 +15,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Words of 64 bits of the filter of ids that scans test: 2 MB of bits.
 WORDS = 1 << 18
 

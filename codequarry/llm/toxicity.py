@@ -189,7 +189,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
         return Crf(empty, 0.0, np.zeros((2, 2)), np.zeros(3), float(labels.mean()) if len(labels) else 0.0)
     toxic = labels.astype(float)
     least = np.stack([np.arange(len(labels), dtype=np.uint64)] * 3, 1)
-    for a, b, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
+    for a, b, data, starts, ends, words in parts(texts, SLICE_BYTES // 2):
         sh, so = shingles(word_hashes(data, starts, ends), words)
         some = np.flatnonzero(np.diff(so))
         for k, salt in enumerate(_SALTS[:3]):
@@ -199,14 +199,14 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
     tied = []
     for k in (0, 1, 2):
         found = []
-        for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
+        for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 2):
             found.append(distinct_pairs(word_keys(data, starts, ends)[k], copy[a + row_ids(np.diff(words))]))
         keys, doc = distinct_pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
         tied.append(tied_keys(keys, doc, toxic) if len(keys) else keys)
     # Sequences with a tagged word, and three times as many others for contrast, spread evenly.
     sets: list[tuple[np.ndarray, ...]] = []
     lanes_n = 0
-    for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8):
+    for a, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 2):
         keys = word_keys(data, starts, ends)
         tag = labels[a + row_ids(np.diff(words))] == 1
         tag &= np.any([np.isin(keys[k], tied[k]) for k in (0, 1, 2)], axis=0)
@@ -242,7 +242,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 60) -> Crf:
         g2t += g * g
         moves += 0.2 * g / np.sqrt(g2t)
     model = Crf(weights.astype(np.float32), float(bias), moves, np.zeros(3))
-    inputs = [document_inputs(text_marginals(model, data, starts, ends, words), words) for _, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 8)]
+    inputs = [document_inputs(text_marginals(model, data, starts, ends, words), words) for _, _, data, starts, ends, words in parts(texts, SLICE_BYTES // 2)]
     model.document = logistic(np.concatenate(inputs), toxic)
     return model
 
