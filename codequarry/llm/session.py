@@ -97,7 +97,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
-    # The shuffle files of what was written go when the driver's collector finds that nothing refers to them.
+    # The shuffle files of what was written go when the driver's collector finds that nothing refers to them; the scheduler does until its next job.
+    spark.range(1).collect()
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +51,10 @@ ENOUGH = 2
 #: The short ones reach into passages with edits, the long ones tell passages apart that begin alike;
 #: one side of an owner in 46 shingles (50 words) or more always has room for a long one.
 CONTEXTS = ((0, 5, 10), (0, 5, 10, 15, 20, 22))
-KEYS = ("left_short", "left_long", "right_short", "right_long")
+#: Kinds of keys: 0 and 1 short and long to the left, 2 and 3 to the right.
+KINDS = 4
+#: Windows of one owner beyond which its groups are pre-aggregated instead of found in one task.
+CROWD = 10_000
 #: Unmatched shingles inside a passage that don't end it: two edits side by side.
 GAP = 10
 _POSITION = np.uint64((1 << 28) - 1)
@@ -111,25 +115,30 @@ def compact_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tupl
     return d, owner, first, last
 
 
-def context_key(sh: np.ndarray, owner: np.ndarray, bound: np.ndarray, side: int, steps: tuple[int, ...]) -> pa.Array:
-    """Hash of the words on one side of each owner; null where they don't lie in its window."""
+def context_key(sh: np.ndarray, owner: np.ndarray, bound: np.ndarray, side: int, steps: tuple[int, ...]) -> np.ndarray:
+    """32-bit hash of the words on one side of each owner, never 0; 0 where they don't lie in its window."""
     inside = (owner + side * steps[-1] <= bound) if side > 0 else (owner + side * steps[-1] >= bound)
     acc = np.full(len(owner), 0x51, np.uint64)
     for step in steps:
         at = np.clip(owner + side * step, 0, len(sh) - 1)
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sh[at])
-    return pa.array((acc >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~inside)
+    return np.where(inside, (acc >> np.uint64(32)) | np.uint64(1), np.uint64(0))
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, *, owners_only: bool = False) -> DataFrame:
-    """Compact windows of all texts: owner's value, doc_id, function, owner, first, last, and the keys of both sides.
-
-    Positions count shingles of the text.  The keys are meant beside the
-    owner's value, which is different under each function.  ``owners_only``
-    returns the owners' values alone.
+    """Compact windows of all texts, in six numbers each: owner's value, doc_id, place, ahead, left, right.
+
+    ``place`` holds the owner's position and how far the window reaches before
+    it, ``ahead`` how far behind it and the function, ``left`` and ``right`` the
+    short and the long key of that side; see ``unpacked``.  Positions count
+    shingles of the text.  The keys are meant beside the owner's value, which is
+    different under each function.  ``owners_only`` returns the owners' values
+    alone.
     """
+    if not 1 <= functions <= 8:
+        raise ValueError("1 to 8 functions")
     width = min_words - SHINGLE_WORDS + 1
-    names = ["owner", "doc_id", "f", "c", "l", "r", *KEYS]
+    names = ["owner", "doc_id", "place", "ahead", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +157,46 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, functions: int = FUNCTI
                     if owners_only:
                         yield pa.RecordBatch.from_arrays([owner], names[:1])
                         continue
-                    base = so[d]
-                    keys = [context_key(sh, c, bound, side, steps) for bound, side in ((first, -1), (last, 1)) for steps in CONTEXTS]
-                    yield pa.RecordBatch.from_arrays([owner, pa.array(ids[a + d].astype(np.int64)), pa.array(np.full(len(c), f, np.int32)), *(pa.array((x - base).astype(np.int32)) for x in (c, first, last)), *keys], names)
+                    sides = [(short << np.uint64(32)) | long for short, long in ([context_key(sh, c, bound, side, steps) for steps in CONTEXTS] for bound, side in ((first, -1), (last, 1)))]
+                    columns = [ids[a + d].astype(np.int64), ((c - so[d]) << 32) | (c - first), ((last - c) << 3) | f, *(x.view(np.int64) for x in sides)]
+                    yield pa.RecordBatch.from_arrays([owner, *map(pa.array, columns)], names)
 
-    schema = "owner bigint" if owners_only else "owner bigint, doc_id bigint, f int, c int, l int, r int, " + ", ".join(f"{k} int" for k in KEYS)
+    schema = ", ".join(f"{n} bigint" for n in (names[:1] if owners_only else names))
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def unpacked(place, ahead) -> dict:
+    """c, l, r and f of a window: its owner's position, its first and last, and its function."""
+    c = F.shiftright(place, 32)
+    return {"c": c.cast("int"), "l": (c - place.bitwiseAND((1 << 32) - 1)).cast("int"), "r": (c + F.shiftright(ahead, 3)).cast("int"), "f": ahead.bitwiseAND(7).cast("int")}
+
+
+def keyed_windows(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> DataFrame:
+    """owner, key (a kind and a hash), doc_id, place, ahead: a row for each key that a window has."""
+    half = lambda x, k: F.shiftrightunsigned(x, 32) if k % 2 == 0 else x.bitwiseAND((1 << 32) - 1)
+    keys = F.array(*[F.when(half(F.col("left" if k < 2 else "right"), k) != 0, half(F.col("left" if k < 2 else "right"), k).bitwiseOR(k << 32)) for k in kinds])
+    return kept.select("owner", "doc_id", "place", "ahead", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
+
+
+def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> DataFrame:
+    """owner, key, c, doc_id, ref, link (f, l, r, rl, rr): each window with the first document of each of its groups.
+
+    Windows of one owner come together in a task, which finds the groups; those
+    of a crowded owner are pre-aggregated by group and joined to its first
+    document instead, which Spark splits where it is uneven.
+    """
+    key = ["owner", "key"]
+    first, last = F.min(F.struct("doc_id", "place", "ahead")), F.max("doc_id")
+    group = W.partitionBy(*key)
+    plain = keyed_windows(kept.where("not crowded").repartition("owner"), kinds).withColumn("first", first.over(group)).withColumn("last", last.over(group)).where("doc_id > first.doc_id").drop("last")
+    crowd = keyed_windows(kept.where("crowded"), kinds)
+    lead = crowd.groupBy(*key).agg(first.alias("first"), last.alias("last")).where("last > first.doc_id").drop("last")
+    crowd = crowd.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id").select(*plain.columns)
+    mine, other = unpacked(F.col("place"), F.col("ahead")), unpacked(F.col("first.place"), F.col("first.ahead"))
+    link = F.struct(mine["f"].alias("f"), mine["l"].alias("l"), mine["r"].alias("r"), other["l"].alias("rl"), other["r"].alias("rr"))
+    return plain.unionByName(crowd).select(*key, mine["c"].alias("c"), "doc_id", F.col("first.doc_id").alias("ref"), link.alias("link"))
+
+
 def overlapping(links: list[dict], enough: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Intervals of either document covered by the linked windows of ``enough`` functions."""
     out = []
@@ -281,16 +322,18 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int, enough
     return pairs.join(mine, "doc_id").join(other, "ref").select("doc_id", "ref", "links", "text", "ref_text").mapInArrow(run, RESULT)
 
 
-def linked_again(docs: DataFrame, kept: DataFrame, links: DataFrame, found: DataFrame, width: int) -> DataFrame:
+def linked_again(docs: DataFrame, kept: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """(doc_id, ref, links): documents joined to the first one with the same run of ``width`` shingles, for runs that ``found`` doesn't cover."""
     once = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n")).where("n = 1").select("doc_id")  # else positions are of several texts
     spans = found.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("a"), (F.col("end_word") - SHINGLE_WORDS).alias("b"))).alias("spans"))
     # One side of an owner always has room for a long key in such a run.
-    long = links.where(F.col("link.f") == 0).where(F.col("kind") % 2 == 1).join(spans, "doc_id", "left")
+    kept = kept.where("(ahead & 7) = 0")
+    long = linked(kept, (1, 3)).join(spans, "doc_id", "left")
     low, high = F.greatest("link.l", F.col("c") - (width - 1)), F.least("link.r", F.col("c") + (width - 1))
-    open_ = long.where(~F.coalesce(F.exists("spans", lambda x: (x["a"] <= low) & (x["b"] >= high)), F.lit(False))).select("owner", "kind", "key").distinct()
-    members = kept.where("f = 0").select("owner", "doc_id", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null and kind % 2 = 1")
-    members = members.join(open_.hint("shuffle_hash"), ["owner", "kind", "key"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("owner", "c", "l", "r")).alias("at"))
+    open_ = long.where(~F.coalesce(F.exists("spans", lambda x: (x["a"] <= low) & (x["b"] >= high)), F.lit(False))).select("owner", "key").distinct()
+    members = keyed_windows(kept, (1, 3)).join(open_.hint("shuffle_hash"), ["owner", "key"], "left_semi")
+    u = unpacked(F.col("place"), F.col("ahead"))
+    members = members.groupBy("doc_id").agg(F.collect_set(F.struct("owner", *[u[n].alias(n) for n in "clr"])).alias("at"))
     members = session.stash(members.join(spans, "doc_id", "left"), "open-windows")
     texts = session.texts_of(docs, members.select(F.col("doc_id").alias("id")))
     salt = salts(1)[0]
@@ -328,17 +371,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     """
     spark = docs.sparkSession
     session.small_batches(spark)
-    twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner", "left_semi"), "shared-windows")
-    keyed = kept.select("owner", "doc_id", "f", "c", "l", "r", F.posexplode(F.array(*KEYS)).alias("kind", "key")).where("key is not null")
-    key = ["owner", "kind", "key"]
-    lead = keyed.groupBy(*key).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("first"), F.max("doc_id").alias("last")).where("last > first.doc_id")
-    links = keyed.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id")
-    links = links.select(*key, "c", "doc_id", F.col("first.doc_id").alias("ref"), F.struct("f", "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr")).alias("link"))
-    pairs = links.groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links"), F.countDistinct("link.f").alias("fs")).where(F.col("fs") >= enough).drop("fs")
+    twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner", (F.col("n") > CROWD).alias("crowded"))
+    kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner"), "shared-windows")
+    pairs = linked(kept).groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
     width = min_words - SHINGLE_WORDS + 1
     found = session.stash(verified(docs, session.stash(pairs, "linked-documents"), percent, width, enough), "first-passages")
-    again = session.stash(linked_again(docs, kept, links, found, width), "documents-linked-again")
+    again = session.stash(linked_again(docs, kept, found, width), "documents-linked-again")
     return found.unionByName(verified(docs, again, percent, width, 1)).distinct()
 
 
