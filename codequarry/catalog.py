@@ -129,17 +129,19 @@ def flt_expr(spark, d):
     return parsers.filter_results(fx.symbols(spark, d), "name=~blue*,kind=method").select("id", "name")
 
 
-@query("SELECT id, CASE kind WHEN 'class' THEN 'c' || id WHEN 'function' THEN 'f' || id ELSE 'unknown' END AS declared FROM symbols", ("symbols",))
+@query("SELECT id, CASE kind WHEN 'method' THEN 'm' || id WHEN 'function' THEN CASE WHEN id % 2 = 0 THEN 'f' || id ELSE 'g' || id END ELSE 'unknown' END AS declared FROM symbols", ("symbols",))
 def flt_name_extract(spark, d):
     s = fx.symbols(spark, d)
     i = F.col("id").cast("string")
-    code = F.when(F.col("kind") == "class", F.concat(F.lit("class c"), i, F.lit(" {"))).when(F.col("kind") == "function", F.concat(F.lit("def f"), i, F.lit("(a, b):"))).otherwise("x = 1")
+    function = F.when(F.col("id") % 2 == 0, F.concat(F.lit("def f"), i, F.lit("(a, b):"))).otherwise(F.concat(F.lit("function g"), i, F.lit("(a) {")))
+    method = F.concat(F.lit("public static List<int> m"), i, F.lit("(int a) {"))
+    code = F.when(F.col("kind") == "class", F.concat(F.lit("class c"), i, F.lit(" {"))).when(F.col("kind") == "method", method).when(F.col("kind") == "function", function).otherwise("x = 1")
     return s.select("id", tx.name_of(code).alias("declared"))
 
 
 @query("SELECT id, CAST(complexity % 4 AS INTEGER) AS params FROM symbols", ("symbols",))
 def flt_params(spark, d):
-    names = F.concat_ws(", ", F.slice(F.array(*[F.lit(x) for x in ("a", "Map<K, V> b", "c = 1")]), F.lit(1), (F.col("complexity") % 4).cast("int")))
+    names = F.concat_ws(", ", F.slice(F.array(*[F.lit(x) for x in ("a", "Map<K, List<Pair<V, W>>> b", "c = 1")]), F.lit(1), (F.col("complexity") % 4).cast("int")))
     return fx.symbols(spark, d).select("id", tx.param_count(F.concat(F.lit("void f("), names, F.lit(") {"))).cast("int").alias("params"))
 
 
@@ -160,9 +162,12 @@ def flt_chain_not(spark, d):
     return fx.symbols(spark, d).where(~predicate({"name": "ring"})).select("id")
 
 
-@query("SELECT file, regexp_matches('/' || file, '/(tests)/') AS test, regexp_matches('/' || file, '/(tests)/') AS canonical, contains(file, '/gen/') AS generated FROM (SELECT DISTINCT file FROM symbols)", ("symbols",))
+@query("+ p AS (SELECT DISTINCT CASE id % 8 WHEN 0 THEN file WHEN 1 THEN 'specs/' || file WHEN 2 THEN 'test_a' || (id % 5) || '.py' WHEN 3 THEN 'lib/test_b' || (id % 5) || '.py' WHEN 4 THEN 'lib/c_test.go' WHEN 5 THEN 'lib/d.spec.jsx' WHEN 6 THEN 'gen/e.ts' ELSE 'a/Vendor/fixtures/f.go' END AS file, id % 8 AS k FROM symbols) SELECT file, CASE k WHEN 0 THEN contains(file, '/tests/') WHEN 1 THEN contains(file, '/tests/') WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 7 THEN true ELSE false END AS test, CASE k WHEN 0 THEN contains(file, '/tests/') WHEN 1 THEN true WHEN 2 THEN true WHEN 4 THEN true WHEN 5 THEN true WHEN 7 THEN true ELSE false END AS canonical, CASE k WHEN 0 THEN contains(file, '/gen/') WHEN 1 THEN contains(file, '/gen/') WHEN 7 THEN true ELSE false END AS generated FROM p", ("symbols",))
 def flt_test_path(spark, d):
-    f = fx.symbols(spark, d).select("file").distinct()
+    k, five = F.col("id") % 8, (F.col("id") % 5).cast("string")
+    file = F.when(k == 0, F.col("file")).when(k == 1, F.concat(F.lit("specs/"), "file")).when(k == 2, F.concat(F.lit("test_a"), five, F.lit(".py"))).when(k == 3, F.concat(F.lit("lib/test_b"), five, F.lit(".py")))
+    file = file.when(k == 4, "lib/c_test.go").when(k == 5, "lib/d.spec.jsx").when(k == 6, "gen/e.ts").otherwise("a/Vendor/fixtures/f.go")
+    f = fx.symbols(spark, d).select(file.alias("file")).distinct()
     return f.select("file", tx.is_test_path(F.col("file")).alias("test"), tx.is_test_path_canonical(F.col("file")).alias("canonical"), tx.is_generated_path(F.col("file")).alias("generated"))
 
 
@@ -246,16 +251,22 @@ def agg_cross_file(spark, d):
     return metrics.cross_file(fx.call_edges(spark, d))
 
 
-_COUPLING = "SELECT least(a, b) AS file_a, greatest(a, b) AS file_b, CAST(sum(i) AS BIGINT) AS imports, CAST(sum(c) AS BIGINT) AS calls, 2.0 * sum(i) + sum(c) AS score, 2.0 * sum(i) + sum(c) >= 5 AS high FROM (SELECT src AS a, dst AS b, 1 AS i, 0 AS c FROM imports UNION ALL SELECT src, dst, 0, 1 FROM import_top2) x WHERE a <> b GROUP BY 1, 2"
+_FILE_IMPORTS = "SELECT DISTINCT caller_file AS src, callee_file AS dst FROM call_edges WHERE caller_file <> callee_file AND weight > 1"
+_COUPLING = f"SELECT least(a, b) AS file_a, greatest(a, b) AS file_b, CAST(sum(i) AS BIGINT) AS imports, CAST(sum(c) AS BIGINT) AS calls, CAST(2.0 * sum(i) + sum(c) AS DOUBLE) AS score, 2.0 * sum(i) + sum(c) >= 5 AS high FROM (SELECT src AS a, dst AS b, 1 AS i, 0 AS c FROM ({_FILE_IMPORTS}) f UNION ALL SELECT caller_file, callee_file, 0, 1 FROM call_edges) x WHERE a <> b GROUP BY 1, 2"
+
+
+def _file_imports(spark, d):
+    """Imports between files: a file imports what it calls more than once."""
+    e = fx.call_edges(spark, d).where("caller_file <> callee_file and weight > 1")
+    return e.select(F.col("caller_file").alias("src"), F.col("callee_file").alias("dst")).distinct()
 
 
 def _coupling(spark, d):
-    i = fx.imports(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    c = fx.import_top2(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return metrics.coupling(i, c)
+    ends = lambda e, a, b: e.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    return metrics.coupling(ends(_file_imports(spark, d), "src", "dst"), ends(fx.call_edges(spark, d), "caller_file", "callee_file"))
 
 
-@query(_COUPLING.replace("2.0 * sum(i) + sum(c) AS score", "CAST(2.0 * sum(i) + sum(c) AS DOUBLE) AS score"), ("imports", "import_top2"))
+@query(_COUPLING, ("call_edges",))
 def agg_coupling(spark, d):
     return _coupling(spark, d)
 
@@ -265,9 +276,9 @@ def agg_instability(spark, d):
     return metrics.instability(fx.imports(spark, d))
 
 
-@query(f"+ p AS ({_COUPLING}), m AS (SELECT module, sum(e) / CAST(sum(a) + sum(e) AS DOUBLE) AS i FROM (SELECT src AS module, 0 AS a, 1 AS e FROM imports UNION ALL SELECT dst, 1, 0 FROM imports) x GROUP BY 1) SELECT (SELECT count(*) FROM m) AS modules, (SELECT count(*) FROM m WHERE round(i, 4) >= 0.7) AS unstable, count(*) AS pairs, count(*) FILTER (WHERE high) AS high, round(avg(score), 2) AS avg_score, CAST(max(score) AS DOUBLE) AS max_score FROM p", ("imports", "import_top2"))
+@query(f"+ p AS ({_COUPLING}), m AS (SELECT module, sum(e) / CAST(sum(a) + sum(e) AS DOUBLE) AS i FROM (SELECT src AS module, 0 AS a, 1 AS e FROM ({_FILE_IMPORTS}) u UNION ALL SELECT dst, 1, 0 FROM ({_FILE_IMPORTS}) v) x GROUP BY 1) SELECT (SELECT count(*) FROM m) AS modules, (SELECT count(*) FROM m WHERE round(i, 4) >= 0.7) AS unstable, count(*) AS pairs, count(*) FILTER (WHERE high) AS high, round(avg(score), 2) AS avg_score, max(score) AS max_score FROM p", ("call_edges",))
 def agg_matrix_summary(spark, d):
-    return metrics.matrix_summary(_coupling(spark, d), metrics.instability(fx.imports(spark, d)))
+    return metrics.matrix_summary(_coupling(spark, d), metrics.instability(_file_imports(spark, d)))
 
 
 @query("+ e AS (SELECT src_package AS a, dst_package AS b, weight FROM imports UNION ALL SELECT dst_package, src_package, weight FROM imports) SELECT a, " + ", ".join(f"CAST(sum(weight) FILTER (WHERE b = {k}) AS BIGINT) AS \"{k}\"" for k in range(5)) + " FROM e GROUP BY 1", ("imports",))
@@ -325,18 +336,38 @@ def agg_activation(spark, d):
     return metrics.activation(fx.commit_files(spark, d), "2001-08-01")
 
 
-_WEIGHTED = "round((10.0 * greatest(0.0, 100.0 - complexity) + CASE WHEN class IS NULL THEN 0 ELSE 25.0 * (line % 100) END + 20.0 * (end_line % 100)) / (30.0 + CASE WHEN class IS NULL THEN 0 ELSE 25.0 END), 4)"
+_DIMENSIONS = {
+    "size": (10, "greatest(0.0, 100.0 - complexity)"), "complexity": (25, "CASE WHEN class IS NOT NULL THEN line % 100 END"), "dependencies": (20, "end_line % 100"), "coverage": (10, "CASE WHEN kind = 'function' THEN id * 7 % 101 END"),
+    "duplication": (10, "id * 3 % 101"), "structure": (15, "CASE WHEN language <> 'go' THEN id * 5 % 101 END"), "hotspot": (10, "id * 11 % 101"),
+}
+_WEIGHTED = "round((" + " + ".join(f"{w}.0 * coalesce({x}, 0)" for w, x in _DIMENSIONS.values()) + ") / (" + " + ".join(f"CASE WHEN {x} IS NULL THEN 0.0 ELSE {w}.0 END" for w, x in _DIMENSIONS.values()) + "), 4)"
 
 
 @query(f"SELECT id, total, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 50 THEN 'D' ELSE 'F' END AS grade FROM (SELECT id, CAST({_WEIGHTED} AS DOUBLE) AS total FROM symbols) x", ("symbols",))
 def agg_weighted_health(spark, d):
-    s = fx.symbols(spark, d).withColumn("size", F.greatest(F.lit(0.0), 100.0 - F.col("complexity")))
-    s = s.withColumn("complexity", F.when(F.col("class").isNotNull(), (F.col("line") % 100).cast("double"))).withColumn("dependencies", (F.col("end_line") % 100).cast("double"))
-    w = {k: quality.HEALTH_WEIGHTS[k] for k in ("size", "complexity", "dependencies")}
-    return metrics.weighted_health(s, w).select("id", "total", "grade")
+    """All seven dimensions, some of them missing."""
+    i = F.col("id")
+    rows = fx.symbols(spark, d).select(
+        "id", F.greatest(F.lit(0.0), 100.0 - F.col("complexity")).alias("size"), F.when(F.col("class").isNotNull(), F.col("line") % 100).cast("double").alias("complexity"), (F.col("end_line") % 100).cast("double").alias("dependencies"),
+        F.when(F.col("kind") == "function", i * 7 % 101).cast("double").alias("coverage"), (i * 3 % 101).cast("double").alias("duplication"), F.when(F.col("language") != "go", i * 5 % 101).cast("double").alias("structure"), (i * 11 % 101).cast("double").alias("hotspot"),
+    )
+    return metrics.weighted_health(rows, quality.HEALTH_WEIGHTS).select("id", "total", "grade")
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _without_comments(x: str) -> str:
+    for p in tx.NOT_CODE:
+        x = f"regexp_replace({x}, {_sql(p)}, '', 'g')"
+    return x
 
 
-@query("+ l AS (SELECT id, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS v FROM files), b AS (SELECT id, v[i] || chr(10) || v[i + 1] || chr(10) || v[i + 2] AS b, count(*) AS n FROM (SELECT id, v, unnest(range(1, len(v) - 1)) AS i FROM l WHERE len(v) >= 3) x GROUP BY 1, 2) SELECT id, count(*) AS blocks, count(*) FILTER (WHERE n > 1) AS repeated FROM b GROUP BY 1", ("files",))
+_BLOCKS = f"+ l AS (SELECT id, string_split_regex(content, {_sql(tx.LINE_END)}) AS v FROM files), w AS (SELECT id, list_transform(CASE WHEN v[-1] = '' THEN v[:-2] ELSE v END, lambda x: regexp_replace(x, {_sql(f'^{tx.BLANK}+|{tx.BLANK}+$')}, '', 'g')) AS v FROM l), b AS (SELECT id, v[i] || chr(10) || v[i + 1] || chr(10) || v[i + 2] AS b, count(*) AS n FROM (SELECT id, v, unnest(range(1, len(v) - 1)) AS i FROM w WHERE len(v) >= 10) x GROUP BY 1, 2) SELECT f.id, count(b.b) AS blocks, count(b.b) FILTER (WHERE n > 1) AS repeated FROM files f LEFT JOIN b ON b.id = f.id AND b.b <> chr(10) || chr(10) GROUP BY 1"
+
+
+@query(_BLOCKS, ("files",))
 def agg_dup_blocks(spark, d):
     return metrics.duplicate_blocks(fx.files(spark, d))
 
@@ -382,7 +413,7 @@ def rank_bm25(spark, d):
     return search.bm25(fx.symbols(spark, d), _BM)
 
 
-@query("+ c AS (SELECT *, CASE WHEN name = 'blue gear' THEN 0 WHEN contains(name, 'blue gear') THEN 1 WHEN levenshtein(name, 'blue gear') <= 2 THEN 2 END AS tier FROM symbols), s AS (SELECT *, CASE tier WHEN 0 THEN 0.82 WHEN 1 THEN 0.42 ELSE 0.36 - 0.08 * levenshtein(name, 'blue gear') END + CASE WHEN name = 'blue gear' THEN 0.16 WHEN starts_with(name, 'blue gear') THEN 0.12 WHEN contains(name, 'blue gear') THEN 0.07 ELSE 0 END + CASE WHEN kind IN ('class', 'function', 'method') THEN 0.02 ELSE 0 END AS sc, count(*) OVER (PARTITION BY file) AS near FROM c WHERE tier IS NOT NULL) SELECT id, name, file, tier, CAST(round(least(1.0, sc + least(0.06, 0.02 * (near - 1))), 3) AS DOUBLE) AS score, contains(file, '/tests/') AS test FROM s", ("symbols",))
+@query(_bm25_sql() .replace("+ tok AS", "+ bm AS (WITH tok AS", 1) + "), c AS (SELECT s.*, bm.score AS rank, levenshtein(regexp_replace(lower(s.name), '[^a-z0-9]', '', 'g'), 'bluegear') AS edits FROM symbols s LEFT JOIN bm USING (id)), t AS (SELECT *, CASE WHEN name = 'blue gear' THEN 0 WHEN rank IS NOT NULL THEN 1 WHEN contains(lower(name), 'blue gear') THEN 2 WHEN edits <= 2 THEN 3 END AS tier FROM c), u AS (SELECT *, round(greatest(0.0, least(1.0, CASE tier WHEN 0 THEN 0.82 WHEN 1 THEN rank * 0.75 WHEN 2 THEN 0.42 ELSE 0.36 - 0.08 * edits END + CASE kind WHEN 'class' THEN 0.08 WHEN 'function' THEN 0.08 WHEN 'method' THEN 0.08 WHEN 'type' THEN 0.06 WHEN 'constant' THEN 0.04 WHEN 'import' THEN -0.08 ELSE 0.0 END + CASE WHEN lower(name) = 'blue gear' THEN 0.16 WHEN starts_with(lower(name), 'blue gear') THEN 0.12 WHEN contains(lower(name), 'blue gear') THEN 0.07 ELSE 0.0 END)), 3) AS sc, row_number() OVER (PARTITION BY name, file, line ORDER BY tier, id) AS k FROM t WHERE tier IS NOT NULL) SELECT id, name, file, tier, CAST(round(least(1.0, sc + least(0.06, 0.02 * (count(*) OVER (PARTITION BY file) - 1))), 3) AS DOUBLE) AS score, contains(file, '/tests/') AS test FROM u WHERE k = 1", ("symbols",))
 def rank_cascade(spark, d):
     return search.cascade(fx.symbols(spark, d), "blue gear")
 
@@ -412,29 +443,30 @@ def rank_top_per_file(spark, d):
     return metrics.top_per_file(fx.symbols(spark, d))
 
 
-@query(f"SELECT file_a, file_b, CAST(score AS DOUBLE) AS score FROM ({_COUPLING}) p ORDER BY score DESC, file_a, file_b LIMIT 10", ("imports", "import_top2"))
+@query(f"SELECT file_a, file_b, score FROM ({_COUPLING}) p ORDER BY score DESC, file_a, file_b LIMIT 10", ("call_edges",))
 def rank_most_coupled(spark, d):
     return _coupling(spark, d).orderBy(F.desc("score"), "file_a", "file_b").limit(10).select("file_a", "file_b", "score")
 
 
-@query("SELECT id, row_number() OVER (ORDER BY contains(file, '/tests/'), contains(file, '/gen/'), file, line, name, id) AS place FROM symbols ORDER BY place LIMIT 100", ("symbols",))
+@query("SELECT id, row_number() OVER (ORDER BY contains(file, '/tests/'), contains(file, '/gen/'), file, line, name, id) AS place FROM symbols", ("symbols",))
 def rank_source_pref(spark, d):
-    s = fx.symbols(spark, d)
     keys = [tx.is_test_path(F.col("file")), tx.is_generated_path(F.col("file")), F.col("file"), F.col("line"), F.col("name"), F.col("id")]
-    top = s.orderBy(*keys).limit(100)
-    return top.select("id", F.row_number().over(W.orderBy(*keys)).alias("place"))  # of the 100 taken
+    return search.places(fx.symbols(spark, d), keys).select("id", "place")
 
 
 def _pagerank_sql(rounds: int) -> str:
-    parts = ["+ e AS MATERIALIZED (SELECT caller AS src, callee AS dst FROM calls)", "o AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY 1)", "v AS MATERIALIZED (SELECT id AS node, coalesce(out, 0) AS out, count(*) OVER () AS n FROM symbols LEFT JOIN o ON o.src = symbols.id)", "r0 AS MATERIALIZED (SELECT node, out, n, 1.0::DOUBLE / n AS rank FROM v)"]
+    parts = ["+ e AS MATERIALIZED (SELECT caller AS src, callee AS dst FROM calls)", "o AS MATERIALIZED (SELECT src, count(*) AS out FROM e GROUP BY 1)", "v AS MATERIALIZED (SELECT id AS node, coalesce(out, 0) AS out, count(*) OVER () AS n FROM symbols LEFT JOIN o ON o.src = symbols.id)", "r0 AS MATERIALIZED (SELECT node, out, n, 1.0::DOUBLE / n AS rank, 1e9::DOUBLE AS moved FROM v)"]
     for k in range(1, rounds + 1):
-        parts.append(f"r{k} AS MATERIALIZED (SELECT r.node, r.out, r.n, 0.15 / r.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE out = 0) / r.n + 0.85 * coalesce(g.got, 0) AS rank FROM r{k - 1} r LEFT JOIN (SELECT e.dst, sum(p.rank / p.out) AS got FROM e JOIN r{k - 1} p ON p.node = e.src GROUP BY 1) g ON g.dst = r.node)")
+        new = f"0.15 / r.n + 0.85 * (SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE out = 0) / r.n + 0.85 * coalesce(g.got, 0)"
+        parts.append(f"s{k} AS MATERIALIZED (SELECT r.node, r.out, r.n, r.rank AS old, r.moved, CASE WHEN r.moved < 1e-6 * r.n THEN r.rank ELSE {new} END AS rank FROM r{k - 1} r LEFT JOIN (SELECT e.dst, sum(p.rank / p.out) AS got FROM e JOIN r{k - 1} p ON p.node = e.src GROUP BY 1) g ON g.dst = r.node)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT node, out, n, rank, CASE WHEN moved < 1e-6 * n THEN moved ELSE sum(abs(rank - old)) OVER () END AS moved FROM s{k})")
     return ", ".join(parts) + f" SELECT node, round(rank, 9) AS rank, (SELECT count(*) FROM e WHERE dst = node) AS inbound FROM r{rounds}"
 
 
-@query(_pagerank_sql(12), ("call_edges",))
+@query(_pagerank_sql(40), ("call_edges",))
 def rank_pagerank(spark, d):
-    r = graph.pagerank(_ids(spark, d), _nodes(spark, d), max_iter=12, tolerance=0.0)
+    """Until the ranks together move by less than a millionth a node; the SQL has as many rounds and repeats the last one."""
+    r = graph.pagerank(_ids(spark, d), _nodes(spark, d), max_iter=100)
     return r.select("node", F.round("rank", 9).alias("rank"), "inbound")
 
 
@@ -554,9 +586,9 @@ def g_hier_tree(spark, d):
     return t.withColumn("path", F.array_join("path", "/"))
 
 
-@query("+ r AS (SELECT [m.src] AS path, m.src AS node, 0 AS d, false AS circular FROM (SELECT 'm3' AS src) m UNION ALL SELECT list_append(path, dst), dst, d + 1, list_contains(path, dst) FROM r JOIN import_top2 i ON i.src = r.node WHERE d < 4 AND NOT circular) SELECT array_to_string(path, '/') AS path, node, d AS depth, circular FROM r", ("import_top2",), True)
+@query("+ r AS (SELECT [m.src] AS path, m.src AS node, 0 AS d, false AS circular FROM (SELECT 'm3' AS src) m UNION ALL SELECT list_append(path, dst), dst, d + 1, list_contains(path, dst) FROM r JOIN imports i ON i.src = r.node WHERE d < 3 AND NOT circular) SELECT array_to_string(path, '/') AS path, node, d AS depth, circular FROM r", ("imports",), True)
 def g_tree(spark, d):
-    return graph.tree(fx.import_top2(spark, d).select("src", "dst"), "m3", 4).withColumn("path", F.array_join("path", "/"))
+    return graph.tree(fx.imports(spark, d).select("src", "dst"), "m3", 3).withColumn("path", F.array_join("path", "/"))
 
 
 @query("+ r AS (SELECT [CAST(243 AS BIGINT)] AS path, CAST(243 AS BIGINT) AS node, 0 AS d UNION ALL SELECT list_append(path, c.callee), c.callee, d + 1 FROM r JOIN calls c ON c.caller = r.node WHERE d < 3 AND node <> 100), h AS (SELECT path, d FROM r WHERE node = 100), b AS (SELECT path, d FROM h WHERE d = (SELECT min(d) FROM h) ORDER BY path LIMIT 5) SELECT array_to_string(path, '/') AS path, CAST(d AS INTEGER) AS hops FROM b", ("call_edges",), True)
@@ -564,26 +596,37 @@ def g_path(spark, d):
     return graph.shortest_paths(_ids(spark, d), SEED, 100, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "hops")
 
 
-@query("+ r AS (SELECT 'm0' AS node, 0 AS d UNION SELECT i.src, d + 1 FROM r JOIN import_top2 i ON i.dst = r.node WHERE d < 10) SELECT node, CAST(min(d) AS INTEGER) AS depth FROM r WHERE node <> 'm0' GROUP BY 1", ("import_top2",), True)
+@query(f"+ e AS ({_FILE_IMPORTS}), r AS (SELECT DISTINCT src AS node, 1 AS d FROM e WHERE contains(dst, '/gen/') UNION SELECT e.src, d + 1 FROM r JOIN e ON e.dst = r.node WHERE d < 10) SELECT node, CAST(min(d) AS INTEGER) AS depth FROM r WHERE node NOT IN (SELECT dst FROM e WHERE contains(dst, '/gen/')) GROUP BY 1", ("call_edges",), True)
 def g_blast_file(spark, d):
-    return graph.reach(graph.reverse(fx.import_top2(spark, d)), spark.createDataFrame([("m0",)], "node string"), 10).select("node", "depth")
+    """What depends on a generated file, at ten hops at most."""
+    e = _file_imports(spark, d)
+    changed = e.where(tx.is_generated_path(F.col("dst"))).select(F.col("dst").alias("node"))
+    return graph.flood(graph.reverse(e), changed, 10).where("depth > 0")
 
 
-@query("+ r AS (SELECT src AS seed, dst AS node FROM import_top2 UNION SELECT r.seed, i.dst FROM r JOIN import_top2 i ON i.src = r.node) SELECT seed, count(*) AS dependencies FROM r WHERE seed <> node GROUP BY 1", ("import_top2",), True)
+@query(f"+ e AS ({_FILE_IMPORTS}), r AS (SELECT src AS seed, dst AS node FROM e UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node) SELECT seed, count(*) AS dependencies FROM r WHERE seed <> node GROUP BY 1", ("call_edges",), True)
 def g_blast_forward(spark, d):
-    e = fx.import_top2(spark, d)
+    """What each file depends on, counted: a row a file and dependency inside, as the question asks for every file."""
+    e = _file_imports(spark, d)
     return graph.reach(e, e.select(F.col("src").alias("node"))).groupBy("seed").agg(F.count("*").alias("dependencies"))
 
 
-@query("SELECT src || '/' || dst AS cycle, 2 AS length FROM import_top2 a WHERE src < dst AND EXISTS (SELECT 1 FROM import_top2 b WHERE b.src = a.dst AND b.dst = a.src) UNION ALL SELECT a.src || '/' || b.src || '/' || c.src, 3 FROM import_top2 a JOIN import_top2 b ON a.dst = b.src JOIN import_top2 c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src", ("import_top2",))
+@query("SELECT src || '/' || dst AS cycle, 2 AS length FROM imports a WHERE src < dst AND EXISTS (SELECT 1 FROM imports b WHERE b.src = a.dst AND b.dst = a.src) UNION ALL SELECT a.src || '/' || b.src || '/' || c.src, 3 FROM imports a JOIN imports b ON a.dst = b.src JOIN imports c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src", ("imports",))
 def g_cycles(spark, d):
-    return graph.two_cycles_and_three(fx.import_top2(spark, d)).select(F.array_join("cycle", "/").alias("cycle"), "length")
+    """Cycles of two and three modules; ``g_cycle_members`` has what lies on a cycle of any length."""
+    return graph.two_cycles_and_three(fx.imports(spark, d)).select(F.array_join("cycle", "/").alias("cycle"), "length")
 
 
-@query("+ r AS (SELECT id AS node, 0 AS d FROM symbols WHERE contains(file, '/tests/') UNION SELECT c.callee, d + 1 FROM r JOIN calls c ON c.caller = r.node WHERE d < 2), f AS (SELECT s.id, (SELECT count(*) FROM calls WHERE callee = s.id) AS i, (SELECT count(*) FROM calls WHERE caller = s.id) AS o FROM symbols s) SELECT id AS node, CASE WHEN i > 0 THEN 'unreachable_from_entry' WHEN o = 0 THEN 'orphan_no_callers_no_callees' ELSE 'no_callers_has_dead_callees' END AS reason FROM f WHERE id NOT IN (SELECT node FROM r)", ("call_edges",), True)
+@query(f"+ e AS ({_FILE_IMPORTS}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b) SELECT node, least(node, min(other)) AS component FROM m GROUP BY 1", ("call_edges",), True)
+def g_cycle_members(spark, d):
+    """Files on cycles of any length, by their strongly connected component."""
+    return graph.scc(_file_imports(spark, d))
+
+
+@query("+ r AS (SELECT id AS node, 0 AS d FROM symbols WHERE contains(file, '/tests/') UNION SELECT c.callee, d + 1 FROM r JOIN calls c ON c.caller = r.node WHERE d < 20), f AS (SELECT s.id, (SELECT count(*) FROM calls WHERE callee = s.id) AS i, (SELECT count(*) FROM calls WHERE caller = s.id) AS o FROM symbols s) SELECT id AS node, CASE WHEN i > 0 THEN 'unreachable_from_entry' WHEN o = 0 THEN 'orphan_no_callers_no_callees' ELSE 'no_callers_has_dead_callees' END AS reason FROM f WHERE id NOT IN (SELECT node FROM r)", ("call_edges",), True)
 def g_reachable_dead(spark, d):
     s = fx.symbols(spark, d).withColumnRenamed("id", "node")
-    return graph.dead(_ids(spark, d), s.select("node"), s.where(tx.is_test_path(F.col("file"))).select("node"), 2)
+    return graph.dead(_ids(spark, d), s.select("node"), s.where(tx.is_test_path(F.col("file"))).select("node"), 20)
 
 
 @query("+ f AS (SELECT s.id, (SELECT count(*) FROM calls WHERE callee = s.id) AS i, (SELECT count(*) FROM calls WHERE caller = s.id) AS o FROM symbols s) SELECT id AS node, CASE WHEN i = 0 AND o = 0 THEN 'isolate' WHEN i = 0 THEN 'entry_point' WHEN i >= 3 THEN 'hub' ELSE 'plain' END AS role FROM f", ("call_edges",))
@@ -609,9 +652,11 @@ def g_test_map(spark, d):
     return direct.unionByName(walk).groupBy(F.col("callee").alias("target"), F.col("caller").alias("test")).agg(F.count("*").alias("edges"))
 
 
-@query("SELECT callee AS id, count(DISTINCT caller) AS callers, count(DISTINCT caller_file) AS files, count(DISTINCT caller_name) AS names FROM call_edges GROUP BY 1", ("call_edges",))
+@query("SELECT DISTINCT name, 'definition' AS section, name AS other, file FROM symbols WHERE kind IN ('function', 'method', 'class') UNION ALL SELECT DISTINCT callee_name, 'caller', caller_name, caller_file FROM call_edges UNION ALL SELECT DISTINCT caller_name, 'callee', callee_name, caller_file FROM call_edges UNION ALL SELECT DISTINCT callee_name, 'dependent', callee_file, caller_file FROM call_edges WHERE caller_file <> callee_file", ("call_edges",))
 def g_xref(spark, d):
-    return fx.call_edges(spark, d).groupBy(F.col("callee").alias("id")).agg(F.countDistinct("caller").alias("callers"), F.countDistinct("caller_file").alias("files"), F.countDistinct("caller_name").alias("names"))
+    """Cross references of every name."""
+    e = fx.call_edges(spark, d)
+    return resolve.xref(fx.symbols(spark, d), e, e.select(F.col("callee_name").alias("name")).unionByName(e.select(F.col("caller_name").alias("name"))).unionByName(fx.symbols(spark, d).select("name")))
 
 
 @query("SELECT callee AS id, count(*) FILTER (WHERE caller_file NOT LIKE 'src/gen/%') AS outside, count(*) AS fan_in, count(*) >= 5 AS high FROM call_edges WHERE callee_file LIKE 'src/gen/%' GROUP BY 1", ("call_edges",))
@@ -620,10 +665,12 @@ def g_change_functions(spark, d):
     return e.groupBy(F.col("callee").alias("id")).agg(F.count_if(~F.col("caller_file").startswith("src/gen/")).alias("outside"), F.count("*").alias("fan_in"), (F.count("*") >= 5).alias("high"))
 
 
-@query("SELECT DISTINCT caller_file AS test FROM call_edges WHERE contains(caller_file, '/tests/') AND contains(callee_file, '/gen/')", ("call_edges",))
+@query(f"+ e AS ({_FILE_IMPORTS}), r AS (SELECT DISTINCT dst AS node FROM e WHERE contains(dst, '/gen/') UNION SELECT e.src FROM r JOIN e ON e.dst = r.node) SELECT node AS test FROM r WHERE contains(node, '/tests/') AND node NOT IN (SELECT dst FROM e WHERE contains(dst, '/gen/'))", ("call_edges",), True)
 def g_affected_tests(spark, d):
-    e = fx.call_edges(spark, d)
-    return e.where(tx.is_test_path(F.col("caller_file")) & tx.is_generated_path(F.col("callee_file"))).select(F.col("caller_file").alias("test")).distinct()
+    """Tests that a change of the generated files can reach."""
+    e = _file_imports(spark, d)
+    changed = e.where(tx.is_generated_path(F.col("dst"))).select(F.col("dst").alias("file")).distinct()
+    return graph.affected_tests(e, changed).select(F.col("file").alias("test"))
 
 
 @query("SELECT kind, source, target FROM (SELECT 'contains' AS kind, file AS source, CAST(id AS VARCHAR) AS target FROM symbols UNION ALL SELECT 'calls', CAST(caller AS VARCHAR), CAST(callee AS VARCHAR) FROM calls UNION ALL SELECT DISTINCT 'uses', caller_file, callee_file FROM call_edges WHERE caller_file <> callee_file) x", ("call_edges",))
@@ -652,20 +699,69 @@ def win_choose_candidate(spark, d):
     return resolve.choose(_refs(spark, d), fx.symbols(spark, d), tx.is_test_path(F.col("def_file")))
 
 
-@query(_REFS + ", p AS (SELECT ref_id, count(*) FILTER (WHERE file = def_file) AS here, min(def_id) FILTER (WHERE file = def_file) AS here_id, count(*) AS n, min(def_id) AS any_id FROM c GROUP BY 1) SELECT ref_id, CASE WHEN coalesce(here, 0) = 1 THEN 'local' WHEN n = 1 THEN 'project' WHEN name IN ('blue gear') AND n IS NULL THEN 'builtin' WHEN name IN ('red bolt') AND n IS NULL THEN 'stdlib' ELSE 'unknown' END AS resolution, CASE WHEN coalesce(here, 0) = 1 THEN here_id WHEN n = 1 THEN any_id END AS def_id FROM refs LEFT JOIN p USING (ref_id)", ("call_edges",))
+_CASCADE_REFS = "SELECT caller * 1000003 + callee AS ref_id, callee_name AS name, caller_name, caller_file AS file, caller_language AS language, CASE caller % 7 WHEN 0 THEN 'self' WHEN 1 THEN 'C' || CAST(callee % 97 AS VARCHAR) WHEN 2 THEN 'os.path' WHEN 3 THEN 'dict' WHEN 4 THEN 'pkg' END AS qualifier FROM call_edges"
+_CASCADE_IMPORTS = "SELECT caller_file AS file, callee_name AS local_name, 'pkg.mod' AS module, min(callee_file) AS target FROM call_edges WHERE weight > 1 GROUP BY 1, 2 UNION ALL SELECT DISTINCT caller_file, 'pkg', 'pkg', 'src/brand1/m0.py' FROM call_edges WHERE caller_file LIKE '%/m0.py' UNION ALL SELECT DISTINCT caller_file, 'os', 'os', CAST(NULL AS VARCHAR) FROM call_edges WHERE caller_file LIKE '%.py'"
+_FITS = "({0} = {1} OR ({0} IN ('javascript', 'typescript') AND {1} IN ('javascript', 'typescript')))"
+
+
+def _cascade_sql() -> str:
+    one = lambda where, keys: f"SELECT {keys}, count(*) AS n, count(DISTINCT class) AS classes, arg_min(id, (file, line, id)) AS id, arg_min(file, (file, line, id)) AS file_, arg_min(language, (file, line, id)) AS lang, min(class) AS class_ FROM s WHERE {where} GROUP BY {keys}"
+    bare = "coalesce(r.qualifier, '') = ''"
+    own = "coalesce(r.qualifier IN ('self', 'cls'), false)"
+    rules = [
+        (f"{own} AND enc.classes = 1 AND ownm.id IS NOT NULL", "self", "local", "ownm.id", "ownm.file_"),
+        (f"{own} AND coalesce(enc.classes, 0) <> 1 AND inf.classes = 1", "self", "local", "inf.id", "inf.file_"),
+        (f"{bare} AND here.id IS NOT NULL", "local", "local", "here.id", "here.file_"),
+        ("tg.target IS NOT NULL AND (fl.language IS NULL OR " + _FITS.format("r.language", "fl.language") + ")", "import", "project", "there.id", "tg.target"),
+        (f"(NOT {bare} AND split_part(r.qualifier, '.', 1) = 'os' AND r.file LIKE '%.py')", "stdlib", "stdlib", "NULL", "NULL"),
+        (f"{bare} AND g.n = 1 AND " + _FITS.format("r.language", "g.lang"), "single_global", "project", "g.id", "g.file_"),
+        (f"NOT {bare} AND cm.n = 1 AND " + _FITS.format("r.language", "cm.lang"), "class_method", "project", "cm.id", "cm.file_"),
+        (f"NOT {bare} AND NOT {own} AND NOT (r.language = 'python' AND r.qualifier = 'dict') AND um.n = 1 AND " + _FITS.format("r.language", "um.lang"), "unique_method", "project", "um.id", "um.file_"),
+        (f"{bare} AND r.name IN ('blue gear', 'blue bolt')", "builtin", "builtin", "NULL", "NULL"),
+        ("NOT owned AND r.language = 'python' AND r.name LIKE 'blue g%'", "stdlib_method", "stdlib", "NULL", "NULL"),
+        ("NOT owned AND r.language = 'java' AND r.name LIKE 'blue %'", "external_method", "external", "NULL", "NULL"),
+        (f"NOT owned AND r.language = 'go' AND NOT {bare} AND r.name LIKE 'blue %'", "builtin_method", "builtin", "NULL", "NULL"),
+    ]
+    case = lambda k: "CASE " + " ".join(f"WHEN {x[0]} THEN {x[k] if k > 2 else repr(x[k])}" for x in rules)
+    return f"""+ s AS (SELECT * FROM symbols WHERE name NOT LIKE 'blue %' AND (id % 40 = 0 OR name LIKE 'red %')), refs AS ({_CASCADE_REFS}), imps AS ({_CASCADE_IMPORTS}), d AS (SELECT * FROM s WHERE kind IN ('function', 'method', 'class')),
+      enc AS ({one("class IS NOT NULL", "file, name")}), ownm AS ({one("class IS NOT NULL", "file, class, name")}), here AS ({one("kind IN ('function', 'method', 'class')", "file, name")}), g AS ({one("kind IN ('function', 'method', 'class')", "name")}),
+      cm AS ({one("class IS NOT NULL", "class, name")}), um AS ({one("class IS NOT NULL", "name")}), nm AS (SELECT file, local_name, min(target) AS target FROM imps WHERE target IS NOT NULL GROUP BY 1, 2), fl AS (SELECT file, min(language) AS language FROM s GROUP BY 1),
+      tg AS (SELECT ref_id, coalesce(CASE WHEN coalesce(r.qualifier, '') <> '' THEN coalesce(a.target, b.target) END, c.target) AS target FROM refs r LEFT JOIN nm a ON a.file = r.file AND a.local_name = r.qualifier LEFT JOIN nm b ON b.file = r.file AND b.local_name = split_part(r.qualifier, '.', 1) LEFT JOIN nm c ON c.file = r.file AND c.local_name = r.name),
+      o AS (SELECT ref_id, count(*) > 0 AS owned FROM refs r JOIN (SELECT DISTINCT name, language FROM s) x ON x.name = r.name AND {_FITS.format("r.language", "x.language")} GROUP BY 1),
+      j AS (SELECT r.ref_id, {case(2)} ELSE 'unknown' END AS resolution, {case(1)} ELSE 'none' END AS rule, {case(3)} END AS def_id, {case(4)} END AS def_file
+      FROM (SELECT refs.*, coalesce(o.owned, false) AS owned FROM refs LEFT JOIN o USING (ref_id)) r JOIN tg ON tg.ref_id = r.ref_id LEFT JOIN enc ON enc.file = r.file AND enc.name = r.caller_name LEFT JOIN ownm ON ownm.file = r.file AND ownm.class = enc.class_ AND ownm.name = r.name
+      LEFT JOIN enc inf ON inf.file = r.file AND inf.name = r.name LEFT JOIN here ON here.file = r.file AND here.name = r.name LEFT JOIN fl ON fl.file = tg.target LEFT JOIN here there ON there.file = tg.target AND there.name = r.name
+      LEFT JOIN g ON g.name = r.name LEFT JOIN cm ON cm.class = r.qualifier AND cm.name = r.name LEFT JOIN um ON um.name = r.name) SELECT ref_id, resolution, rule, CAST(def_id AS BIGINT) AS def_id, def_file FROM j"""
+
+
+@query(_cascade_sql(), ("call_edges",))
 def res_cascade(spark, d):
-    return resolve.cascade(_refs(spark, d), fx.symbols(spark, d), ["blue gear"], ["red bolt"])
-
-
-@query(_REFS + ", k AS (SELECT ref_id, def_id, CASE WHEN file = def_file THEN 1.0 WHEN (file, def_file) IN (SELECT (caller_file, callee_file) FROM call_edges WHERE weight > 1) THEN 0.9 ELSE 0.5 END AS confidence FROM c) SELECT ref_id, def_id, CAST(confidence AS DOUBLE) AS confidence FROM k WHERE (ref_id, confidence) IN (SELECT (ref_id, max(confidence)) FROM k GROUP BY ref_id)", ("call_edges",))
+    """All calls against a project without the names that begin with blue, so that every rule has something to do."""
+    e, s = fx.call_edges(spark, d), fx.symbols(spark, d)
+    s = s.where(~F.col("name").startswith("blue ") & ((F.col("id") % 40 == 0) | F.col("name").startswith("red ")))
+    k = F.col("caller") % 7
+    qualifier = F.when(k == 0, "self").when(k == 1, F.concat(F.lit("C"), (F.col("callee") % 97).cast("string"))).when(k == 2, "os.path").when(k == 3, "dict").when(k == 4, "pkg")
+    refs = e.select((F.col("caller") * 1000003 + F.col("callee")).alias("ref_id"), F.col("callee_name").alias("name"), "caller_name", F.col("caller_file").alias("file"), F.col("caller_language").alias("language"), qualifier.alias("qualifier"))
+    named = e.where("weight > 1").groupBy(F.col("caller_file").alias("file"), F.col("callee_name").alias("local_name")).agg(F.lit("pkg.mod").alias("module"), F.min("callee_file").alias("target"))
+    files = e.select(F.col("caller_file").alias("file")).distinct()
+    package = files.where(F.col("file").endswith("/m0.py")).select("file", F.lit("pkg").alias("local_name"), F.lit("pkg").alias("module"), F.lit("src/brand1/m0.py").alias("target"))
+    std = files.where(F.col("file").endswith(".py")).select("file", F.lit("os").alias("local_name"), F.lit("os").alias("module"), F.lit(None).cast("string").alias("target"))
+    names = sorted(r[0] for r in fx.symbols(spark, d).where(F.col("name").startswith("blue ")).select("name").distinct().collect())  # a table of names that the resolver is given
+    known = {"builtins": ["blue gear", "blue bolt"], "builtin_types": ["dict"], "stdlib_modules": ["os"], "stdlib_methods": {"python": [n for n in names if n.startswith("blue g")]}, "external_methods": {"java": names}, "builtin_methods": {"go": names}}
+    return resolve.cascade(refs, s, named.unionByName(package).unionByName(std), known)
+
+
+@query(_REFS + ", i AS (SELECT DISTINCT caller_file, callee_file FROM call_edges WHERE weight > 1 AND caller_file <> callee_file), k AS (SELECT ref_id, def_id, def_file, def_line, CASE WHEN file = def_file THEN 1.0 WHEN i.caller_file IS NOT NULL THEN 0.9 ELSE 0.5 END AS confidence FROM c LEFT JOIN i ON i.caller_file = c.file AND i.callee_file = c.def_file), b AS (SELECT ref_id, max(confidence) AS confidence FROM k GROUP BY 1) SELECT ref_id, CAST(any_value(confidence) AS DOUBLE) AS confidence, count(*) AS candidates, arg_min(def_id, (def_file, def_line, def_id)) AS def_id FROM k JOIN b USING (ref_id, confidence) GROUP BY 1", ("call_edges",))
 def res_callee(spark, d):
     imported = fx.call_edges(spark, d).where("weight > 1").select(F.col("caller_file").alias("file"), F.col("callee_file").alias("target"))
     return resolve.callee_confidence(_refs(spark, d), fx.symbols(spark, d), imported)
 
 
-@query("SELECT id, name FROM symbols WHERE name = 'blue gear' AND kind IN ('class', 'function', 'method')", ("symbols",))
+@query("SELECT DISTINCT e.callee_name AS wanted_id, s.id, 1.0::DOUBLE AS confidence FROM call_edges e JOIN symbols s ON s.name = e.callee_name AND s.kind IN ('function', 'method', 'class')", ("call_edges",))
 def res_definitions(spark, d):
-    return fx.symbols(spark, d).where("name = 'blue gear' and kind in ('class', 'function', 'method')").select("id", "name")
+    """Definitions of every name that is called."""
+    names = fx.call_edges(spark, d).select(F.col("callee_name").alias("wanted_id")).distinct()
+    return resolve.qualified(names.select("wanted_id", F.lit(None).cast("string").alias("parent"), F.col("wanted_id").alias("name")), fx.symbols(spark, d))
 
 
 # -- quality -----------------------------------------------------------------
@@ -706,13 +802,13 @@ def q_impact_risk(spark, d):
     return j.select("id", "points", quality.risk_level(F.col("points")).alias("level"))
 
 
-@query("+ k AS (SELECT parent, count(*) AS direct FROM contains GROUP BY 1), t AS (SELECT parent, direct + coalesce((SELECT sum(k2.direct) FROM contains c JOIN k k2 ON k2.parent = c.child WHERE c.parent = k.parent), 0) AS total, direct FROM k) SELECT parent, CAST(" + _ladder("direct", [(10, 40), (5, 25), (2, 10)]) + " + least(30, 3 * total) AS BIGINT) AS risk FROM t", ("contains",))
+@query("+ k AS (SELECT parent, count(*) AS direct, count(DISTINCT right(child, 1)) AS files FROM contains GROUP BY 1), t AS (SELECT parent, direct + coalesce((SELECT sum(k2.direct) FROM contains c JOIN k k2 ON k2.parent = c.child WHERE c.parent = k.parent), 0) AS total, direct, files FROM k) SELECT parent, CAST(least(100, " + _ladder("direct", [(10, 40), (5, 25), (2, 10)]) + " + least(30, 3 * total) + " + _ladder("files", [(5, 20), (2, 10)]) + ") AS BIGINT) AS risk FROM t", ("contains",))
 def q_hier_risk(spark, d):
     c = fx.contains(spark, d)
-    k = c.groupBy("parent").agg(F.count("*").alias("direct"))
+    k = c.groupBy("parent").agg(F.count("*").alias("direct"), F.count_distinct(F.right("child", F.lit(1))).alias("files"))
     below = c.join(k.select(F.col("parent").alias("child"), F.col("direct").alias("n")), "child").groupBy("parent").agg(F.sum("n").alias("more"))
     j = k.join(below, "parent", "left").withColumn("total", F.col("direct") + F.coalesce("more", F.lit(0)))
-    return j.select("parent", quality.hierarchy_risk(F.col("direct"), F.col("total"), F.lit(0)).cast("bigint").alias("risk"))
+    return j.select("parent", quality.hierarchy_risk(F.col("direct"), F.col("total"), F.col("files")).cast("bigint").alias("risk"))
 
 
 @query("+ n AS (SELECT name, count(*) AS defs FROM symbols GROUP BY 1), r AS (SELECT callee_name AS name, count(*) AS refs, count(DISTINCT caller_file) AS down FROM call_edges GROUP BY 1), p AS (SELECT n.name, CAST(defs > 1 AS INTEGER) + " + _ladder("coalesce(refs, 0)", [(21, 3), (6, 2), (1, 1)]) + " + " + _ladder("coalesce(down, 0)", [(11, 3), (4, 2), (1, 1)]) + " AS points FROM n LEFT JOIN r USING (name)) SELECT name, points, CASE WHEN points <= 2 THEN 'low' WHEN points <= 5 THEN 'medium' ELSE 'high' END AS risk FROM p", ("call_edges",))
@@ -735,7 +831,7 @@ def q_constraints(spark, d):
     return quality.violations(fx.call_edges(spark, d), rules)
 
 
-@query("SELECT substr(sha256(regexp_replace(regexp_replace(regexp_replace(content, '#[^\n]*', '', 'g'), '[A-Za-z_][A-Za-z0-9_]*', '_', 'g'), '\\s+', '', 'g')), 1, 32) AS fingerprint, count(*) AS n, min(id) AS first FROM files GROUP BY 1 HAVING count(*) > 1", ("files",))
+@query("SELECT substr(sha256(regexp_replace(" + _without_comments("content") + ", '[a-zA-Z_][a-zA-Z0-9_]*', '_', 'g')), 1, 32) AS fingerprint, count(*) AS n, min(id) AS first FROM files GROUP BY 1 HAVING count(*) > 1", ("files",))
 def q_clones_text(spark, d):
     return quality.clone_groups(fx.files(spark, d))
 
@@ -747,22 +843,24 @@ def q_clones_struct(spark, d):
     return quality.clone_groups(p, F.sha2(shape.cast("binary"), 256))
 
 
-@query("SELECT id, rule, i AS line_no FROM (SELECT id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files) t, (VALUES ('secret', '(?i)(password|passwd|secret|api_?key|token)\\s*[=:]\\s*[\"''][^\"'']{6,}[\"'']'), ('eval', '\\b(eval|exec)\\s*[(]'), ('weak_hash', '(?i)\\b(md5|sha1)\\s*[(]')) r(rule, p) WHERE regexp_matches(x, p)", ("files",))
+@query("SELECT c.id, x.issue, x.severity, CAST(x.line_no AS INTEGER) AS line_no FROM (SELECT id, language, file AS path, id % 22 AS k FROM symbols) c JOIN (VALUES " + ", ".join(f"({k}, '{g}', '{i}', '{s}', {n})" for k, gs, i, s, n in fx.FOUND_SECURITY for g in gs.split()) + ") x(k, language, issue, severity, line_no) ON x.k = c.k AND x.language = c.language WHERE NOT (x.issue = 'assert_in_prod' AND contains(c.path, '/tests/'))", ("symbols",))
 def q_security(spark, d):
-    rules = {k: quality.SECURITY[k] for k in ("secret", "eval", "weak_hash")}
-    return quality.scan(fx.files(spark, d), rules).withColumn("line_no", F.col("line_no").cast("bigint"))
+    """All rules of all languages over small programs, one a symbol; the SQL lists what each holds."""
+    return quality.security(fx.code(spark, d))
 
 
-@query("+ l AS (SELECT id, unnest(string_split(content, chr(10))) AS x FROM files), g AS (SELECT id, count(*) AS n, max(length(x)) AS longest, count(*) FILTER (WHERE regexp_matches(x, '(TODO|FIXME|HACK|XXX)')) AS notes, max(length(regexp_extract(x, '^( *)', 1)) // 4) AS deep FROM l GROUP BY 1) SELECT id, smell, severity FROM (SELECT id, 'oversized_file' AS smell, CASE WHEN n > 1000 THEN 'critical' ELSE 'warning' END AS severity FROM g WHERE n > 500 UNION ALL SELECT id, 'long_line', 'warning' FROM g WHERE longest > 200 UNION ALL SELECT id, 'too_many_notes', 'warning' FROM g WHERE notes > 5 UNION ALL SELECT id, 'deep_nesting', CASE WHEN deep > 6 THEN 'critical' ELSE 'warning' END FROM g WHERE deep > 4) x", ("files",))
+@query("+ l AS (SELECT id, unnest(string_split(content, chr(10))) AS x FROM files), g AS (SELECT id, count(*) AS n, max(length(x)) AS longest, count(*) FILTER (WHERE regexp_matches(x, '(TODO|FIXME|HACK|XXX)')) AS notes, max(length(regexp_extract(x, '^( *)', 1)) // 4) AS deep FROM l GROUP BY 1) SELECT id, smell, severity FROM (SELECT id, 'oversized_file' AS smell, CASE WHEN n > 1000 THEN 'critical' ELSE 'warning' END AS severity FROM g WHERE n > 500 UNION ALL SELECT id, 'long_line', 'warning' FROM g WHERE longest > 200 UNION ALL SELECT id, 'technical_debt', 'info' FROM g WHERE notes > 5 UNION ALL SELECT id, 'deep_nesting', CASE WHEN deep > 6 THEN 'critical' ELSE 'warning' END FROM g WHERE deep > 4 UNION ALL SELECT id, 'god_class', CASE WHEN size > 500 THEN 'critical' ELSE 'warning' END FROM (SELECT id, complexity * 20 + 1 AS size FROM symbols WHERE kind = 'class') a WHERE size > 300 UNION ALL SELECT id, 'long_method', CASE WHEN size > 100 THEN 'critical' ELSE 'warning' END FROM (SELECT id, complexity * 20 + 1 AS size FROM symbols WHERE kind IN ('function', 'method')) b WHERE size > 50) x", ("files", "symbols"))
 def q_smells(spark, d):
-    return quality.smells(fx.files(spark, d))
+    s = fx.symbols(spark, d).select("id", "kind", "line", (F.col("line") + 20 * F.col("complexity")).alias("end_line"))
+    return quality.smells(fx.files(spark, d), s)
 
 
-@query("+ u AS (SELECT DISTINCT callee_name FROM call_edges WHERE contains(caller_file, '/tests/')), b AS (SELECT callee, count(DISTINCT caller_file) AS blast FROM call_edges GROUP BY 1), s AS (SELECT symbols.id, coalesce(blast, 0) AS blast, " + _ladder("complexity", [(20, 5), (10, 3), (5, 1)]) + " + " + _ladder("coalesce(blast, 0)", [(10, 5), (5, 3), (1, 1)]) + " AS score FROM symbols LEFT JOIN b ON b.callee = symbols.id WHERE name NOT IN (SELECT callee_name FROM u WHERE callee_name LIKE 'b%')) SELECT id, blast, score, CASE WHEN score >= 10 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS priority FROM s", ("call_edges",))
+@query("+ t AS (SELECT DISTINCT name FROM symbols WHERE contains(file, '/tests/') AND kind = 'function'), s AS (SELECT id, CAST(CASE WHEN kind = 'class' THEN 5 ELSE 0 END + CASE WHEN complexity > 20 THEN 10 WHEN complexity > 10 THEN 7 WHEN complexity > 5 THEN 3 ELSE 0 END + CASE WHEN coalesce(class, '') <> '' THEN 2 ELSE 0 END + CASE WHEN complexity > 1 THEN complexity ELSE 0 END AS BIGINT) AS score FROM symbols WHERE NOT contains(file, '/tests/') AND name NOT IN (SELECT name FROM t)) SELECT id, score, CASE WHEN score >= 10 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 3 THEN 'medium' ELSE 'low' END AS priority FROM s", ("symbols",))
 def q_test_gap(spark, d):
-    e = fx.call_edges(spark, d)
-    targets = e.where(tx.is_test_path(F.col("caller_file")) & F.col("callee_name").startswith("b")).select(F.col("callee_name").alias("target"))
-    return quality.untested(fx.symbols(spark, d), targets, e)
+    """Production symbols whose name no test function has."""
+    s = fx.symbols(spark, d)
+    test = tx.is_test_path(F.col("file"))
+    return quality.untested(s.where(~test), s.where(test & (F.col("kind") == "function")).select(F.col("name").alias("target")))
 
 
 @query("SELECT id, EXISTS (SELECT 1 FROM (SELECT file, line + 7 AS at FROM symbols) x WHERE x.file = s.file AND x.at BETWEEN s.line + 1 AND s.end_line) AS covered FROM symbols s", ("symbols",))
@@ -776,18 +874,42 @@ def q_unused_imports(spark, d):
     return quality.unused_names(fx.call_edges(spark, d).select(F.col("caller_file").alias("file"), F.col("callee_name").alias("name")), fx.symbols(spark, d))
 
 
-@query("SELECT id, CASE WHEN contains(file, '/tests/') THEN 'test' WHEN kind = 'import' THEN 'import' WHEN kind = 'class' AND complexity > 25 THEN 'api' WHEN kind = 'class' THEN 'signature' WHEN kind = 'method' THEN 'logic' ELSE 'generic' END AS category, CAST(CASE WHEN contains(file, '/tests/') THEN 0.95 WHEN kind = 'import' THEN 0.85 WHEN kind = 'class' AND complexity > 25 THEN 0.8 WHEN kind = 'class' THEN 0.75 WHEN kind = 'method' THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence FROM symbols", ("symbols",))
+_NODE = "CASE kind WHEN 'type' THEN 'variable' WHEN 'constant' THEN 'expression' ELSE kind END"
+_CHANGE = "CASE id % 7 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'renamed' WHEN 3 THEN 'signature_changed' WHEN 4 THEN 'body_changed' WHEN 5 THEN 'changed' ELSE 'moved' END"
+
+
+def _classified(k: int) -> str:
+    public, marked, part = "(n <> '_x')", "(preview = 'export x')", "node IN ('function', 'class', 'method')"
+    rules = [
+        ("contains(path, '/tests/')", "'test_change'", "0.9"), ("path = 'docs/A.MD'", "'documentation'", "0.9"), ("node = 'import'", "'import_change'", "0.85"), (f"change = 'signature_changed' AND {public}", "'api_change'", "0.85"),
+        (f"change = 'signature_changed' AND {marked}", "'api_change'", "0.6"), ("change = 'signature_changed'", "'refactor'", "0.7"), (f"change = 'renamed' AND {public}", "'api_change'", "0.8"), ("change = 'renamed'", "'refactor'", "0.75"),
+        (f"change = 'added' AND {part}", "'feature_addition'", "0.8"), ("change = 'added'", "'internal_change'", "0.6"), (f"change = 'removed' AND {part} AND {public}", "'feature_removal'", "0.85"), (f"change = 'removed' AND {part}", "'feature_removal'", "0.7"),
+        ("change = 'removed'", "'internal_change'", "0.5"), ("change = 'body_changed'", "'internal_change'", "0.7"), ("change = 'changed'", "'internal_change'", "0.5"),
+    ]
+    return "CASE " + " ".join(f"WHEN {r[0]} THEN {r[k]}" for r in rules) + (" ELSE 'unknown' END" if k == 1 else " ELSE 0.3 END")
+
+
+@query(f"+ h AS (SELECT id, CASE WHEN id % 11 = 0 THEN 'docs/A.MD' ELSE file END AS path, {_NODE} AS node, {_CHANGE} AS change, CASE id % 3 WHEN 0 THEN '_x' WHEN 1 THEN '__init__' ELSE name END AS n, CASE WHEN id % 5 = 0 THEN 'export x' ELSE 'x' END AS preview FROM symbols) SELECT id, {_classified(1)} AS category, CAST({_classified(2)} AS DOUBLE) AS confidence FROM h", ("symbols",))
 def q_classify(spark, d):
-    s = fx.symbols(spark, d)
-    kind = F.when(F.col("kind") == "import", "import").when(F.col("kind") == "class", "signature").when(F.col("kind") == "method", "body").otherwise("other")
-    c, p = quality.classify_change(F.col("file"), kind, F.col("complexity") > 25)
-    return s.select("id", c.alias("category"), p.alias("confidence"))
+    i = F.col("id")
+    node = F.when(F.col("kind") == "type", "variable").when(F.col("kind") == "constant", "expression").otherwise(F.col("kind"))
+    change = F.element_at(F.array(*map(F.lit, ["added", "removed", "renamed", "signature_changed", "body_changed", "changed", "moved"])), (i % 7).cast("int") + 1)
+    name = F.when(i % 3 == 0, "_x").when(i % 3 == 1, "__init__").otherwise(F.col("name"))
+    path = F.when(i % 11 == 0, "docs/A.MD").otherwise(F.col("file"))
+    c, p = quality.classify_change(path, node, change, name, F.when(i % 5 == 0, "export x").otherwise("x"))
+    return fx.symbols(spark, d).select("id", c.alias("category"), p.alias("confidence"))
 
 
-@query("+ o AS (SELECT kind, name, row_number() OVER (PARTITION BY kind, name ORDER BY line, digest) AS k, digest FROM (SELECT kind, name, line, file AS digest FROM symbols WHERE language <> 'go') a), n AS (SELECT kind, name, row_number() OVER (PARTITION BY kind, name ORDER BY line, digest) AS k, digest FROM (SELECT kind, name, line, file AS digest FROM symbols WHERE language <> 'java') b) SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.name, n.name) AS name, coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.digest <> n.digest THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN n ON o.kind = n.kind AND o.name = n.name AND o.k = n.k", ("symbols",))
+@query("+ o AS (SELECT file, id, kind, name, row_number() OVER (PARTITION BY file, kind, name ORDER BY id) AS k FROM symbols WHERE id % 11 <> 0), n AS (SELECT file, id, kind, name, row_number() OVER (PARTITION BY file, kind, name ORDER BY id) AS k FROM (SELECT file, id, kind, CASE WHEN id % 5 = 0 THEN name || '_r' ELSE name END AS name FROM symbols WHERE id % 7 <> 0) x), p AS (SELECT o.file, o.kind, o.id AS a, n.id AS b, o.name AS x, n.name AS y FROM o JOIN n USING (file, kind, name, k)), oo AS (SELECT * FROM o WHERE id NOT IN (SELECT a FROM p)), nn AS (SELECT * FROM n WHERE id NOT IN (SELECT b FROM p)), q AS (SELECT oo.file, oo.kind, oo.id AS a, nn.id AS b, oo.name AS x, nn.name AS y FROM oo JOIN nn ON oo.id = nn.id AND oo.kind IN ('function', 'class', 'method')), m AS (SELECT * FROM p UNION ALL SELECT * FROM q UNION ALL SELECT file, kind, id, NULL, name, NULL FROM oo WHERE id NOT IN (SELECT a FROM q) UNION ALL SELECT file, kind, NULL, id, NULL, name FROM nn WHERE id NOT IN (SELECT b FROM q)) SELECT file, kind, a AS old_pos, b AS new_pos, x AS old_name, y AS new_name, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b AND b % 2 = 1 AND x = y THEN 'unchanged' WHEN x <> y THEN 'renamed' WHEN a <> b OR b % 3 = 0 THEN 'signature_changed' WHEN b % 4 = 0 THEN 'body_changed' ELSE 'changed' END AS change FROM m", ("symbols",))
 def q_ast_diff(spark, d):
-    s = fx.symbols(spark, d).withColumn("digest", F.col("file"))
-    return quality.diff(s.where("language <> 'go'"), s.where("language <> 'java'"))
+    """Two versions of every file: elements go, come, are renamed, and change in their signature, body or otherwise."""
+    s, i = fx.symbols(spark, d), F.col("id")
+    text = i.cast("string")
+    members = F.array(F.concat(F.lit("m"), text))
+    old = s.where("id % 11 <> 0").select("file", i.alias("pos"), "kind", "name", F.concat(text, F.lit("s")).alias("signature"), F.lit("b").alias("body"), F.concat(text, F.col("name")).alias("digest"), members.alias("members"))
+    name = F.when(i % 5 == 0, F.concat("name", F.lit("_r"))).otherwise(F.col("name"))
+    new = s.where("id % 7 <> 0").select("file", i.alias("pos"), "kind", name.alias("name"), F.concat(text, F.when(i % 3 == 0, "t").otherwise("s")).alias("signature"), F.when(i % 4 == 0, "c").otherwise("b").alias("body"), F.concat(text, F.when(i % 2 == 1, name).otherwise("x")).alias("digest"), members.alias("members"))
+    return quality.diff(old, new)
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') AND role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 100")
@@ -851,7 +973,7 @@ def dsl_chain_has(spark, d):
 # -- streams -----------------------------------------------------------------
 
 
-@query()
+@query(f"+ g AS (SELECT *, {_GRADE} AS grade FROM health), p AS (SELECT *, lag(grade) OVER (PARTITION BY file ORDER BY ts, id) AS previous FROM g), q AS (SELECT *, strpos('ABCDF', grade) AS a, strpos('ABCDF', previous) AS b FROM p), d AS (SELECT file, id, previous, grade, ts FROM q WHERE CASE WHEN previous IS NULL THEN a >= 4 ELSE a > b AND (a >= 4 OR b >= 4 OR a - b >= 2) END), k AS (SELECT file, min(ts) AS ts FROM d GROUP BY 1 UNION ALL SELECT d.file, min(d.ts) FROM k JOIN d ON d.file = k.file AND d.ts >= k.ts + INTERVAL 6 HOUR GROUP BY d.file) SELECT d.file, min_by(d.id, d.id) AS id, min_by(d.previous, d.id) AS previous, min_by(d.grade, d.id) AS grade, epoch(d.ts) AS at FROM d JOIN k USING (file, ts) GROUP BY d.file, d.ts", ("health",), True)
 def st_homeostasis(spark, d):
     """Alerts with a cooldown, a greedy scan of each file's readings in order."""
     return stateful.alerts_with_cooldown(fx.health(spark, d), cooldown_s=6 * 3600)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .catalog import _GRADE, ORACLES, SEED, _ids, _ladder, _nodes, _refs, _seed, query
+from .catalog import _BLOCKS, _FILE_IMPORTS, _GRADE, SEED, _file_imports, _ids, _ladder, _nodes, _refs, _seed, query
 from .functions import text as tx
 from .operators import graph, metrics, quality, resolve, search, sets
 from .sources import fixtures as fx
@@ -50,10 +50,10 @@ def agg_gaps(spark, d):
     return s.groupBy("language").agg(F.count("*").alias("total"), F.count_if(~F.col("hit")).alias("gaps"), F.round(100.0 * F.count_if("hit") / F.count("*"), 1).alias("pct"))
 
 
-@query("+ r AS (SELECT src AS seed, src AS node, 0 AS d FROM (SELECT DISTINCT src FROM import_top2) x UNION SELECT r.seed, i.dst, d + 1 FROM r JOIN import_top2 i ON i.src = r.node WHERE d < 10), m AS (SELECT seed, node, min(d) AS d FROM r GROUP BY 1, 2), x AS (SELECT seed, max(d) AS depth FROM m GROUP BY 1) SELECT CASE WHEN depth <= 2 THEN 'shallow' WHEN depth <= 5 THEN 'medium' ELSE 'deep' END AS bucket, count(*) AS n FROM x GROUP BY 1", ("import_top2",), True)
+@query(f"+ e AS ({_FILE_IMPORTS}), r AS (SELECT src AS seed, src AS node, 0 AS d FROM (SELECT DISTINCT src FROM e) x UNION SELECT r.seed, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 10), m AS (SELECT seed, node, min(d) AS d FROM r GROUP BY 1, 2), x AS (SELECT seed, max(d) AS depth FROM m GROUP BY 1) SELECT CASE WHEN depth <= 2 THEN 'shallow' WHEN depth <= 5 THEN 'medium' ELSE 'deep' END AS bucket, count(*) AS n FROM x GROUP BY 1", ("call_edges",), True)
 def agg_depth_hist(spark, d):
-    """Depth of a node: the farthest of its least distances, up to ten hops; this doesn't depend on the order of a search."""
-    e = fx.import_top2(spark, d)
+    """Depth of a file: the farthest of its least distances, up to ten hops; this doesn't depend on the order of a search."""
+    e = _file_imports(spark, d)
     far = graph.reach(e, e.select(F.col("src").alias("node")), 10).groupBy("seed").agg(F.max("depth").alias("depth"))
     return far.groupBy(F.when(F.col("depth") <= 2, "shallow").when(F.col("depth") <= 5, "medium").otherwise("deep").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -78,30 +78,34 @@ def g_neighbors(spark, d):
     return graph.reach(_ids(spark, d), _seed(spark, SEED), 2, include_seeds=True).select("node").distinct()
 
 
-@query("SELECT child AS node FROM contains WHERE parent = 'n3'", ("contains",))
+@query("+ r AS (SELECT parent AS seed, child AS node, 1 AS d FROM contains UNION ALL SELECT r.seed, c.child, d + 1 FROM r JOIN contains c ON c.parent = r.node) SELECT seed, node, d AS depth FROM r", ("contains",), True)
 def g_inherit_tree(spark, d):
-    return fx.contains(spark, d).where("parent = 'n3'").select(F.col("child").alias("node"))
+    """Descendants of every class."""
+    e = fx.contains(spark, d).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    return graph.reach(e, e.select(F.col("src").alias("node")))
 
 
-@query(f"+ r AS (SELECT CAST({SEED} AS BIGINT) AS node, 0 AS d UNION SELECT c.caller, d + 1 FROM r JOIN calls c ON c.callee = r.node WHERE d < 2), m AS (SELECT node, min(d) AS depth FROM r GROUP BY 1) SELECT m.node, CAST(depth AS INTEGER) AS depth FROM m JOIN symbols s ON s.id = m.node WHERE depth > 0 AND NOT contains(s.file, '/tests/')", ("call_edges",), True)
+@query(f"+ r AS (SELECT CAST({SEED} AS BIGINT) AS node, 0 AS d UNION SELECT c.caller, d + 1 FROM r JOIN calls c ON c.callee = r.node WHERE d < 5), m AS (SELECT node, min(d) AS depth FROM r GROUP BY 1), q AS (SELECT CAST({SEED} AS BIGINT) AS node, 0 AS d UNION SELECT c.callee, d + 1 FROM q JOIN calls c ON c.caller = q.node WHERE d < 5), n AS (SELECT node, min(d) AS depth FROM q GROUP BY 1) SELECT m.node, 'callers' AS way, CAST(depth AS INTEGER) AS depth FROM m JOIN symbols s ON s.id = m.node WHERE depth > 0 AND NOT contains(s.file, '/tests/') UNION ALL SELECT n.node, 'callees', CAST(depth AS INTEGER) FROM n JOIN symbols s ON s.id = n.node WHERE depth > 0 AND NOT contains(s.file, '/tests/')", ("call_edges",), True)
 def g_transitive(spark, d):
-    found = graph.reach(graph.reverse(_ids(spark, d)), _seed(spark, SEED), 2).select("node", "depth")
+    """Callers and callees of a function in production code, five hops."""
+    e, s = _ids(spark, d), _seed(spark, SEED)
+    found = graph.reach(graph.reverse(e), s, 5).withColumn("way", F.lit("callers")).unionByName(graph.reach(e, s, 5).withColumn("way", F.lit("callees")))
     code = fx.symbols(spark, d).where(~tx.is_test_path(F.col("file"))).select(F.col("id").alias("node"))
-    return found.join(code, "node", "left_semi")
+    return found.join(code, "node", "left_semi").select("node", "way", "depth")
 
 
-@query("SELECT src AS module, count(*) AS dependencies, (SELECT count(*) FROM import_top2 j WHERE j.dst = i.src) AS dependents FROM import_top2 i GROUP BY 1", ("import_top2",))
+@query("SELECT src AS module, count(*) AS dependencies, (SELECT count(*) FROM imports j WHERE j.dst = i.src) AS dependents FROM imports i GROUP BY 1", ("imports",))
 def g_deps(spark, d):
-    e = fx.import_top2(spark, d)
+    e = fx.imports(spark, d)
     out = e.groupBy(F.col("src").alias("module")).agg(F.count("*").alias("dependencies"))
     into = e.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("dependents"))
     return out.join(into, "module", "left").select("module", "dependencies", F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
-@query(f"+ e AS (SELECT caller AS src, callee AS dst, 'out' AS way FROM calls UNION ALL SELECT callee, caller, 'in' FROM calls), r AS (SELECT CAST({SEED} AS BIGINT) AS node, way, 0 AS d FROM (VALUES ('in'), ('out')) v(way) UNION SELECT e.dst, r.way, d + 1 FROM r JOIN e ON e.src = r.node AND e.way = r.way WHERE d < 2), m AS (SELECT node, way, min(d) AS depth FROM r GROUP BY 1, 2) SELECT s.file, way, count(*) AS functions FROM m JOIN symbols s ON s.id = m.node WHERE depth > 0 GROUP BY 1, 2", ("call_edges",), True)
+@query(f"+ e AS (SELECT caller AS src, callee AS dst, 'out' AS way FROM calls UNION ALL SELECT callee, caller, 'in' FROM calls), r AS (SELECT CAST({SEED} AS BIGINT) AS node, way, 0 AS d FROM (VALUES ('in'), ('out')) v(way) UNION SELECT e.dst, r.way, d + 1 FROM r JOIN e ON e.src = r.node AND e.way = r.way WHERE d < 5), m AS (SELECT node, way, min(d) AS depth FROM r GROUP BY 1, 2) SELECT s.file, way, count(*) AS functions FROM m JOIN symbols s ON s.id = m.node WHERE depth > 0 GROUP BY 1, 2", ("call_edges",), True)
 def g_blast_functions(spark, d):
     e, s = _ids(spark, d), _seed(spark, SEED)
-    both = graph.reach(e, s, 2).withColumn("way", F.lit("out")).unionByName(graph.reach(graph.reverse(e), s, 2).withColumn("way", F.lit("in")))
+    both = graph.reach(e, s, 5).withColumn("way", F.lit("out")).unionByName(graph.reach(graph.reverse(e), s, 5).withColumn("way", F.lit("in")))
     files = fx.symbols(spark, d).select(F.col("id").alias("node"), "file")
     return both.join(files, "node").groupBy("file", "way").agg(F.count("*").alias("functions"))
 
@@ -115,19 +119,24 @@ def g_package_diagram(spark, d):
 # -- resolution --------------------------------------------------------------
 
 
-@query("SELECT caller * 1000003 + callee AS ref_id, count(s.id) AS candidates FROM call_edges e LEFT JOIN symbols s ON s.name = e.callee_name AND s.file = e.caller_file GROUP BY 1", ("call_edges",))
+_CROSS = "refs AS (SELECT caller * 1000003 + callee AS ref_id, callee_name AS name, caller_file AS file, caller_language AS language, caller + callee % 40 AS line FROM call_edges)"
+
+
+@query(f"+ {_CROSS}, fn AS (SELECT id, file, line, end_line FROM symbols WHERE kind IN ('function', 'method')), inside AS (SELECT ref_id, arg_min(fn.id, (fn.end_line - fn.line, -fn.line, fn.id)) AS id FROM refs JOIN fn ON fn.file = refs.file AND refs.line BETWEEN fn.line AND fn.end_line GROUP BY 1), before AS (SELECT ref_id, arg_max(fn.id, (fn.line, fn.id)) AS id FROM refs JOIN fn ON fn.file = refs.file AND fn.line <= refs.line GROUP BY 1), c AS (SELECT r.ref_id, s.id AS def_id, s.file AS def_file, s.line AS def_line, CASE WHEN r.file = s.file THEN 1.0 WHEN EXISTS (SELECT 1 FROM call_edges u WHERE u.weight > 1 AND u.caller_file = r.file AND u.callee_file = s.file) THEN 0.9 ELSE 0.5 END AS level FROM refs r JOIN symbols s ON s.name = r.name AND (r.language = s.language OR (r.language IN ('javascript', 'typescript') AND s.language IN ('javascript', 'typescript')))), b AS (SELECT ref_id, max(level) AS level FROM c GROUP BY 1), p AS (SELECT ref_id, any_value(level) AS level, arg_min(def_id, (def_file, def_line, def_id)) AS def_id FROM c JOIN b USING (ref_id, level) GROUP BY 1) SELECT ref_id, coalesce(inside.id, before.id) AS caller_id, p.def_id, CAST(coalesce(p.level, 1.0) * CASE WHEN coalesce(inside.id, before.id) IS NULL THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence FROM refs LEFT JOIN inside USING (ref_id) LEFT JOIN before USING (ref_id) LEFT JOIN p USING (ref_id)", ("call_edges",))
 def res_cross_file(spark, d):
-    s = fx.symbols(spark, d).select("name", "file", F.col("id").alias("def_id"))
-    return _refs(spark, d).join(s, ["name", "file"], "left").groupBy("ref_id").agg(F.count("def_id").alias("candidates"))
+    """Every call again: its caller from the line, its callee from the name."""
+    e = fx.call_edges(spark, d)
+    refs = e.select((F.col("caller") * 1000003 + F.col("callee")).alias("ref_id"), F.col("callee_name").alias("name"), F.col("caller_file").alias("file"), F.col("caller_language").alias("language"), (F.col("caller") + F.col("callee") % 40).alias("line"))
+    imported = e.where("weight > 1").select(F.col("caller_file").alias("file"), F.col("callee_file").alias("target"))
+    return resolve.cross_file(refs, fx.symbols(spark, d), imported)
 
 
-@query("SELECT id, tier FROM (SELECT s.id, CASE WHEN class = 'C7' THEN 1.0 WHEN contains(file, 'brand7') THEN 0.7 END AS tier FROM symbols s WHERE name LIKE '%gear') x WHERE tier = (SELECT max(CASE WHEN class = 'C7' THEN 1.0 WHEN contains(file, 'brand7') THEN 0.7 END) FROM symbols WHERE name LIKE '%gear')".replace("SELECT id, tier", "SELECT id, CAST(tier AS DOUBLE) AS tier", 1), ("symbols",))
+@query("+ w AS (SELECT id AS wanted_id, CASE id % 3 WHEN 0 THEN 'C' || CAST(id % 97 AS VARCHAR) WHEN 1 THEN 'brand7' ELSE 'nowhere' END AS parent, name FROM symbols WHERE kind = 'method'), c AS (SELECT w.wanted_id, s.id, CASE WHEN coalesce(s.class = w.parent, false) THEN 3 WHEN list_contains(string_split(s.file, '/'), w.parent) THEN 2 ELSE 1 END AS tier FROM w JOIN symbols s ON s.name = w.name AND s.kind IN ('function', 'method', 'class')) SELECT wanted_id, id, CAST(CASE WHEN tier = 2 THEN 0.7 ELSE 1.0 END AS DOUBLE) AS confidence FROM c WHERE (wanted_id, tier) IN (SELECT (wanted_id, max(tier)) FROM c GROUP BY wanted_id)", ("symbols",))
 def res_qualified(spark, d):
-    """Members of a class by name: those inside it, else those whose path has its name; the first tier that has any."""
-    s = fx.symbols(spark, d).where(F.col("name").endswith("gear"))
-    tier = F.when(F.col("class") == "C7", 1.0).when(F.col("file").contains("brand7"), 0.7)
-    t = s.select("id", tier.alias("tier")).where("tier is not null")
-    return t.join(t.agg(F.max("tier").alias("best"))).where("tier = best").select("id", "tier")
+    """Members of a class by name: those inside it, else those whose path has its name, else all."""
+    s, i = fx.symbols(spark, d), F.col("id")
+    parent = F.when(i % 3 == 0, F.concat(F.lit("C"), (i % 97).cast("string"))).when(i % 3 == 1, "brand7").otherwise("nowhere")
+    return resolve.qualified(s.where("kind = 'method'").select(i.alias("wanted_id"), parent.alias("parent"), "name"), s)
 
 
 @query("SELECT name, count(*) AS refs, count(DISTINCT file) AS files FROM (SELECT callee_name AS name, caller_file AS file FROM call_edges UNION ALL SELECT name, file FROM symbols WHERE kind = 'import') x GROUP BY 1", ("call_edges",))
@@ -157,10 +166,10 @@ def res_second_pass(spark, d):
 # -- quality -----------------------------------------------------------------
 
 
-@query("SELECT id, CASE WHEN r <= 0.05 THEN 100.0 WHEN r >= 0.3 THEN 0.0 ELSE round(100.0 * (0.3 - r) / (0.3 - 0.05), 4) END AS score FROM (SELECT id, repeated / CAST(blocks AS DOUBLE) AS r FROM (WITH l AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS v FROM documents), b AS (SELECT id, v[i] || chr(10) || v[i + 1] || chr(10) || v[i + 2] AS b, count(*) AS n FROM (SELECT id, v, unnest(range(1, len(v) - 1)) AS i FROM l WHERE len(v) >= 3) x GROUP BY 1, 2) SELECT id, count(*) AS blocks, count(*) FILTER (WHERE n > 1) AS repeated FROM b GROUP BY 1) y) z")
+@query(f"SELECT id, CASE WHEN blocks = 0 THEN 100.0 WHEN r <= 0.05 THEN 100.0 WHEN r >= 0.3 THEN 0.0 ELSE round(100.0 * (0.3 - r) / (0.3 - 0.05), 4) END AS score FROM (SELECT id, blocks, repeated / CAST(nullif(blocks, 0) AS DOUBLE) AS r FROM ({_BLOCKS.removeprefix('+ ').join(['WITH ', ''])}) y) z", ("files",))
 def q_duplication(spark, d):
     b = metrics.duplicate_blocks(fx.files(spark, d))
-    return b.select("id", F.round(quality.duplication_score(F.col("repeated") / F.col("blocks")), 4).alias("score"))
+    return b.select("id", F.when(F.col("blocks") == 0, 100.0).otherwise(F.round(quality.duplication_score(F.col("repeated") / F.nullif("blocks", F.lit(0))), 4)).alias("score"))
 
 
 @query("SELECT file, round(CASE WHEN n <= 5 THEN 100 WHEN n >= 50 THEN 0 ELSE 100.0 * (50 - n) / 45 END, 4) AS score FROM (SELECT file, count(*) AS n FROM commit_files WHERE ts >= TIMESTAMP '2001-05-01' GROUP BY 1) x", ("commit_files",))
@@ -169,11 +178,12 @@ def q_hotspot(spark, d):
     return c.select("file", F.round(quality.hotspot_score(F.col("n")), 4).alias("score"))
 
 
-@query(f"+ f AS (SELECT s.id, s.complexity, contains(s.file, '/m0') AS init, coalesce(n, 0) AS down, {_GRADE.replace('total', '(100 - complexity)')} AS grade, coalesce(t, 0) AS tests FROM symbols s LEFT JOIN (SELECT callee, count(DISTINCT caller_file) AS n, count(*) FILTER (WHERE contains(caller_file, '/tests/')) AS t FROM call_edges GROUP BY 1) u ON u.callee = s.id), p AS (SELECT id, {_ladder('down', [(11, 3), (4, 2), (1, 1)])} + CASE WHEN grade IN ('D', 'F') THEN 2 WHEN grade = 'C' THEN 1 ELSE 0 END + CASE WHEN tests = 0 THEN 2 ELSE 0 END + CASE WHEN init THEN 2 ELSE 0 END + 1 AS points FROM f) SELECT id, CASE WHEN points >= 6 THEN 'dangerous' WHEN points >= 3 THEN 'caution' ELSE 'safe' END AS verdict FROM p", ("call_edges",))
+@query(f"+ f AS (SELECT s.id, s.complexity, contains(s.file, '/m0') AS init, coalesce(n, 0) AS down, {_GRADE.replace('total', '(100 - complexity)')} AS grade, coalesce(t, 0) AS tests, id % 6 AS edit, complexity % 15 AS deps FROM symbols s LEFT JOIN (SELECT callee, count(DISTINCT caller_file) AS n, count(*) FILTER (WHERE contains(caller_file, '/tests/')) AS t FROM call_edges GROUP BY 1) u ON u.callee = s.id), p AS (SELECT id, {_ladder('down', [(21, 3), (6, 2), (1, 1)])} + CASE WHEN grade IN ('D', 'F') THEN 2 WHEN grade = 'C' THEN 1 ELSE 0 END + CASE WHEN tests = 0 THEN 2 ELSE 0 END + CASE WHEN init THEN 2 ELSE 0 END + CASE WHEN edit IN (0, 1, 2) THEN 2 WHEN edit = 3 THEN 1 WHEN edit = 4 AND down > 5 THEN 1 ELSE 0 END + CASE WHEN deps > 10 THEN 1 ELSE 0 END AS points FROM f) SELECT id, CASE WHEN points >= 6 THEN 'dangerous' WHEN points >= 3 THEN 'caution' ELSE 'safe' END AS verdict FROM p", ("call_edges",))
 def q_safe_edit(spark, d):
     u = fx.call_edges(spark, d).groupBy(F.col("callee").alias("id")).agg(F.countDistinct("caller_file").alias("down"), F.count_if(tx.is_test_path(F.col("caller_file"))).alias("tests"))
     j = fx.symbols(spark, d).join(u, "id", "left").na.fill(0, ["down", "tests"])
-    verdict = quality.safe_edit(F.col("down"), tx.grade(100 - F.col("complexity")), F.col("tests"), F.col("file").contains("/m0"), F.lit(1), F.lit(0))
+    edit = F.element_at(F.array(*map(F.lit, ["rename", "delete", "signature_change", "behavior_change", "refactor", "add_feature"])), (F.col("id") % 6).cast("int") + 1)
+    verdict = quality.safe_edit(F.col("down"), tx.grade(100 - F.col("complexity")), F.col("tests"), F.col("file").contains("/m0"), edit, F.col("complexity") % 15)
     return j.select("id", verdict.alias("verdict"))
 
 
@@ -201,10 +211,15 @@ def q_complexity_count(spark, d):
     return fx.files(spark, d).select("id", quality.decision_count(F.col("content")).cast("bigint").alias("complexity"))
 
 
-@query("SELECT id, rule, i AS line_no FROM (SELECT id, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM files) t, (VALUES ('AP002', 'except\\s*:'), ('AP010', '\\bvar\\s+\\w+'), ('AP011', '[^=!<>]==[^=]')) r(rule, p) WHERE regexp_matches(x, p)", ("files",))
+@query("SELECT c.id, x.rule, CAST(x.line_no AS INTEGER) AS line_no FROM (SELECT id, language, id % 22 AS k FROM symbols) c JOIN (VALUES " + ", ".join(f"({k}, '{g}', '{i}', {n})" for k, gs, i, n in fx.FOUND_ANTI_PATTERNS for g in gs.split()) + ") x(k, language, rule, line_no) ON x.k = c.k AND x.language = c.language", ("symbols",))
 def q_anti_patterns(spark, d):
-    rules = {k: quality.ANTI_PATTERNS[k] for k in ("AP002", "AP010", "AP011")}
-    return quality.scan(fx.files(spark, d), rules).withColumn("line_no", F.col("line_no").cast("bigint"))
+    """All rules over small programs, one a symbol; the SQL lists what each holds."""
+    return quality.anti_patterns(fx.code(spark, d))
+
+
+@query("SELECT id, 'f' AS function, 4::INTEGER AS start, 4::INTEGER AS end, 'code after return statement on line 3' AS reason FROM symbols WHERE language = 'python' AND id % 22 = 21", ("symbols",))
+def q_unreachable(spark, d):
+    return quality.unreachable_code(fx.code(spark, d))
 
 
 @query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS section FROM pages")
@@ -213,10 +228,11 @@ def q_routes(spark, d):
     return fx.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1).alias("section"))
 
 
-@query("SELECT DISTINCT caller_file AS file, caller_name AS name FROM call_edges e WHERE NOT EXISTS (SELECT 1 FROM call_edges u WHERE u.callee_file = e.caller_file AND u.callee_name = e.caller_name)", ("call_edges",))
+@query("SELECT s.file, s.name FROM symbols s WHERE s.kind = 'constant' AND NOT EXISTS (SELECT 1 FROM call_edges u WHERE u.caller_file = s.file AND u.callee_name = s.name) GROUP BY 1, 2", ("call_edges",))
 def q_unref_vars(spark, d):
+    """Constants whose name their own file never uses."""
     e = fx.call_edges(spark, d)
-    return quality.unused_names(e.select(F.col("caller_file").alias("file"), F.col("caller_name").alias("name")), e.select(F.col("callee_file").alias("file"), F.col("callee_name").alias("name")))
+    return quality.unused_names(fx.symbols(spark, d).where("kind = 'constant'"), e.select(F.col("caller_file").alias("file"), F.col("callee_name").alias("name")))
 
 
 @query("+ s AS (SELECT file, count(*) AS symbols, max(complexity) AS worst FROM symbols GROUP BY 1), o AS (SELECT caller_file AS file, count(*) AS calls FROM call_edges GROUP BY 1) SELECT s.file, symbols, worst, coalesce(calls, 0) AS calls, CASE WHEN worst <= 5 THEN 'low' WHEN worst <= 10 THEN 'medium' WHEN worst <= 20 THEN 'high' ELSE 'critical' END AS band FROM s LEFT JOIN o USING (file)", ("call_edges",))
@@ -239,97 +255,3 @@ def st_history(spark, d):
 def st_sliding(spark, d):
     e = fx.table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("at", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select("event_type", F.unix_timestamp("w.start").alias("start"), "n")
-
-
-# -- whole graphs -------------------------------------------------------------
-# The queries above and in the catalog that keep two imports a module, few hops or 100 rows, without those bounds.
-
-
-def _whole(name: str) -> str:
-    """SQL of a query over the two heaviest imports, over all of them."""
-    return ORACLES[name].split(f"import_top2 AS ({fx.SQL['import_top2']})", 1)[1].lstrip(", ").replace("import_top2", "imports")
-
-
-def _imports(spark, d):
-    return fx.imports(spark, d).select("src", "dst")
-
-
-def _coupling_all(spark, d):
-    e = fx.imports(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return metrics.coupling(e, e)
-
-
-@query(_whole("agg_coupling"), ("imports",))
-def agg_coupling_all(spark, d):
-    return _coupling_all(spark, d)
-
-
-@query("+ " + _whole("agg_matrix_summary"), ("imports",))
-def agg_matrix_summary_all(spark, d):
-    return metrics.matrix_summary(_coupling_all(spark, d), metrics.instability(fx.imports(spark, d)))
-
-
-@query(_whole("rank_most_coupled"), ("imports",))
-def rank_most_coupled_all(spark, d):
-    return _coupling_all(spark, d).orderBy(F.desc("score"), "file_a", "file_b").limit(10).select("file_a", "file_b", "score")
-
-
-@query("+ " + _whole("agg_depth_hist"), ("imports",), True)
-def agg_depth_hist_all(spark, d):
-    e = _imports(spark, d)
-    far = graph.reach(e, e.select(F.col("src").alias("node")), 10).groupBy("seed").agg(F.max("depth").alias("depth"))
-    return far.groupBy(F.when(F.col("depth") <= 2, "shallow").when(F.col("depth") <= 5, "medium").otherwise("deep").alias("bucket")).agg(F.count("*").alias("n"))
-
-
-@query(_whole("g_deps"), ("imports",))
-def g_deps_all(spark, d):
-    e = _imports(spark, d)
-    out = e.groupBy(F.col("src").alias("module")).agg(F.count("*").alias("dependencies"))
-    into = e.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("dependents"))
-    return out.join(into, "module", "left").select("module", "dependencies", F.coalesce("dependents", F.lit(0)).alias("dependents"))
-
-
-@query("+ " + _whole("g_blast_file"), ("imports",), True)
-def g_blast_file_all(spark, d):
-    return graph.reach(graph.reverse(_imports(spark, d)), spark.createDataFrame([("m0",)], "node string"), 10).select("node", "depth")
-
-
-@query("+ " + _whole("g_blast_forward"), ("imports",), True)
-def g_blast_forward_all(spark, d):
-    e = _imports(spark, d)
-    return graph.reach(e, e.select(F.col("src").alias("node"))).groupBy("seed").agg(F.count("*").alias("dependencies"))
-
-
-@query("+ " + _whole("g_tree"), ("imports",), True)
-def g_tree_all(spark, d):
-    return graph.tree(_imports(spark, d), "m3", 4).withColumn("path", F.array_join("path", "/"))
-
-
-@query(_whole("g_cycles"), ("imports",))
-def g_cycles_all(spark, d):
-    return graph.two_cycles_and_three(_imports(spark, d)).select(F.array_join("cycle", "/").alias("cycle"), "length")
-
-
-def _deeper(name: str, hops: int) -> str:
-    """SQL of a query that goes two hops, for ``hops``."""
-    return ORACLES[name].replace("WHERE d < 2", f"WHERE d < {hops}")
-
-
-@query(_deeper("g_reachable_dead", 20))
-def g_reachable_dead_all(spark, d):
-    s = fx.symbols(spark, d).withColumnRenamed("id", "node")
-    return graph.dead(_ids(spark, d), s.select("node"), s.where(tx.is_test_path(F.col("file"))).select("node"), 20)
-
-
-@query(_deeper("g_blast_functions", 5))
-def g_blast_functions_all(spark, d):
-    e, s = _ids(spark, d), _seed(spark, SEED)
-    both = graph.reach(e, s, 5).withColumn("way", F.lit("out")).unionByName(graph.reach(graph.reverse(e), s, 5).withColumn("way", F.lit("in")))
-    files = fx.symbols(spark, d).select(F.col("id").alias("node"), "file")
-    return both.join(files, "node").groupBy("file", "way").agg(F.count("*").alias("functions"))
-
-
-@query(ORACLES["rank_source_pref"].replace(" ORDER BY place LIMIT 100", ""))
-def rank_source_pref_all(spark, d):
-    keys = [tx.is_test_path(F.col("file")), tx.is_generated_path(F.col("file")), F.col("file"), F.col("line"), F.col("name"), F.col("id")]
-    return search.places(fx.symbols(spark, d), keys).select("id", "place")

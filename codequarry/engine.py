@@ -142,7 +142,21 @@ class Health(_Facade):
         return graph.dead(self.p.calls, s.select("node"), s.where(tx.is_test_path(F.col("file"))).select("node"), max_depth)
 
     def patterns(self) -> DataFrame:
-        return quality.scan(self.p.need("files"), {**quality.ANTI_PATTERNS, **quality.SECURITY})
+        """(id, rule, line_no): anti-patterns and security issues."""
+        f = self.p.need("files")
+        return quality.anti_patterns(f).unionByName(quality.security(f).select("id", F.col("issue").alias("rule"), "line_no"))
+
+    def unreachable(self) -> DataFrame:
+        return quality.unreachable_code(self.p.need("files"))
+
+    def smells(self) -> DataFrame:
+        return quality.smells(self.p.need("files"))
+
+    def cycles(self) -> DataFrame:
+        return graph.scc(self.p.need("imports"))
+
+    def affected_tests(self, changed: DataFrame, globs: list[str] | None = None) -> DataFrame:
+        return graph.affected_tests(self.p.need("imports"), changed, globs)
 
     def overview(self) -> DataFrame:
         return metrics.stats(self.p.symbols)

@@ -29,20 +29,59 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), "[.][^.]*$", "")
 
 
+#: What marks a test for the chain language: parts of the path, of the basename, and endings.
+TEST_PARTS = ["/test/", "/tests/", "/__tests__/", "/fixtures/"]
+TEST_NAME_ENDS = [".test.ts", ".test.tsx", ".test.js", ".spec.ts", ".spec.js"]
+#: What marks a test for the index: folders and endings.
+TEST_FOLDERS = ["test/", "tests/", "__tests__/", "spec/", "specs/", "fixtures/", "testdata/"]
+TEST_FILE_ENDS = ["_test.go", "_test.py", "_test.rs", "_test.cc", "_test.cpp", "_test.cxx", "_spec.rb", ".test.js", ".test.jsx", ".test.ts", ".test.tsx", ".spec.js", ".spec.jsx", ".spec.ts", ".spec.tsx"]
+GENERATED_PARTS = ["/vendor/", "/gen/", "/generated/"]
+
+
+def _any(conditions) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _normal(path: Column) -> Column:
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
 def is_test_path(path: Column) -> Column:
-    """The chain DSL's notion of a test file: by directory, basename or suffix."""
-    p = F.lower(F.concat(F.lit("/"), path))
-    return p.rlike("/(test|tests|__tests__|fixtures)/") | p.rlike("/test_[^/]*$") | p.rlike("_test[.][^/]*$") | p.rlike("[.](spec|test)[.][a-z]+$")
+    """The chain language's notion of a test file: by folder, basename or ending."""
+    p = _normal(path)
+    name = basename(p)
+    return _any([*(p.contains(x) for x in TEST_PARTS), name.startswith("test_"), name.contains("_test."), *(name.endswith(x) for x in TEST_NAME_ENDS)])
 
 
 def is_test_path_canonical(path: Column) -> Column:
-    """The index's notion: like the other, but ``test_*.py`` counts at the root only."""
-    p = F.lower(path)
-    return p.rlike("(^|/)(test|tests|__tests__|spec)/") | p.rlike("^test_[^/]*[.]py$") | p.rlike("(_test|[.]test|[.]spec|_spec)[.][a-z]+$")
+    """The index's notion: more folders and endings, and ``test_*.py`` at the root only."""
+    p = _normal(path)
+    name = basename(p)
+    folder = [c for x in TEST_FOLDERS for c in (p.startswith(x), p.contains("/" + x))]
+    return _any([*folder, *(name.endswith(x) for x in TEST_FILE_ENDS), ~p.contains("/") & p.startswith("test_") & p.endswith(".py")])
 
 
 def is_generated_path(path: Column) -> Column:
-    return F.lower(F.concat(F.lit("/"), path)).rlike("/(vendor|gen|generated)/")
+    p = _normal(path)
+    return _any(p.contains(x) for x in GENERATED_PARTS)
+
+
+#: White space as source readers strip it, and line ends as they split at them, for Java's and RE2's expressions.
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+
+
+def source_lines(content: Column) -> Column:
+    """Lines of a text; an end of line at its end doesn't begin another, an empty text has none."""
+    v = F.split(content, LINE_END)
+    return F.when(F.element_at(v, -1) == "", F.slice(v, 1, F.size(v) - 1)).otherwise(v)
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def words(text: Column) -> Column:
@@ -97,25 +136,45 @@ def grade_rank(letter: Column) -> Column:
 
 
 def param_count(signature: Column) -> Column:
-    """Top-level commas plus one inside the first parentheses; 0 when they are empty."""
+    """Commas outside of brackets, and one, inside the first parentheses; 0 when they are empty."""
     inner = F.regexp_extract(signature, "[(]([^)]*)[)]", 1)
-    depthless = F.regexp_replace(inner, "<[^<>]*>", "")
-    return F.when(F.trim(inner) == "", 0).otherwise(F.length(depthless) - F.length(F.replace(depthless, F.lit(","), F.lit(""))) + 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(1).alias("n"))
+
+    def step(acc: Column, c: Column) -> Column:
+        deeper = F.when(c.isin("(", "<"), 1).when(c.isin(")", ">"), -1).otherwise(0)
+        return F.struct((acc["depth"] + deeper).alias("depth"), (acc["n"] + ((c == ",") & (acc["depth"] == 0)).cast("int")).alias("n"))
+
+    return F.when(stripped(inner) == "", 0).otherwise(F.aggregate(F.split(inner, ""), zero, step)["n"])
+
+
+#: Patterns of a declared name, the first that fits counts.
+NAME_PATTERNS = [
+    r"(?:public|private|protected)\s+(?:static\s+)?(?:final\s+)?(?:abstract\s+)?(?:synchronized\s+)?(?:[\w<>,\s\[\]]+)\s+(\w+)\s*\(",
+    r"(?:static\s+)?(?:final\s+)?(?:abstract\s+)?(?:[\w<>,\s\[\]]+)\s+(\w+)\s*\(",
+    r"def\s+(\w+)\s*\(",
+    r"function\s+(\w+)\s*\(",
+]
 
 
 def name_of(content: Column) -> Column:
     """Declared name by the first pattern that fits, else ``unknown``."""
-    patterns = [r"(?:def|function|func|fn)\s+(\w+)", r"(?:class|interface|struct|enum|trait)\s+(\w+)", r"(?:public|private|protected|static)\s+[\w<>\[\]]+\s+(\w+)\s*[(]", r"(\w+)\s*[(]"]
-    found = [F.nullif(F.regexp_extract(content, p, 1), F.lit("")) for p in patterns]
+    found = [F.nullif(F.regexp_extract(content, p, 1), F.lit("")) for p in NAME_PATTERNS]
     return F.coalesce(*found, F.lit("unknown"))
 
 
 def has_modifier(content: Column, word: str) -> Column:
-    return F.split_part(content, F.lit("\n"), F.lit(1)).rlike(rf"\b{re.escape(word)}\b")
+    """Whether the first line has ``word`` before white space or ``<``."""
+    return F.split_part(content, F.lit("\n"), F.lit(1)).rlike(rf"(?:^|\s){re.escape(word)}(?:\s|<)")
+
+
+#: What a text loses, in this order, before copies are compared.
+NOT_CODE = [r'"""[\s\S]*?"""', r"'''[\s\S]*?'''", r"//[^\n]*", r"/\*[\s\S]*?\*/", r"#[^\n]*", BLANK + "+"]
 
 
 def fingerprint(text: Column) -> Column:
-    """Digest of a text without comments and white space, names and numbers made alike."""
-    body = F.regexp_replace(text, "#[^\n]*", "")
-    body = F.regexp_replace(body, "[A-Za-z_][A-Za-z0-9_]*", "_")
-    return F.substring(F.sha2(F.regexp_replace(body, "\\s+", "").cast("binary"), 256), 1, 32)
+    """Digest of a text without docstrings, comments and white space, runs of name characters made alike."""
+    body = text
+    for p in NOT_CODE:
+        body = F.regexp_replace(body, p, "")
+    body = F.regexp_replace(body, "[a-zA-Z_][a-zA-Z0-9_]*", "_")
+    return F.substring(F.sha2(body.cast("binary"), 256), 1, 32)

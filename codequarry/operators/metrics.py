@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dirname, grade, grade_rank, risk_band
+from ..functions.text import dirname, grade, grade_rank, risk_band, source_lines, stripped
 
 HIGH_COUPLING = 5.0
 UNSTABLE = 0.7
@@ -85,8 +85,10 @@ def sitemap(symbols: DataFrame) -> DataFrame:
 
 def flat(symbols: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` symbols of each kind with the kind's true count."""
-    w = W.partitionBy("kind")
-    return symbols.withColumn("k", F.row_number().over(w.orderBy("file", "line", "id"))).withColumn("n", F.count("*").over(w)).where(F.col("k") <= cap).select("kind", "k", "id", "n")
+    counts = symbols.groupBy("kind").agg(F.count("*").alias("n"))
+    # Ranked alone, so that each task keeps its first ``cap`` before the shuffle.
+    first = symbols.select("kind", "file", "line", "id").withColumn("k", F.row_number().over(W.partitionBy("kind").orderBy("file", "line", "id"))).where(F.col("k") <= cap)
+    return first.join(counts, "kind").select("kind", "k", "id", "n")
 
 
 def module_coupling(calls: DataFrame, top: int = 5) -> DataFrame:
@@ -105,18 +107,27 @@ def classification_rate(edges: DataFrame, resolution: Column) -> DataFrame:
     return edges.select(resolution.alias("r")).agg(F.count("*").alias("edges"), F.round(100.0 * F.count_if(F.col("r") != "unknown") / F.count("*"), 2).alias("rate"))
 
 
-def cochange(commit_files: DataFrame, min_shared: int = 3) -> DataFrame:
+def cochange(commit_files: DataFrame, min_shared: int = 3, max_files: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Pairs of files changed together: lift = shared * commits / (a * b).
 
-    Pairs come from an equi-join on the commit, pre-counted; a commit of very many files belongs in
-    ``max_files``-style filters of the caller, as its pairs are the square of its size.
+    ``max_files`` leaves out commits of more files, whose pairs are the square
+    of their size; ``targets`` (column file) asks for pairs with those files
+    only, which makes as many pairs a commit as it has files.
     """
     c = commit_files.select("sha", "file").distinct()
+    if max_files is not None:
+        c = c.join(c.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= max_files).select("sha"), "sha", "left_semi")
     total = c.agg(F.countDistinct("sha").alias("commits"))
     per = c.groupBy("file").agg(F.count("*").alias("n"))
-    pairs = c.alias("x").join(c.alias("y"), "sha").where("x.file < y.file").groupBy(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).agg(F.count("*").alias("shared"))
-    pairs = pairs.where(F.col("shared") >= min_shared)
-    j = pairs.join(per.select(F.col("file").alias("file_a"), F.col("n").alias("na")), "file_a").join(per.select(F.col("file").alias("file_b"), F.col("n").alias("nb")), "file_b").join(total)
+    x = c.select("sha", F.col("file").alias("x"))
+    if targets is None:
+        pairs = x.join(c.select("sha", F.col("file").alias("y")), "sha").where("x < y")
+    else:
+        asked = x.join(targets.select(F.col("file").alias("x")).distinct().withColumn("asked", F.lit(True)), "x", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+        one, other = asked.where("asked").select("sha", "x"), asked.select("sha", F.col("x").alias("y"), F.col("asked").alias("both"))
+        pairs = one.join(other, "sha").where("x <> y and (not both or x < y)")
+    pairs = pairs.groupBy(F.least("x", "y").alias("file_a"), F.greatest("x", "y").alias("file_b")).agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    j = pairs.join(per.select(F.col("file").alias("file_a"), F.col("n").alias("na")), "file_a").join(per.select(F.col("file").alias("file_b"), F.col("n").alias("nb")), "file_b").join(total)  # one row of totals
     return j.select("file_a", "file_b", "shared", F.round(F.col("shared") * F.col("commits") / (F.col("na") * F.col("nb")), 4).alias("lift"))
 
 
@@ -135,13 +146,18 @@ def weighted_health(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     return rows.withColumn("total", total).withColumn("grade", grade(F.col("total")))
 
 
-def duplicate_blocks(files: DataFrame, size: int = 3) -> DataFrame:
-    """Per file: distinct blocks of ``size`` stripped non-empty lines, and how many occur more than once."""
-    stripped = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    lines = files.select("id", stripped.alias("v"))
-    blocks = F.when(F.size("v") >= size, F.transform(F.sequence(F.lit(0), F.size("v") - size), lambda i: F.concat_ws("\n", F.slice("v", i + 1, size)))).otherwise(F.array().cast("array<string>"))
-    b = lines.select("id", F.explode(blocks).alias("b")).groupBy("id", "b").agg(F.count("*").alias("n"))
-    return b.groupBy("id").agg(F.count("*").alias("blocks"), F.count_if(F.col("n") > 1).alias("repeated"))
+def duplicate_blocks(files: DataFrame, size: int = 3, least: int = 10) -> DataFrame:
+    """Per file: distinct blocks of ``size`` stripped lines that aren't all blank, and how many occur more than once.
+
+    A file of fewer than ``least`` lines has none.
+    """
+    v = F.transform(source_lines(F.col("content")), stripped)
+    lines = files.select("id", v.alias("v"))
+    blocks = F.when((F.size("v") >= least) & (F.size("v") >= size), F.transform(F.sequence(F.lit(0), F.size("v") - size), lambda i: F.concat_ws("\n", F.slice("v", i + 1, size)))).otherwise(F.array().cast("array<string>"))
+    blank = "\n" * (size - 1)
+    b = lines.select("id", F.explode_outer(blocks).alias("b")).groupBy("id", "b").agg(F.count("*").alias("n"))
+    real = F.col("b").isNotNull() & (F.col("b") != blank)
+    return b.groupBy("id").agg(F.count_if(real).alias("blocks"), F.count_if(real & (F.col("n") > 1)).alias("repeated"))
 
 
 def latest(health: DataFrame, keep: int = 1) -> DataFrame:

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pairs of languages whose symbols may bind each other, beside equal ones.
-FAMILIES = [("javascript", "typescript"), ("typescript", "javascript"), ("cpp", "c")]
+from ..functions.text import dirname
+
+#: Languages that may bind each other, and (caller, callee) pairs that may bind one way.
+FAMILY = ["javascript", "typescript", "jsx", "tsx"]
+DIRECTED = [("cpp", "c"), ("objc", "c"), ("objcpp", "c"), ("objcpp", "cpp"), ("objcpp", "objc")]
+DEFINITIONS = ["function", "method", "class"]
 
 
 def compatible(caller: Column, callee: Column) -> Column:
     """Whether a reference in one language may bind a definition in another; unknown languages may."""
-    pair = F.lit(False)
-    for a, b in FAMILIES:
+    pair = caller.isin(FAMILY) & callee.isin(FAMILY)
+    for a, b in DIRECTED:
         pair = pair | ((caller == a) & (callee == b))
     blank = lambda c: c.isNull() | (c == "")
     return blank(caller) | blank(callee) | (caller == callee) | pair
@@ -32,49 +36,170 @@ def audit(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("total"), F.count_if(F.col("langs").isNotNull()).alias("resolvable"), F.count_if(bound).alias("cross_language"), F.count_if(F.col("langs").isNotNull() & ~fits).alias("naive_only"))
 
 
-def candidates(refs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Definitions of a reference's name in compatible languages; refs: ref_id, name, file, language."""
-    s = symbols.select("name", F.col("id").alias("def_id"), F.col("file").alias("def_file"), F.col("language").alias("def_language"), F.col("line").alias("def_line"))
-    return refs.join(s, "name").where(compatible(F.col("language"), F.col("def_language")))
+def by_language(symbols: DataFrame, keys: list[str], what: list[Column]) -> DataFrame:
+    """One row a key: ``per``, an array with the aggregates ``what`` of each language.
 
+    A name that everybody defines costs a row and as many entries as there are
+    languages, so joining references to it makes one row each.
+    """
+    per = symbols.groupBy(*keys, "language").agg(*what)
+    rest = [c for c in per.columns if c not in keys]
+    return per.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("per"))
+
+
+def joined(refs: DataFrame, reduced: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``refs`` with the array of ``reduced`` as ``name``, of the languages that the reference may bind."""
+    j = refs.join(reduced.withColumnRenamed("per", "per_"), keys, "left")
+    return j.withColumn(name, F.filter("per_", lambda x: compatible(F.col("language"), x["language"]))).drop("per_")
 
-def choose(refs: DataFrame, symbols: DataFrame, test: Column) -> DataFrame:
-    """(ref_id, def_id): the best candidate – same file, then same directory, then production code, then path and line."""
-    from ..functions.text import dirname
 
-    c = candidates(refs, symbols)
-    order = F.struct((F.col("file") != F.col("def_file")).cast("int").alias("o1"), (dirname(F.col("file")) != dirname(F.col("def_file"))).cast("int").alias("o2"), test.cast("int").alias("o3"), "def_file", "def_line", "def_id")
-    return c.groupBy("ref_id").agg(F.min(order).alias("m")).select("ref_id", F.col("m.def_id").alias("def_id"))
+def total(name: str, field: str) -> Column:
+    return F.coalesce(F.aggregate(F.transform(name, lambda x: x[field]), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
 
 
-def cascade(refs: DataFrame, symbols: DataFrame, builtins: list[str], stdlib: list[str]) -> DataFrame:
-    """(ref_id, resolution, def_id): local, then a single global definition, then builtin, then stdlib, else unknown.
+def least(name: str, field: str) -> Column:
+    return F.array_min(F.transform(name, lambda x: x[field]))
 
-    A rule resolves only when its answer is unique.
+
+def choose(refs: DataFrame, symbols: DataFrame, test: Column) -> DataFrame:
+    """(ref_id, def_id): the best candidate – same file, then same directory, then production code, then path and line.
+
+    refs: ref_id, name, file, language.  ``test`` says of a definition's
+    ``def_file`` whether it is a test.  Definitions are reduced to the best one
+    a name, place and language first, so three equality joins find it.
     """
-    c = candidates(refs, symbols)
-    per = c.groupBy("ref_id").agg(
-        F.count_if(F.col("file") == F.col("def_file")).alias("here"), F.min(F.when(F.col("file") == F.col("def_file"), F.col("def_id"))).alias("here_id"),
-        F.count("*").alias("n"), F.min("def_id").alias("any_id"),
-    )
-    j = refs.join(per, "ref_id", "left")
-    here, one, owned = F.coalesce("here", F.lit(0)), F.coalesce("n", F.lit(0)) == 1, F.coalesce("n", F.lit(0)) > 0
-    rule = F.when(here == 1, "local").when(one, "project").when(F.col("name").isin(builtins) & ~owned, "builtin").when(F.col("name").isin(stdlib) & ~owned, "stdlib").otherwise("unknown")
-    j = j.withColumn("resolution", rule)
-    return j.select("ref_id", "resolution", F.when(F.col("resolution") == "local", F.col("here_id")).when(F.col("resolution") == "project", F.col("any_id")).alias("def_id"))
+    order = F.min(F.struct(test.cast("int").alias("test"), "def_file", "line", "id")).alias("best")
+    s = symbols.select("name", "language", "file", F.col("file").alias("def_file"), "line", "id").withColumn("dir", dirname(F.col("file")))
+    r = refs.withColumn("dir", dirname(F.col("file")))
+    for k, keys in enumerate((["name", "file"], ["name", "dir"], ["name"])):
+        r = joined(r, by_language(s, keys, [order]), keys, f"c{k}")
+    best = F.coalesce(*[least(f"c{k}", "best") for k in range(3)])
+    return r.select("ref_id", best["id"].alias("def_id")).where("def_id is not null")
 
 
 def callee_confidence(refs: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
-    """(ref_id, def_id, confidence): own file 1.0, imported file 0.9, else a definition anywhere 0.5; the best ones only.
+    """(ref_id, confidence, candidates, def_id): own file 1.0, imported file 0.9, else a definition anywhere 0.5.
+
+    Of the best level the number of definitions and the first by file, line and
+    id.  ``imported``: (file, target) pairs of files.
+    """
+    what = [F.count("*").alias("n"), F.min(F.struct("def_file", "line", "id")).alias("best")]
+    s = symbols.select("name", "language", "file", F.col("file").alias("def_file"), "line", "id")
+    i = imported.select("file", F.col("target").alias("def_file")).where("file <> def_file").distinct().join(s.drop("file"), "def_file")
+    r = joined(refs, by_language(s, ["name", "file"], what), ["name", "file"], "own")
+    r = joined(r, by_language(i, ["name", "file"], what), ["name", "file"], "imp")
+    r = joined(r, by_language(s, ["name"], what), ["name"], "any")
+    level = F.when(total("own", "n") > 0, 1.0).when(total("imp", "n") > 0, 0.9).when(total("any", "n") > 0, 0.5)
+    pick = lambda f, field: F.when(F.col("confidence") == 1.0, f("own", field)).when(F.col("confidence") == 0.9, f("imp", field)).otherwise(f("any", field))
+    r = r.withColumn("confidence", level).where("confidence is not null")
+    return r.select("ref_id", "confidence", pick(total, "n").alias("candidates"), pick(least, "best")["id"].alias("def_id"))
+
+
+#: What the cascade takes for granted: names and, by language, method names outside the project.
+EMPTY = {"builtins": [], "builtin_types": [], "stdlib_modules": [], "stdlib_methods": {}, "external_methods": {}, "builtin_methods": {}}
+
+
+def cascade(refs: DataFrame, symbols: DataFrame, imports: DataFrame, known: dict) -> DataFrame:
+    """(ref_id, resolution, rule, def_id, def_file): the first rule that fits, each only where its answer is unique.
+
+    refs: ref_id, name, qualifier, caller_name, file, language.  symbols: id,
+    name, kind, file, language, class, line.  imports: file, local_name, module,
+    target (a project file or null).  known: as ``EMPTY``.
+
+    Rules in order: a method of the caller's own class, the own file, an import,
+    a stdlib import, the only definition of a bare name, the only method of a
+    named class, the only method of that name, builtins, and method names of the
+    stdlib, of other libraries and of builtins where nothing in a compatible
+    language owns the name.  A project binding across languages is rejected and
+    the next rule tried.  Each rule is one join to a table with a row a key.
+    """
+    known = {**EMPTY, **known}
+    one = lambda d, keys, **what: d.groupBy(*keys).agg(*[v.alias(k) for k, v in what.items()])
+    place = F.struct("file", "line", "id", "language")
+    d = symbols.where(F.col("kind").isin(DEFINITIONS)).withColumn("place", place)
+    m = symbols.where("class is not null").withColumn("place", place)
+    head = F.substring_index("qualifier", ".", 1)
+    bare = F.coalesce(F.col("qualifier"), F.lit("")) == ""
+    own = ~bare & F.col("qualifier").isin("self", "cls")
+    r = refs.withColumn("head", head)
+
+    enclosing_ = one(m, ["file", "name"], classes=F.count_distinct("class"), in_class=F.min("class")).withColumnRenamed("name", "caller_name")
+    r = r.join(enclosing_.withColumnRenamed("classes", "callers"), ["file", "caller_name"], "left")
+    r = r.join(one(m, ["file", "class", "name"], own_method=F.min("place")).withColumnRenamed("class", "in_class"), ["file", "in_class", "name"], "left")
+    r = r.join(one(m, ["file", "name"], file_classes=F.count_distinct("class"), file_method=F.min("place")), ["file", "name"], "left")
+    r = r.join(one(d, ["file", "name"], here=F.min("place")), ["file", "name"], "left")
+    named = one(imports.where("target is not null"), ["file", "local_name"], target=F.min("target"))
+    r = r.join(named.select("file", F.col("local_name").alias("qualifier"), F.col("target").alias("by_alias")), ["file", "qualifier"], "left")
+    r = r.join(named.select("file", F.col("local_name").alias("head"), F.col("target").alias("by_head")), ["file", "head"], "left")
+    r = r.join(named.select("file", F.col("local_name").alias("name"), F.col("target").alias("by_name")), ["file", "name"], "left")
+    r = r.withColumn("target", F.coalesce(F.when(~bare, F.coalesce("by_alias", "by_head")), "by_name"))
+    files = one(symbols, ["file"], target_language=F.min("language")).withColumnRenamed("file", "target")
+    r = r.join(files, "target", "left").join(one(d, ["file", "name"], there=F.min("place")).withColumnRenamed("file", "target"), ["target", "name"], "left")
+    top = F.substring_index(F.ltrim("module", F.lit(".")), ".", 1)
+    std = imports.where(top.isin(known["stdlib_modules"])).select("file", "local_name").distinct() if known["stdlib_modules"] else imports.select("file", "local_name").limit(0)
+    std = std.withColumn("std", F.lit(True))
+    r = r.join(std.select("file", F.col("local_name").alias("name"), F.col("std").alias("std_name")), ["file", "name"], "left")
+    r = r.join(std.select("file", F.col("local_name").alias("head"), F.col("std").alias("std_head")), ["file", "head"], "left")
+    r = r.join(one(d, ["name"], defs=F.count("*"), only=F.min("place")), "name", "left")
+    r = r.join(one(m, ["class", "name"], in_classes=F.count("*"), class_method=F.min("place")).withColumnRenamed("class", "qualifier"), ["qualifier", "name"], "left")
+    r = r.join(one(m, ["name"], methods=F.count("*"), method=F.min("place")), "name", "left")
+    r = r.join(one(symbols, ["name"], owners=F.collect_set("language")), "name", "left")
+
+    owned = F.coalesce(F.exists("owners", lambda x: compatible(F.col("language"), x)), F.lit(False))
+    fits = lambda p: compatible(F.col("language"), F.col(p)["language"])
+    answer = lambda rule, resolution, p: F.struct(F.lit(rule).alias("rule"), F.lit(resolution).alias("resolution"), (F.col(p)["id"] if p else F.lit(None)).cast("bigint").alias("def_id"), (F.col(p)["file"] if p else F.lit(None)).cast("string").alias("def_file"))
+
+    def listed(table: dict, then: Column) -> Column:
+        """Whether the name is in the table of the caller's language."""
+        out = F.lit(False)
+        for language, names in table.items():
+            out = out | ((F.col("language") == language) & F.col("name").isin(list(names)))
+        return out & then
+
+    builtin_type = (F.col("language") == "python") & F.col("qualifier").isin(known["builtin_types"]) if known["builtin_types"] else F.lit(False)
+    by_import = F.struct(F.lit("import").alias("rule"), F.lit("project").alias("resolution"), F.col("there")["id"].cast("bigint").alias("def_id"), F.col("target").alias("def_file"))
+    rules = [
+        F.when(own & (F.col("callers") == 1) & F.col("own_method").isNotNull(), answer("self", "local", "own_method")),
+        F.when(own & (F.coalesce("callers", F.lit(0)) != 1) & (F.col("file_classes") == 1), answer("self", "local", "file_method")),
+        F.when(bare & F.col("here").isNotNull(), answer("local", "local", "here")),
+        F.when(F.col("target").isNotNull() & compatible(F.col("language"), F.col("target_language")), by_import),
+        F.when((bare & F.col("std_name")) | (~bare & F.col("std_head")), answer("stdlib", "stdlib", None)),
+        F.when(bare & (F.col("defs") == 1) & fits("only"), answer("single_global", "project", "only")),
+        F.when(~bare & (F.col("in_classes") == 1) & fits("class_method"), answer("class_method", "project", "class_method")),
+        F.when(~bare & ~own & ~builtin_type & (F.col("methods") == 1) & fits("method"), answer("unique_method", "project", "method")),
+        F.when(bare & F.col("name").isin(known["builtins"]), answer("builtin", "builtin", None)) if known["builtins"] else None,
+        F.when(listed(known["stdlib_methods"], ~owned), answer("stdlib_method", "stdlib", None)),
+        F.when(listed(known["external_methods"], ~owned), answer("external_method", "external", None)),
+        F.when(listed(known["builtin_methods"], ~bare & ~owned), answer("builtin_method", "builtin", None)),
+        answer("none", "unknown", None),
+    ]
+    return r.select("ref_id", F.coalesce(*[x for x in rules if x is not None]).alias("a")).select("ref_id", "a.resolution", "a.rule", "a.def_id", "a.def_file")
+
+
+def cross_file(refs: DataFrame, symbols: DataFrame, imported: DataFrame) -> DataFrame:
+    """(ref_id, caller_id, def_id, confidence): the enclosing function of a call's line, the best definition, half the confidence without a caller.
+
+    refs: ref_id, name, file, language, line.
+    """
+    spans = symbols.where(F.col("kind").isin("function", "method")).select(F.col("id").alias("span_id"), "file", "line", "end_line")
+    caller = enclosing(refs.select(F.col("ref_id").alias("point_id"), "file", "line"), spans).select(F.col("point_id").alias("ref_id"), F.col("span_id").alias("caller_id"))
+    found = callee_confidence(refs.drop("line"), symbols, imported)
+    j = refs.select("ref_id").join(caller, "ref_id", "left").join(found, "ref_id", "left")
+    level = F.coalesce("confidence", F.lit(1.0))
+    return j.select("ref_id", "caller_id", "def_id", (level * F.when(F.col("caller_id").isNull(), 0.5).otherwise(1.0)).alias("confidence"))
+
+
+def qualified(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(wanted_id, id, confidence): definitions of ``parent.name``.
 
-    ``imported``: (file, target) pairs of files.
+    wanted: wanted_id, parent, name.  Those inside a class ``parent`` (1.0), else
+    those with a path part ``parent`` (0.7), else all of the name (1.0).
     """
-    c = candidates(refs, symbols)
-    i = imported.select(F.col("file").alias("i_file"), F.col("target").alias("i_target")).distinct().withColumn("imp", F.lit(True))
-    c = c.join(i, (F.col("file") == F.col("i_file")) & (F.col("def_file") == F.col("i_target")), "left")
-    conf = F.when(F.col("file") == F.col("def_file"), 1.0).when(F.col("imp"), 0.9).otherwise(0.5)
-    best = F.max("confidence").over(W.partitionBy("ref_id"))
-    return c.withColumn("confidence", conf).withColumn("best", best).where("confidence = best").select("ref_id", "def_id", "confidence")
+    c = wanted.join(symbols.where(F.col("kind").isin(DEFINITIONS)).select("name", "id", "file", "class"), "name")
+    inside = F.coalesce(F.col("class") == F.col("parent"), F.lit(False))
+    tier = F.when(inside, 3).when(F.array_contains(F.split("file", "/"), F.col("parent")), 2).otherwise(1)
+    best = c.withColumn("tier", tier).withColumn("best", F.max("tier").over(W.partitionBy("wanted_id"))).where("tier = best")
+    return best.select("wanted_id", "id", F.when(F.col("tier") == 2, 0.7).otherwise(1.0).alias("confidence"))
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -92,3 +217,16 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     before = F.last("span_id", ignorenulls=True).over(W.partitionBy("file").orderBy("at", "is_point", "span_id").rowsBetween(W.unboundedPreceding, 0))
     near = both.withColumn("before_id", before).where("is_point = 1").select("point_id", "before_id")
     return near.join(tight, "point_id", "left").select("point_id", F.coalesce("tight_id", "before_id").alias("span_id"), F.col("tight_id").isNotNull().alias("inside"))
+
+
+def xref(symbols: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, section, other, file) of the names ``wanted``: definitions, callers, callees, and files that depend on a definition.
+
+    edges: caller_name, caller_file, callee_name, callee_file.  Each section is
+    distinct, so a name that everybody calls costs its distinct callers.
+    """
+    w = wanted.select("name").where("name is not null").distinct()
+    part = lambda d, name, section, other, file: d.select(F.col(name).alias("name"), F.lit(section).alias("section"), F.col(other).alias("other"), F.col(file).alias("file")).join(w, "name", "left_semi").distinct()
+    out = part(symbols.where(F.col("kind").isin(DEFINITIONS)), "name", "definition", "name", "file")
+    out = out.unionByName(part(edges, "callee_name", "caller", "caller_name", "caller_file")).unionByName(part(edges, "caller_name", "callee", "callee_name", "caller_file"))
+    return out.unionByName(part(edges.where("callee_file is not null and caller_file <> callee_file"), "callee_name", "dependent", "callee_file", "caller_file"))

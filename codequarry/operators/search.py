@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import KIND_WEIGHT, is_test_path, symbol_text, words
-from .graph import cut
+from ..functions.text import KIND_WEIGHT, is_test_path, is_test_path_canonical, symbol_text, words
+from ..storage import cut
 
 K1, B = 1.2, 0.75
 #: Weights of a term's column in the ranking.
@@ -37,7 +37,8 @@ def bm25(symbols: DataFrame, query: str, limit: int | None = None) -> DataFrame:
         return F.size(F.filter(column, lambda x: x == term))
 
     hits = {t: sum((w * occurrences(f"w_{c}", t) for c, w in COLUMN_WEIGHT.items()), F.lit(0.0)) for t in terms}
-    docs = docs.select("id", "name", "kind", "file", "line", "length", *[h.alias(f"t{i}") for i, h in enumerate(hits.values())])
+    # Stored once: statistics, bounds and result read it, and names are cut into words in one pass.
+    docs = cut(docs.select("id", "name", "kind", "file", "line", "length", *[h.alias(f"t{i}") for i, h in enumerate(hits.values())]))
     stats = docs.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -54,22 +55,44 @@ def bm25(symbols: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     return (out.limit(limit) if limit else out).select("id", "name", "file", "score")
 
 
-def cascade(symbols: DataFrame, query: str) -> DataFrame:
-    """(id, tier, score): exact, then substring, then fuzzy matches (two edits at most), the first tier of a symbol counts.
+#: What a symbol's kind adds to its score in the cascade.
+KIND_BONUS = {"class": 0.08, "function": 0.08, "method": 0.08, "type": 0.06, "constant": 0.04, "variable": 0.03, "import": -0.08}
 
-    Every tier scans all symbols; a caller's limit comes last.
+
+def normal_symbol(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def cascade(symbols: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(id, name, file, tier, score, test): exact, then ranked by words, then substring, then fuzzy matches; the first tier of a symbol counts.
+
+    Fuzzy ones are two edits away at most, without regard to case and marks.
+    Rows of one name, file and line are one result.  Every tier scans all
+    symbols; ``limit`` comes last, production code before tests.
     """
+    query = query.strip()
     q, name = query.lower(), F.lower("name")
-    distance = F.levenshtein(name, F.lit(q), 2)
-    tier = F.when(name == q, 0).when(name.contains(q), 1).when((distance >= 0) & (distance <= 2), 2)
-    base = F.when(F.col("tier") == 0, 0.82).when(F.col("tier") == 1, 0.42).otherwise(0.36 - 0.08 * F.col("distance"))
-    bonus = F.when(name == q, 0.16).when(name.startswith(q), 0.12).when(name.contains(q), 0.07).otherwise(0.0)
-    c = symbols.withColumn("distance", distance).withColumn("tier", tier).where("tier is not null")
-    kind = F.when(F.col("kind").isin("class", "function", "method"), 0.02).otherwise(0.0)
-    c = c.withColumn("s", base + bonus + kind)
-    near = F.count("*").over(W.partitionBy("file"))
-    score = F.round(F.least(F.lit(1.0), F.col("s") + F.least(F.lit(0.06), 0.02 * (near - 1))), 3)
-    return c.select("id", "name", "file", "tier", score.alias("score"), is_test_path(F.col("file")).alias("test"))
+    ranked = bm25(symbols, query).select("id", F.col("score").alias("rank"))
+    edits = F.levenshtein(normal_symbol(F.col("name")), normal_symbol(F.lit(query)), 2)
+    long_enough = len(query) >= 2
+    c = symbols.join(ranked, "id", "left").withColumn("edits", edits)
+    fits = (F.col("edits") >= 0) & (F.col("edits") <= 2) & F.lit(len(query) >= 3)
+    tier = F.when(F.col("name") == query, 0).when(F.col("rank").isNotNull() & long_enough, 1).when(name.contains(q) & long_enough, 2).when(fits, 3)
+    base = F.when(F.col("tier") == 0, 0.82).when(F.col("tier") == 1, F.col("rank") * 0.75).when(F.col("tier") == 2, 0.42).otherwise(0.36 - 0.08 * F.col("edits"))
+    initials = F.lower(F.regexp_replace("name", "[^\\p{Lu}]", ""))
+    bonus = F.when(name == q, 0.16).when(name.startswith(q), 0.12).when(name.contains(q), 0.07).when(initials.startswith(q), 0.05).otherwise(0.0)
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in KIND_BONUS.items() for x in kv]), F.col("kind")), F.lit(0.0))
+    clip = lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 3)
+    c = c.withColumn("tier", tier).where("tier is not null").withColumn("s", clip(base + kind + bonus))
+    first = F.row_number().over(W.partitionBy("name", "file", "line").orderBy("tier", "id"))
+    c = c.withColumn("k", first).where("k = 1")
+    # A file's hits, joined back: one row a file on the right, so a large file stays splittable.
+    near = c.groupBy("file").agg(F.count("*").alias("near"))
+    out = c.join(near, "file").select("id", "name", "file", "tier", clip(F.col("s") + F.least(F.lit(0.06), 0.02 * (F.col("near") - 1))).alias("score"), is_test_path_canonical(F.col("file")).alias("test"))
+    if limit is None:
+        return out
+    demoted = F.lit(0) if "test" in q else F.col("test").cast("int")
+    return out.orderBy(demoted, F.desc("score"), "tier", F.desc("name"), "id").limit(limit)
 
 
 def fuzzy(symbols: DataFrame, query: str, most: int = 2) -> DataFrame:

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 import ast
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_generated_path, is_test_path
-from ..operators import graph, search
+from ..functions.text import grade, is_generated_path, is_test_path
+from ..operators import graph, quality, search
 
 MAX_CHARS, MAX_STEPS, MAX_ITEMS, MAX_STRING = 4096, 20, 8, 160
 _PREDICATES = {"name", "kind", "file", "path", "language", "test", "generated", "regex", "case"}
-#: Steps and their keyword arguments.
+_FACETS = {"source", "callers", "callees", "complexity", "health", "risk", "affected_tests"}
+_SHOWN = _FACETS | {"max_files", "max_symbols", "include_code", "limit"}
+#: Steps and their keyword arguments.
 STEPS: dict[str, set[str]] = {
-    "search": {"limit"}, "semantic": {"limit"}, "explore": {"max_files", "max_symbols", "include_code"},
-    "callers": {"depth", "limit"}, "callees": {"depth", "limit"}, "related": set(),
+    "search": {"query", "limit"}, "semantic": {"query", "limit"}, "explore": {"query", "max_files", "max_symbols", "include_code"},
+    "callers": {"depth", "limit"}, "callees": {"depth", "limit"}, "related": {"depth", "limit"},
     "filter": _PREDICATES, "where": _PREDICATES, "exclude": _PREDICATES, "not": _PREDICATES,
-    "has": _PREDICATES | {"callers", "callees"}, "take": {"n"}, "sort": {"by", "desc"},
-    "include": {"source", "callers", "callees", "complexity", "health", "risk", "affected_tests"}, "with": {"source", "callers", "callees", "complexity", "health", "risk", "affected_tests"},
-    "uml": {"direction", "max_edges"}, "answer": {"compact"},
+    "has": _PREDICATES | {"callers", "callees", "depth", "limit"}, "take": {"limit"}, "sort": {"by", "desc"},
+    "include": _SHOWN, "with": _SHOWN, "uml": {"direction", "limit", "max_edges"}, "answer": {"compact"},
 }
 
 
@@ -60,7 +62,7 @@ def parse(text: str) -> list[Step]:
             raise ChainError("'|' is not an operator")
         return [Step("explore", (text,)), Step("related")]
     try:
-        node = ast.parse(text.replace(".not(", ".not_("), mode="eval").body
+        node = ast.parse(text.replace(".not(", ".not_(").replace(".with(", ".with_("), mode="eval").body
     except SyntaxError as e:
         raise ChainError(f"not a chain: {e.msg}") from None
     steps: list[Step] = []
@@ -111,73 +113,163 @@ def predicate(kwargs: dict) -> Column | None:
 
 
 class Engine:
-    """Runs chains over symbols (id, name, kind, file, language, line, ...) and call edges (src, dst) of their ids."""
+    """Runs chains over symbols (id, name, kind, file, language, line, ...) and call edges (src, dst) of their ids.
 
-    def __init__(self, symbols: DataFrame, calls: DataFrame):
-        self.symbols, self.calls = symbols, calls
+    ``run`` returns the selection.  What a chain asks for beside it is in
+    ``facets``: ``uml`` (the calls inside the selection as diagram lines),
+    ``files`` of an exploration, and ``compact``.  Facets of each symbol are
+    columns.  ``files`` (file, content) is needed for sources.
+    """
+
+    def __init__(self, symbols: DataFrame, calls: DataFrame, files: DataFrame | None = None):
+        self.symbols, self.calls, self.files = symbols, calls, files
+        self.facets: dict = {}
 
     def run(self, text: str) -> DataFrame:
         current: DataFrame | None = None
-        first: DataFrame | None = None
-        fans = False
+        self.facets = {}
         for step in parse(text):
             n, a, k = step.name, step.args, step.kwargs
-            if n in ("search", "explore"):
-                q = a[0] if a else ""
-                names = [t for t in (q if isinstance(q, (list, tuple)) else str(q).split(","))]
-                if n == "search":
-                    current = self.symbols.where(F.col("name").isin([str(x).strip() for x in names]))
-                else:
-                    hits = search.cascade(self.symbols, str(q)).select("id")
-                    current = self.symbols.join(hits, "id", "left_semi")
-                current = self._limited(current, k.get("limit") or k.get("max_symbols"))
-                first = current
-            elif n == "semantic":
-                hits = search.semantic(self.symbols, a[0]).orderBy(F.desc("score"), "id").limit(k.get("limit", 50))
-                current = first = self.symbols.join(hits.select("id"), "id", "left_semi")
+            if n in ("search", "semantic") or (n == "explore" and (a or k.get("query") or current is None)):
+                current = self._found(n, self._queries(a, k, n), self._number(k, "max_symbols" if n == "explore" else "limit"))
             elif current is None:
                 raise ChainError("a chain begins with search, semantic or explore")
             elif n in ("callers", "callees"):
-                current = self._limited(self._step(current, n, min(k.get("depth", a[0] if a else 1), 5)), k.get("limit"))
+                current = self._limited(self._step(current, n, self._depth(a, k)), self._number(k, "limit"))
             elif n == "related":
-                current = self._step(first, "callers", 1).unionByName(self._step(first, "callees", 1)).dropDuplicates(["id"])
+                depth, limit = self._depth(a, k), self._number(k, "limit")
+                both = [self._limited(self._step(current, way, depth), limit) for way in ("callers", "callees")]
+                current = both[0].unionByName(both[1]).dropDuplicates(["id"])
             elif n in ("filter", "where", "exclude", "not"):
                 p = predicate(k)
                 if p is not None:
                     current = current.where(p if n in ("filter", "where") else ~p)
             elif n == "has":
-                ways = [w for w in ("callers", "callees") if k.get(w)]
-                if not ways:
-                    raise ChainError("has needs callers or callees")
-                p = predicate(k)
-                far = self.symbols.where(p) if p is not None else self.symbols
-                for w in ways:
-                    e = self.calls.select(F.col("dst" if w == "callers" else "src").alias("id"), F.col("src" if w == "callers" else "dst").alias("far"))
-                    e = e.join(far.select(F.col("id").alias("far")), "far", "left_semi")
-                    current = current.join(e.select("id").distinct(), "id", "left_semi")
+                current = self._having(current, a, k)
             elif n == "sort":
-                by = k.get("by", a[0] if a else "name")
-                if by in ("fan_in", "fan_out") and not fans:
-                    d = graph.degrees(self.calls, current.select(F.col("id").alias("node")))
-                    current, fans = current.join(d.withColumnRenamed("node", "id"), "id"), True
-                by = "file" if by == "path" else by
-                current = current.orderBy(F.desc(by) if k.get("desc") else F.asc(by), "file", "line", "id")
+                current = self._sorted(current, k.get("by", a[0] if a else "name"), bool(k.get("desc")))
             elif n == "take":
-                size = k.get("n", a[0] if a else 10)
-                if size < 0:
+                size = k.get("limit", a[0] if a else 10)
+                if not isinstance(size, int) or size < 0:
                     raise ChainError("take needs a number of 0 or more")
                 current = current.limit(size)
             elif n in ("include", "with"):
-                if set(a) | {x for x, on in k.items() if on} & {"callers", "callees"} and not fans:
-                    d = graph.degrees(self.calls, current.select(F.col("id").alias("node")))
-                    current, fans = current.join(d.withColumnRenamed("node", "id"), "id"), True
-            # uml and answer only change how the rows are shown
+                asked = {x for x in a if isinstance(x, str)} | {x for x, on in k.items() if on and x in _FACETS}
+                if bad := asked - _FACETS:
+                    raise ChainError(f"unknown facets {sorted(bad)}")
+                current = self._with(current, asked)
+            elif n == "uml":
+                self.facets["uml"] = self._uml(current, str(k.get("direction") or "LR"), self._number(k, "max_edges") or self._number(k, "limit"))
+            elif n == "answer":
+                self.facets["compact"] = bool(k.get("compact", True))
+            if n == "explore":
+                self.facets["files"] = self._explored(current, self._number(k, "max_files"), bool(k.get("include_code")))
         if current is None:
             raise ChainError("an empty chain")
         return current
 
+    @staticmethod
+    def _number(k: dict, name: str) -> int | None:
+        v = k.get(name)
+        if v is not None and (not isinstance(v, int) or isinstance(v, bool) or v < 0):
+            raise ChainError(f"{name} needs a number of 0 or more")
+        return v
+
+    def _depth(self, a: tuple, k: dict) -> int:
+        v = k.get("depth", a[0] if a else 1)
+        if not isinstance(v, int) or v < 1:
+            raise ChainError("depth needs a number of 1 or more")
+        return min(v, 5)
+
+    @staticmethod
+    def _queries(a: tuple, k: dict, n: str) -> list[str]:
+        q = [*a, *([k["query"]] if k.get("query") is not None else [])]
+        flat = [x for v in q for x in (v if isinstance(v, (list, tuple)) else [v])]
+        out = [t.strip() for x in flat for t in (str(x).split(",") if n == "search" else [str(x)]) if t.strip()]
+        if not out and n != "explore":
+            raise ChainError(f"{n} needs a text")
+        return out
+
+    def _found(self, n: str, queries: list[str], limit: int | None) -> DataFrame:
+        if not queries:
+            return self._limited(self.symbols, limit)
+        if n == "search":
+            hits = self.symbols.where(F.col("name").isin(queries))
+            return self._limited(hits, limit)
+        parts = []
+        for q in queries:
+            if n == "semantic":
+                h = search.semantic(self.symbols, q)
+                parts.append((h.orderBy(F.desc("score"), "id").limit(limit) if limit is not None else h).select("id"))
+            else:
+                parts.append(search.cascade(self.symbols, q, limit).select("id"))
+        return self.symbols.join(reduce(lambda x, y: x.unionByName(y), parts).distinct(), "id", "left_semi")
+
+    def _having(self, current: DataFrame, a: tuple, k: dict) -> DataFrame:
+        ways = [w for w in ("callers", "callees") if k.get(w)]
+        if not ways:
+            raise ChainError("has needs callers or callees")
+        p = predicate(k)
+        far = self.symbols.where(p) if p is not None else self.symbols
+        for w in ways:
+            e = self.calls.select("src", "dst") if w == "callers" else graph.reverse(self.calls)
+            # From what the predicate allows towards the selection: a row a node, whatever the depth.
+            if self._depth((), k) == 1:
+                near = e.join(far.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            else:
+                near = graph.reach(e, far.select(F.col("id").alias("node")), self._depth((), k)).where("seed <> node").select(F.col("node").alias("id")).distinct()
+            current = current.join(near, "id", "left_semi")
+        return current
+
+    def _sorted(self, current: DataFrame, by: str, desc: bool) -> DataFrame:
+        by = "file" if by == "path" else by
+        if by in ("fan_in", "fan_out"):
+            current = self._with(current, {"callers"})
+        if by not in current.columns:
+            raise ChainError(f"nothing to sort by named {by!r}")
+        return current.orderBy(F.desc(by) if desc else F.asc(by), "file", "line", "id")
+
+    def _with(self, current: DataFrame, asked: set[str]) -> DataFrame:
+        have = set(current.columns)
+        if asked & {"callers", "callees", "risk"} and not {"fan_in", "fan_out"} <= have:
+            d = graph.degrees(self.calls, current.select(F.col("id").alias("node")).distinct())
+            current = current.join(d.withColumnRenamed("node", "id"), "id")
+        if asked & {"health", "risk"} and "grade" not in have:
+            g = self.symbols.groupBy("file").agg(F.count("*").alias("n_"), F.avg("complexity").alias("a_"), F.sum("complexity").alias("t_"))
+            g = g.select("file", grade(quality.complexity_score(F.col("n_"), F.col("a_"), F.col("t_"))).alias("grade"))
+            current = current.join(g, "file", "left")
+        if "risk" in asked and "risk" not in have:
+            current = current.withColumn("risk", quality.facet_risk(F.col("complexity"), F.col("grade"), F.col("fan_in")))
+        if "affected_tests" in asked and "affected_tests" not in have:
+            up = graph.reach(graph.reverse(self.calls), current.select(F.col("id").alias("node")), 2)
+            tests = self.symbols.where(is_test_path(F.col("file"))).select(F.col("id").alias("node"), F.col("file").alias("test_"))
+            t = up.join(tests, "node").groupBy(F.col("seed").alias("id")).agg(F.array_sort(F.collect_set("test_")).alias("affected_tests"))
+            current = current.join(t, "id", "left").withColumn("affected_tests", F.coalesce("affected_tests", F.array().cast("array<string>")))
+        if "source" in asked and "source" not in have:
+            if self.files is None:
+                raise ChainError("sources need files")
+            body = self.files.select("file", F.split("content", "\n").alias("v_"))
+            span = F.slice("v_", F.col("line"), F.greatest(F.lit(1), F.col("end_line") - F.col("line") + 1))
+            current = current.join(body, "file", "left").withColumn("source", F.array_join(span, "\n")).drop("v_")
+        return current
+
+    def _uml(self, current: DataFrame, direction: str, limit: int | None) -> DataFrame:
+        """(src, dst, line): the calls inside the selection as lines of a flow chart."""
+        ends = current.select("id", "name").distinct()
+        e = self.calls.select("src", "dst").distinct().join(ends.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "src").join(ends.select(F.col("id").alias("dst"), F.col("name").alias("dst_name")), "dst")
+        e = e.orderBy("src", "dst").limit(limit) if limit is not None else e
+        line = F.concat(F.lit("n"), F.col("src").cast("string"), F.lit("[\""), "src_name", F.lit("\"] --> n"), F.col("dst").cast("string"), F.lit("[\""), "dst_name", F.lit("\"]"))
+        return e.select("src", "dst", F.lit(direction).alias("direction"), line.alias("line"))
+
+    def _explored(self, current: DataFrame, most: int | None, code: bool) -> DataFrame:
+        """(file, symbols and, if asked for, content) of the selection's files."""
+        f = current.groupBy("file").agg(F.count("*").alias("symbols"))
+        if most is not None:
+            f = f.orderBy(F.desc("symbols"), "file").limit(most)
+        return f.join(self.files.select("file", "content"), "file", "left") if code and self.files is not None else f
+
     def _limited(self, d: DataFrame, n: int | None) -> DataFrame:
-        return d.orderBy(is_test_path(F.col("file")), is_generated_path(F.col("file")), "file", "line", "name", "id").limit(n) if n else d
+        return d.orderBy(is_test_path(F.col("file")), is_generated_path(F.col("file")), "file", "line", "name", "id").limit(n) if n is not None else d
 
     def _step(self, d: DataFrame, way: str, depth: int) -> DataFrame:
         e = graph.reverse(self.calls) if way == "callers" else self.calls.select("src", "dst")

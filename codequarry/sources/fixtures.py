@@ -35,7 +35,6 @@ SQL: dict[str, str] = {
       FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
       JOIN nation cn ON cn.n_nationkey = c.c_nationkey JOIN nation sn ON sn.n_nationkey = s.s_nationkey
       WHERE cn.n_nationkey <> sn.n_nationkey GROUP BY 1, 2, 3, 4""",
-    "import_top2": "SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM imports) x WHERE k <= 2",
     "contains": """
       SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS parent, 'n' || CAST(n_nationkey AS VARCHAR) AS child FROM nation
       UNION ALL SELECT 'n' || CAST(c_nationkey AS VARCHAR), 'c' || CAST(c_custkey AS VARCHAR) FROM customer
@@ -46,7 +45,7 @@ SQL: dict[str, str] = {
 }
 
 #: What a projection reads among the others.
-NEEDS = {"calls": ["call_lines"], "call_edges": ["call_lines", "calls", "symbols"], "import_top2": ["imports"]}
+NEEDS = {"calls": ["call_lines"], "call_edges": ["call_lines", "calls", "symbols"]}
 
 
 def with_sql(names: list[str], body: str, recursive: bool = False) -> str:
@@ -103,11 +102,6 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(end("src"), "src_k").join(end("dst"), "dst_k").select(name("src_k").alias("src"), name("dst_k").alias("dst"), "src_package", "dst_package", "weight")
 
 
-def import_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return imports(spark, sf_dir).withColumn("k", k).where("k <= 2").select("src", "dst", "weight")
-
-
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     def level(name: str, up: str, up_key: str, down: str, down_key: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.concat(F.lit(up), F.col(up_key).cast("string")).alias("parent"), F.concat(F.lit(down), F.col(down_key).cast("string")).alias("child"))
@@ -129,3 +123,26 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), path.alias("path"), F.col("lang").alias("language"), F.col("text").alias("content"))
+
+
+#: Small programs, behind a first line "x = 1": one for each remainder of a symbol's id by their number.
+PROGRAMS = [
+    'password = "hunter22"', "eval(x)", "# eval(x)", 's = "eval(x)"', 'cursor.execute("SELECT 1 WHERE a=%s" % x)', 'f"DELETE FROM users WHERE id={x}"', "except:", "assert x", "hashlib.md5(x)", "requests.get(u, verify=False)",
+    "el.innerHTML = x", 'q = fmt.Sprintf("SELECT * FROM t WHERE a=%s", x)', "pickle.loads(x)", '"""\neval(x)\n"""', "def f(a, b=[]):\n    pass", "try:\n    g()\nexcept:\n    pass", "def f():\n    print(1)", "var x = 2",
+    "if (a == b) {}", "System.out.println(x)", "e.printStackTrace()", "def f():\n    return 1\n    y = 2",
+]
+_ALL, _SCRIPTS = "python java go javascript typescript", "javascript typescript"
+#: What the scanners find in them, by hand: (program, languages, issue, severity, line) and (program, languages, rule, line).
+FOUND_SECURITY = [
+    (0, _ALL, "hardcoded_secret", "critical", 2), (1, f"python java {_SCRIPTS}", "eval_usage", "critical", 2), (2, f"java {_SCRIPTS}", "eval_usage", "critical", 2), (3, f"java {_SCRIPTS}", "eval_usage", "critical", 2),
+    (4, f"python {_SCRIPTS}", "sql_injection", "critical", 2), (5, f"python {_SCRIPTS}", "sql_injection", "critical", 2), (6, "python", "bare_except", "warning", 2), (7, "python", "assert_in_prod", "info", 2),
+    (8, "python", "insecure_hash", "warning", 2), (9, "python", "tls_disabled", "critical", 2), (10, _SCRIPTS, "xss_risk", "critical", 2), (11, "go", "sql_injection", "critical", 2), (12, "python", "pickle_usage", "warning", 2),
+    (13, f"java {_SCRIPTS}", "eval_usage", "critical", 3), (15, "python", "bare_except", "warning", 4),
+]
+FOUND_ANTI_PATTERNS = [(6, "python", "AP002", 2), (14, "python", "AP001", 2), (15, "python", "AP002", 4), (16, "python", "AP003", 3), (17, _SCRIPTS, "AP010", 2), (18, _SCRIPTS, "AP011", 2), (19, "java", "AP020", 2), (20, "java", "AP021", 2)]
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small program for each symbol: id, path, language, content."""
+    text = F.concat(F.lit("x = 1\n"), F.element_at(F.array(*map(F.lit, PROGRAMS)), (F.col("id") % len(PROGRAMS)).cast("int") + 1), F.lit("\n"))
+    return symbols(spark, sf_dir).select("id", F.col("file").alias("path"), "language", text.alias("content"))

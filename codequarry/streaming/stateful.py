@@ -95,7 +95,7 @@ class Subscriptions:
         return self._last.pop((session, selector), None) is not None
 
     def _snapshot(self, selector: str) -> DataFrame:
-        from ..operators.graph import cut
+        from ..storage import cut
 
         return cut(self.evaluate(selector).select("name", "file", "line"))
 

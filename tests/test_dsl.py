@@ -71,3 +71,20 @@ def test_chain(engine, text, ids):
 def test_chain_errors(engine, text):
     with pytest.raises(chain.ChainError):
         engine.run(text)
+
+
+def test_chain_keywords_and_facets(engine, spark, symbols):
+    ids = lambda text: sorted(r["id"] for r in engine.run(text).collect())
+    assert ids("search(query='run').take(limit=1)") == [1] and ids("search('run').related(depth=1, limit=5)") == [4, 5, 6] and ids("search('stop').has(callers=true, depth=2, test=true)") == [5]
+    got = {r["id"]: r for r in engine.run("search(['run', 'start']).include(complexity=true, risk=true, affected_tests=true, callers=true)").collect()}
+    assert {i: (r["fan_in"], r["grade"], r["risk"], r["affected_tests"]) for i, r in got.items()} == {1: (2, "A", "ok", ["tests/test_a.py"]), 2: (0, "A", "ok", []), 4: (1, "A", "review", ["tests/test_a.py"])}
+    engine.run("search(['run', 'start', 'stop']).uml(direction='TB', max_edges=1).answer(compact=true)")
+    assert [(r["src"], r["dst"], r["direction"]) for r in engine.facets["uml"].collect()] == [(1, 5, "TB")] and engine.facets["compact"]
+    engine.run("explore('run', max_files=1)")
+    assert engine.facets["files"].count() == 1
+    files = spark.createDataFrame([("src/b.go", "one\ntwo")], "file string, content string")
+    full = chain.Engine(symbols, engine.calls, files)
+    assert [r["source"] for r in full.run("search('run').filter(language='go').with('source')").collect()] == ["one\ntwo"]
+    for bad in ("search('run').include('nothing')", "search('run').include(source=true)", "search('run').sort(by='nothing')", "search('run').callers(depth=0)", "search('run').take(limit='x')", "semantic()"):
+        with pytest.raises(chain.ChainError):
+            engine.run(bad)

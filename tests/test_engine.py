@@ -12,7 +12,7 @@ def project(spark):
     s = spark.createDataFrame(SYMBOLS, "id bigint, name string, kind string, file string, language string, class string, line int, end_line int, complexity int")
     return Project(
         s, spark.createDataFrame([(2, 1), (3, 2)], "src bigint, dst bigint"), spark.createDataFrame([("src/a.py", "src/b.py")], "src string, dst string"),
-        spark.createDataFrame([(1, "src/a.py", "one\npassword = 'abcdefgh'\nthree")], "id bigint, path string, content string"),
+        spark.createDataFrame([(1, "src/a.py", "python", "one\npassword = 'abcdefgh'\nthree")], "id bigint, path string, language string, content string"),
         spark.createDataFrame([("calls", "start", "src/a.py", "run", "src/a.py")], "kind string, src_name string, src_file string, dst_name string, dst_file string"),
     )
 
@@ -31,8 +31,9 @@ def test_actions(project):
     assert names(project.structure.outline("src/a.py")) == ["run", "start"]
     assert [r["line"] for r in project.structure.read("src/a.py", 1, 1).collect()] == ["one"]
     assert {r["node"]: r["reason"] for r in project.health.dead().collect()} == {4: "orphan_no_callers_no_callees"}
-    assert [r["rule"] for r in project.health.patterns().collect()] == ["secret"]
+    assert [r["rule"] for r in project.health.patterns().collect()] == ["hardcoded_secret"]
     assert [(r["file_a"], r["file_b"], r["score"]) for r in project.health.matrix().orderBy("file_a").collect()] == [("src/a.py", "src/b.py", 2.0), ("src/a.py", "tests/test_a.py", 1.0)]
+    assert project.health.unreachable().collect() == [] and project.health.cycles().collect() == [] and project.health.affected_tests(project.imports.selectExpr("dst as file")).collect() == []
     assert project.health.constraints([{"id": "r", "from": "tests/**", "to": "src/*"}]).count() == 1
 
 

@@ -65,3 +65,35 @@ def test_dead_reasons(spark):
 
 def test_hierarchy_summary(spark):
     assert rows(graph.hierarchy_summary(edges(spark, [("a", "b"), ("b", "c"), ("a", "d")]))) == [(4, 1, 2, 2)]
+
+
+def test_components_of_cycles_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    for n, m in ((12, 18), (15, 40), (10, 6)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {a: {a} for a in range(n)}
+        for _ in range(n):
+            for a, b in pairs:
+                for x in range(n):
+                    if a in reach[x]:
+                        reach[x].add(b)
+        want = {a: min(both) for a in range(n) if len(both := {b for b in range(n) if b in reach[a] and a in reach[b]}) > 1}
+        got = graph.scc(spark.createDataFrame([*pairs, (None, 1)], "src bigint, dst bigint"))
+        assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert graph.scc(spark.createDataFrame([], "src bigint, dst bigint")).collect() == []
+
+
+def test_flood_has_a_row_a_node(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (3, 5), (5, 1)], "src bigint, dst bigint")
+    seeds = spark.createDataFrame([(1,), (4,), (4,)], "node bigint")
+    assert sorted(map(tuple, graph.flood(e, seeds).collect())) == [(1, 0), (2, 1), (3, 1), (4, 0), (5, 2)]
+    assert sorted(map(tuple, graph.flood(e, seeds, 1).collect())) == [(1, 0), (2, 1), (3, 1), (4, 0)]
+
+
+def test_affected_tests(spark):
+    e = spark.createDataFrame([("b.py", "a.py"), ("tests/t.py", "b.py"), ("pkg/test_c.py", "b.py"), ("c.py", "b.py"), ("d.spec.ts", "other.ts")], "src string, dst string")
+    changed = spark.createDataFrame([("a.py",)], "file string")
+    assert sorted(map(tuple, graph.affected_tests(e, changed).collect())) == [("pkg/test_c.py", 2), ("tests/t.py", 2)]
+    assert [r["file"] for r in graph.affected_tests(e, changed, ["c.*"]).collect()] == ["c.py"]

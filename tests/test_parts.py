@@ -59,7 +59,7 @@ def test_globs():
 
 def test_words_strip_suffixes(spark):
     got = spark.range(1).select(tx.words(F.lit("parseUsersRunning_x/buses")).alias("w")).collect()[0]["w"]
-    assert got == ["parse", "us", "runn", "bus"] or got == ["parse", "user", "runn", "bus"]
+    assert got == ["parse", "user", "runn", "bus"]  # what is left of a word has three letters or more
 
 
 def test_content_modes(spark):

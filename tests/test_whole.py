@@ -14,7 +14,7 @@ def test_all_imports_count(spark):
     edges = {(r["src"], r["dst"]) for r in fx.imports(spark, DIR).collect()}
     out = {s: sum(a == s for a, _ in edges) for s, _ in edges}
     assert max(out.values()) > 2
-    assert {r["module"]: r["dependencies"] for r in QUERIES["g_deps_all"](spark, DIR).collect()} == out
+    assert {r["module"]: r["dependencies"] for r in QUERIES["g_deps"](spark, DIR).collect()} == out
 
 
 def test_tree_and_cycles_with_three_edges_out_equal_brute_force(spark):
@@ -41,17 +41,15 @@ def chain_of_calls(spark, path, first, n):
 
 def test_dead_code_follows_calls_for_twenty_hops(spark, tmp_path):
     d = chain_of_calls(spark, tmp_path, 1, 23)
-    assert {r["node"] for r in QUERIES["g_reachable_dead"](spark, d).collect()} == set(range(4, 24))
-    assert {r["node"] for r in QUERIES["g_reachable_dead_all"](spark, d).collect()} == {22, 23}
+    assert {r["node"] for r in QUERIES["g_reachable_dead"](spark, d).collect()} == {22, 23}
 
 
 def test_blast_of_functions_goes_five_hops(spark, tmp_path):
     d = chain_of_calls(spark, tmp_path, 243, 8)
-    assert sum(r["functions"] for r in QUERIES["g_blast_functions"](spark, d).collect()) == 2
-    assert sum(r["functions"] for r in QUERIES["g_blast_functions_all"](spark, d).collect()) == 5
+    assert sum(r["functions"] for r in QUERIES["g_blast_functions"](spark, d).collect()) == 5
 
 
 def test_every_symbol_has_a_place(spark):
     n = spark.read.parquet(f"{DIR}/part.parquet").count()
     assert n > 100
-    assert sorted(r["place"] for r in QUERIES["rank_source_pref_all"](spark, DIR).collect()) == list(range(1, n + 1))
+    assert sorted(r["place"] for r in QUERIES["rank_source_pref"](spark, DIR).collect()) == list(range(1, n + 1))
