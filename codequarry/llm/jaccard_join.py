@@ -40,7 +40,7 @@ from .textcore import mix, shingle_rows
 COMMON_SHARE = 1 / 4096
 COMMON_LEAST = 32
 #: Elements whose counts a task holds at once, in about two documents a share or more.
-COUNTED = 4_000_000
+COUNTED = 2_000_000
 #: Components that an element's bundle may lead to before it counts as costly.
 COSTLY = 32
 #: Words of 64 bits of a set's parity bitmap: sets differ in at least as many elements as their bitmaps in bits.
@@ -88,9 +88,13 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
         yield named_counts(held, rows)
 
     def named_counts(held: list[np.ndarray], rows: int) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+        v = np.concatenate([np.zeros(0, np.uint64), *held])
+        held.clear()
+        v.sort()
+        first = np.flatnonzero(np.concatenate([[len(v) > 0], v[1:] != v[:-1]])[: len(v)])
+        n = np.diff(np.append(first, len(v)))
         often = n >= max(3, rows * COMMON_SHARE / 2)
-        h = [*value[often].astype(np.int64).tolist(), None]
+        h = [*v[first[often]].astype(np.int64).tolist(), None]
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[often].tolist(), rows], pa.int64())], ["h", "n"])
 
     named = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
@@ -276,14 +280,14 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Near copies share most of a prefix; a few shared elements are left to round two.
     within = lambda end: F.size(F.filter("at", lambda p: p < end))
     votes = bundles.where("doc_id <> leader").groupBy("doc_id", "leader", "base").agg(F.sum(within(F.col("base"))).alias("count")).where("10 * count >= 3 * base")
-    star = votes.groupBy("doc_id").agg(F.max(F.struct("count", -F.col("leader"))).alias("m")).select(F.col("doc_id").alias("a"), (-F.col("m.col2")).alias("b"))
+    star = votes.groupBy("doc_id").agg(F.min(F.struct(-F.col("count"), "leader")).alias("m")).select(F.col("doc_id").alias("a"), F.col("m.leader").alias("b"))
     first = session.stash(verify(star, docs, percent), "first-links")
     joined = components(first)
 
     # Round two: bundles that still lead from one component to others.
     placed = bundles.drop("leader").join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    cost = placed.groupBy("bundle", "component").agg(F.count("*").alias("docs")).groupBy("bundle").agg(F.count("*").alias("cost"), F.max(F.struct("docs", -F.col("component"))).alias("m")).where("cost > 1")
-    cost = cost.select("bundle", "cost", (-F.col("m.col2")).alias("largest"))
+    cost = placed.groupBy("bundle", "component").agg(F.count("*").alias("docs")).groupBy("bundle").agg(F.count("*").alias("cost"), F.min(F.struct(-F.col("docs"), "component")).alias("m")).where("cost > 1")
+    cost = cost.select("bundle", "cost", F.col("m.component").alias("largest"))
     open_ = session.stash(placed.join(cost, "bundle"), "open-bundles")
     costly = F.col("cost") > COSTLY
     # The more candidates a prefix leads to, the further it is lengthened, and always past its costly elements;

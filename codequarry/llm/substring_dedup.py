@@ -53,8 +53,11 @@ ENOUGH = 2
 CONTEXTS = ((0, 5, 10), (0, 5, 10, 15, 20, 22))
 #: Kinds of keys: 0 and 1 short and long to the left, 2 and 3 to the right.
 KINDS = 4
-#: Windows of one owner beyond which its groups are pre-aggregated instead of found in one task.
+#: Windows of one owner beyond which they are dealt to so many tasks.
 CROWD = 10_000
+SALTS = 64
+#: Windows whose groups a task looks for at once, if one owner doesn't have more.
+TOGETHER = 200_000
 #: Unmatched shingles inside a passage that don't end it: two edits side by side.
 GAP = 10
 _POSITION = np.uint64((1 << 28) - 1)
@@ -88,7 +91,14 @@ def nearest_smaller(v: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return left
 
 
-def compact_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def frames(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document of each element, and whether a run of ``width`` elements from it lies in one document: the same under each function."""
+    size = np.diff(offsets)
+    n = int(offsets[-1])
+    return row_ids(size), np.arange(width, n + 1) <= np.repeat(offsets[1:], size)[: max(n - width + 1, 0)]
+
+
+def compact_windows(values: np.ndarray, offsets: np.ndarray, width: int, frame: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, owner, first and last element of every compact window of at least ``width`` elements.
 
     ``offsets`` bound the documents in ``values``; of equal values the first
@@ -98,15 +108,12 @@ def compact_windows(values: np.ndarray, offsets: np.ndarray, width: int) -> tupl
     n = len(values)
     if n < width:
         return none, none, none, none
-    size = np.diff(offsets)
-    doc = row_ids(size)
+    doc, whole = frame or frames(offsets, width)
     key = (values & ~_POSITION) | np.arange(n, dtype=np.uint64)
-    least = sliding_minimum(key, width)
-    whole = np.arange(len(least)) + width <= offsets[doc[: len(least)] + 1]
-    least = least[whole]
+    least = (sliding_minimum(key, width)[whole] & _POSITION).astype(np.int64)
     if not len(least):
         return none, none, none, none
-    owner = np.unique((least & _POSITION).astype(np.int64))
+    owner = least[np.concatenate([[True], least[1:] != least[:-1]])]  # a sliding minimum moves forward only
     k, d = key[owner], doc[owner]
     left = nearest_smaller(k, d)
     right = len(owner) - 1 - nearest_smaller(k[::-1], d[::-1])[::-1]
@@ -148,9 +155,10 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS, functions: int = FUNCTI
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 s, e, w = word_spans(part, off)
                 sh, so = shingles(word_hashes(part, s, e), w)
+                frame = frames(so, width)
                 for f, salt in enumerate(salts(functions)):
                     value = mix(sh ^ salt)
-                    d, c, first, last = compact_windows(value, so, width)
+                    d, c, first, last = compact_windows(value, so, width, frame)
                     if not len(c):
                         continue
                     owner = pa.array(value[c].astype(np.int64))
@@ -175,47 +183,98 @@ def keyed_windows(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS)))
     """owner, key (a kind and a hash), doc_id, place, ahead: a row for each key that a window has."""
     half = lambda x, k: F.shiftrightunsigned(x, 32) if k % 2 == 0 else x.bitwiseAND((1 << 32) - 1)
     keys = F.array(*[F.when(half(F.col("left" if k < 2 else "right"), k) != 0, half(F.col("left" if k < 2 else "right"), k).bitwiseOR(k << 32)) for k in kinds])
-    return kept.select("owner", "doc_id", "place", "ahead", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
+    return kept.select("owner", *(["salt"] if "salt" in kept.columns else []), "doc_id", "place", "ahead", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
+
+
+LINK = ["owner", "key", "c", "doc_id", "ref", "f", "l", "r", "rl", "rr"]
+
+
+def group_links(a: np.ndarray, kinds: tuple[int, ...]) -> list[np.ndarray]:
+    """LINK columns of whole groups: rows of ``a`` are owner, salt, doc_id, place, ahead, left, right; columns are sorted by owner and salt."""
+    low = np.int64((1 << 32) - 1)
+    part = np.cumsum(np.concatenate([[0], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
+    at, keys = [], []
+    for k in kinds:
+        half = a[5 if k < 2 else 6]
+        half = (half >> np.int64(32)) & low if k % 2 == 0 else half & low
+        some = np.flatnonzero(half)
+        at.append(some)
+        keys.append(half[some] | np.int64(k << 32))
+    i, key = np.concatenate(at), np.concatenate(keys)
+    group = (part[i] << 34) | key
+    order = np.lexsort((a[3][i], a[2][i], group))
+    i, key, group = i[order], key[order], group[order]
+    lead = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)], np.arange(len(group)), 0))
+    found = a[2][i] > a[2][i[lead]]
+    i, j, key = i[found], i[lead][found], key[found]
+    c, rc = a[3][i] >> 32, a[3][j] >> 32
+    return [a[0][i], key, c, a[2][i], a[2][j], a[4][i] & 7, c - (a[3][i] & low), c + (a[4][i] >> 3), rc - (a[3][j] & low), rc + (a[4][j] >> 3)]
 
 
 def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> DataFrame:
-    """owner, key, c, doc_id, ref, link (f, l, r, rl, rr): each window with the first document of each of its groups.
+    """LINK: each window with the first document of each of its groups.
 
-    Windows of one owner come together in a task, which finds the groups; those
-    of a crowded owner are pre-aggregated by group and joined to its first
-    document instead, which Spark splits where it is uneven.
+    Windows of one owner come together in a task, which finds the groups; it
+    holds TOGETHER windows or one owner's at a time.  Those of a crowded owner
+    are dealt to SALTS tasks by document: each links its part of a group to the
+    part's first document, and these, SALTS at most, are linked to the first of
+    all.
     """
-    key = ["owner", "key"]
-    first, last = F.min(F.struct("doc_id", "place", "ahead")), F.max("doc_id")
-    group = W.partitionBy(*key)
-    plain = keyed_windows(kept.where("not crowded").repartition("owner"), kinds).withColumn("first", first.over(group)).withColumn("last", last.over(group)).where("doc_id > first.doc_id").drop("last")
-    crowd = keyed_windows(kept.where("crowded"), kinds)
-    lead = crowd.groupBy(*key).agg(first.alias("first"), last.alias("last")).where("last > first.doc_id").drop("last")
-    crowd = crowd.join(lead.hint("shuffle_hash"), key).where("doc_id > first.doc_id").select(*plain.columns)
-    mine, other = unpacked(F.col("place"), F.col("ahead")), unpacked(F.col("first.place"), F.col("first.ahead"))
-    link = F.struct(mine["f"].alias("f"), mine["l"].alias("l"), mine["r"].alias("r"), other["l"].alias("rl"), other["r"].alias("rr"))
-    return plain.unionByName(crowd).select(*key, mine["c"].alias("c"), "doc_id", F.col("first.doc_id").alias("ref"), link.alias("link"))
-
-
-def overlapping(links: list[dict], enough: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Intervals of either document covered by the linked windows of ``enough`` functions."""
-    out = []
-    for first, last in (("l", "r"), ("rl", "rr")):
-        marks = sorted([(x[first], 0, x["f"]) for x in links] + [(x[last] + 1, 1, x["f"]) for x in links], key=lambda m: (m[0], -m[1]))
-        depth: dict[int, int] = {}
-        spans: list[tuple[int, int]] = []
-        start = None
-        for at, closes, f in marks:
-            depth[f] = depth.get(f, 0) + (-1 if closes else 1)
-            if not depth[f]:
-                del depth[f]
-            if len(depth) >= enough and start is None:
-                start = at
-            elif len(depth) < enough and start is not None:
-                spans.append((start, at - 1))
-                start = None
-        out.append(spans)
-    return out[0], out[1]
+    dealt = kept.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("bigint"))
+    kinds_ = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def rows(a: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(group_links(a, kinds), kinds_, strict=True)], LINK)
+
+        for batch in batches:
+            held.append(np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns]))
+            n += batch.num_rows
+            if n < TOGETHER:
+                continue
+            a = np.concatenate(held, 1)
+            same = (a[0] == a[0, -1]) & (a[1] == a[1, -1])
+            cut = n - int(same[::-1].argmin()) if not same.all() else 0
+            if cut:
+                yield rows(a[:, :cut])
+            held, n = [a[:, cut:]], n - cut
+        if n:
+            yield rows(np.concatenate(held, 1))
+
+    schema = "owner bigint, key bigint, c int, doc_id bigint, ref bigint, f int, l int, r int, rl int, rr int"
+    sorted_ = dealt.select("owner", "salt", "doc_id", "place", "ahead", "left", "right").repartition("owner", "salt").sortWithinPartitions("owner", "salt")
+    found = sorted_.mapInArrow(run, schema)
+    first = F.min(F.struct("doc_id", "place", "ahead"))
+    parts = keyed_windows(dealt.where("crowded"), kinds).groupBy("owner", "key", "salt").agg(first.alias("m"))
+    parts = parts.withColumn("first", F.min("m").over(W.partitionBy("owner", "key"))).where("m.doc_id > first.doc_id")
+    mine, other = unpacked(F.col("m.place"), F.col("m.ahead")), unpacked(F.col("first.place"), F.col("first.ahead"))
+    return found.unionByName(parts.select("owner", "key", mine["c"].alias("c"), F.col("m.doc_id").alias("doc_id"), F.col("first.doc_id").alias("ref"), mine["f"].alias("f"), mine["l"].alias("l"), mine["r"].alias("r"), other["l"].alias("rl"), other["r"].alias("rr")))
+
+
+def overlapping(row: np.ndarray, f: np.ndarray, first: np.ndarray, last: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last of the intervals that the windows of ``enough`` functions cover, by row."""
+    if not len(row):
+        return row, first, last
+    size = np.int64(last.max()) + 2
+    base = (row.astype(np.int64) * 8 + f) * size
+    order = np.argsort(base + first, kind="stable")
+    start, end = (base + first)[order], (base + last + 1)[order]
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], start[1:] > reach[:-1]])  # a function's windows joined; those of another begin behind them
+    begins, ends = start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
+    place = lambda x: x // (8 * size) * size + x % size
+    at = np.concatenate([place(begins), place(ends)])
+    step = np.repeat([1, -1], len(begins))
+    order = np.lexsort((step, at))
+    at, depth = at[order], np.cumsum(step[order])
+    settled = np.append(at[1:] != at[:-1], True)
+    at, on = at[settled], depth[settled] >= enough
+    before = np.concatenate([[False], on[:-1]])
+    a, b = at[on & ~before], at[~on & before]
+    return a // size, a % size, b % size - 1
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,13 +362,28 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int, enough
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            ids_, refs, linked = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            for i, ((x, s, e, raw), (y, _, _, _)) in enumerate(zip(parsed(batch.column(3)), parsed(batch.column(4)), strict=True)):
-                in_x = [k for k in linked[i] if k["r"] < len(x) and k["rr"] < len(y)]  # of another text with the same id, if not
-                spans = overlapping(in_x, enough)
+            ids_, refs = (batch.column(k).to_pylist() for k in (0, 1))
+            texts_, links = list(zip(parsed(batch.column(3)), parsed(batch.column(4)), strict=True)), batch.column(2)
+            n = np.diff(links.offsets.to_numpy())
+            at = row_ids(n)
+            f, l, r, rl, rr = (x.to_numpy(zero_copy_only=False) for x in links.flatten().flatten())
+            size = np.array([(len(t[0][0]), len(t[1][0])) for t in texts_], np.int64).reshape(-1, 2)
+            inside = (r < size[at, 0]) & (rr < size[at, 1])  # else of another text with the same id
+            at, f, l, r, rl, rr = (x[inside] for x in (at, f, l, r, rl, rr))
+            sides = []
+            for low, high in ((l, r), (rl, rr)):
+                spans: list[list[tuple[int, int]]] = [[] for _ in texts_]
+                for i, p, q in zip(*(v.tolist() for v in overlapping(at, f, low, high, enough)), strict=True):
+                    spans[i].append((p, q))
+                sides.append(spans)
+            for i, ((x, s, e, raw), (y, _, _, _)) in enumerate(texts_):
+                mine, other = sides[0][i], sides[1][i]
+                if not mine or not other:
+                    continue
                 # An edit ends a key's words or moves an owner, and the passage goes on behind it.
-                got = passages(x, y, widened(spans[0], width + GAP, len(x)), widened(spans[1], width + GAP, len(y)), percent, width)
-                got += [g for g in passages(x, y, *spans, percent, width) if not any(h[0] <= g[0] and g[1] <= h[1] for h in got)]
+                got = passages(x, y, widened(mine, width + GAP, len(x)), widened(other, width + GAP, len(y)), percent, width)
+                if not all(any(h[0] <= p and q <= h[1] for h in got) for p, q in mine):
+                    got += [g for g in passages(x, y, mine, other, percent, width) if not any(h[0] <= g[0] and g[1] <= h[1] for h in got)]
                 if not got:
                     continue
                 chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -329,7 +403,7 @@ def linked_again(docs: DataFrame, kept: DataFrame, found: DataFrame, width: int)
     # One side of an owner always has room for a long key in such a run.
     kept = kept.where("(ahead & 7) = 0")
     long = linked(kept, (1, 3)).join(spans, "doc_id", "left")
-    low, high = F.greatest("link.l", F.col("c") - (width - 1)), F.least("link.r", F.col("c") + (width - 1))
+    low, high = F.greatest("l", F.col("c") - (width - 1)), F.least("r", F.col("c") + (width - 1))
     open_ = long.where(~F.coalesce(F.exists("spans", lambda x: (x["a"] <= low) & (x["b"] >= high)), F.lit(False))).select("owner", "key").distinct()
     members = keyed_windows(kept, (1, 3)).join(open_.hint("shuffle_hash"), ["owner", "key"], "left_semi")
     u = unpacked(F.col("place"), F.col("ahead"))
@@ -359,7 +433,7 @@ def linked_again(docs: DataFrame, kept: DataFrame, found: DataFrame, width: int)
     runs = session.stash(rows.mapInArrow(run, "run bigint, doc_id bigint, l int, r int, settled boolean"), "open-runs")
     lead = runs.groupBy("run").agg(F.min(F.struct("doc_id", "l", "r")).alias("first"), F.max(F.when(~F.col("settled"), F.col("doc_id"))).alias("last")).where("last > first.doc_id")
     again = runs.where("not settled").join(lead.hint("shuffle_hash"), "run").where("doc_id > first.doc_id")
-    link = F.struct(F.lit(0).alias("f"), "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr"))
+    link = F.struct(F.lit(0).alias("f"), F.col("l"), F.col("r"), F.col("first.l").alias("rl"), F.col("first.r").alias("rr"))
     return again.groupBy("doc_id", F.col("first.doc_id").alias("ref")).agg(F.collect_set(link).alias("links"))
 
 
@@ -373,7 +447,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     session.small_batches(spark)
     twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner", (F.col("n") > CROWD).alias("crowded"))
     kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner"), "shared-windows")
-    pairs = linked(kept).groupBy("doc_id", "ref").agg(F.collect_set("link").alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
+    pairs = linked(kept).groupBy("doc_id", "ref").agg(F.collect_set(F.struct("f", "l", "r", "rl", "rr")).alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
     width = min_words - SHINGLE_WORDS + 1
     found = session.stash(verified(docs, session.stash(pairs, "linked-documents"), percent, width, enough), "first-passages")
     again = session.stash(linked_again(docs, kept, found, width), "documents-linked-again")

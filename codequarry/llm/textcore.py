@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed buffers back; workers live through all stages of a job
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
