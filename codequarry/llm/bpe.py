@@ -133,7 +133,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: i
             cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             if keep_ids:
                 offs = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                cols.append(pa.ListArray.from_arrays(offs, pa.array(np.frombuffer(b"".join(kept), dtype="<u4").astype(np.int32))))
+                cols.append(pa.ListArray.from_arrays(offs, pa.array(np.frombuffer(b"".join(kept), dtype="<i4"))))
             yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
     return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, T.StructType(fields))

@@ -18,7 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     empty edge list has no ids.
     """
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a is not null and b is not null and a <> b")
-    e = session.stash(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = session.stash(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", small=True)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -28,7 +28,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("p"))
         small = small.select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).where("a <> b").distinct()
-        new = session.stash(small, "edges")
+        new = session.stash(small, "edges", small=True)
         # Done when every node hangs on one root that hangs on none.
         again = new.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).unionByName(new.select("a").join(new.select(F.col("b").alias("a")), "a", "left_semi").select("a", F.lit(0).cast("bigint").alias("n")).limit(1))
         e = new
@@ -36,4 +36,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return session.stash(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components")
+    return session.stash(e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components", small=True)

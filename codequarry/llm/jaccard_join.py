@@ -98,7 +98,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([*n[often].tolist(), rows], pa.int64())], ["h", "n"])
 
     named = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    named = session.stash(named, "named-shingles")
+    named = session.stash(named, "named-shingles", small=True)
     total = named.where("h is null").select(F.sum("n")).collect()[0][0] or 0
     rows = named.where(F.col("h").isNotNull() & (F.col("n") >= max(COMMON_LEAST, total * COMMON_SHARE / 2))).select("h").toArrow()
     return np.sort(rows.column("h").to_numpy().astype(np.int64).view(np.uint64)) if rows.num_rows else np.zeros(0, np.uint64)
@@ -264,7 +264,7 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     some = signed.where("doc_id is not null and n_shingles > 0")
     base = F.expr(f"cast(n_shingles - ((({percent} * n_shingles) + 99) div 100) + 1 as int)")
     member = session.stash(some.groupBy("doc_id", "n_shingles", "digest", *FLIPS).agg(F.max("first").alias("first")), "set-members")
-    classes = session.stash(member.groupBy("n_shingles", "digest").agg(F.min(F.when(F.col("first"), F.col("doc_id"))).alias("rep")), "set-classes")
+    classes = session.stash(member.groupBy("n_shingles", "digest").agg(F.min(F.when(F.col("first"), F.col("doc_id"))).alias("rep")), "set-classes", small=True)
     placed = member.join(classes, ["n_shingles", "digest"])
     # A document of several sets, from rows with one id, is filtered by the range of their sizes.
     per = placed.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.max(base).alias("base"), F.count("*").alias("sets"), F.min("rep").alias("rep"), *[F.min(f).alias(f) for f in FLIPS])
@@ -305,13 +305,13 @@ def similar_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = session.stash(candidate_pairs(open_, percent).join(first, ["a", "b"], "left_anti"), "candidates")
     # Of two components the most promising pair first; where it links them, the others needn't be looked at.
     best = pairs.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("met", "a", "b")).alias("m")).select("m.a", "m.b")
-    best = session.stash(best, "best-candidates")
+    best = session.stash(best, "best-candidates", small=True)
     second = session.stash(verify(best, docs, percent), "second-links")
     name = components(first.unionByName(second)).withColumnRenamed("component", "c")
     rest = pairs.join(best, ["a", "b"], "left_anti")
     for side, old in (("a", "ca"), ("b", "cb")):
         rest = rest.join(name.select(F.col("id").alias(side), F.col("c").alias(f"new_{side}")), side, "left").withColumn(old, F.coalesce(f"new_{side}", old))
-    third = session.stash(verify(session.stash(rest.where("ca <> cb").select("a", "b"), "other-candidates"), docs, percent), "third-links")
+    third = session.stash(verify(session.stash(rest.where("ca <> cb").select("a", "b"), "other-candidates", small=True), docs, percent), "third-links")
 
     copies = member.join(classes, ["n_shingles", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = components(first.unionByName(second).unionByName(third).unionByName(copies)).withColumnRenamed("id", "doc_id")

@@ -171,7 +171,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share
     """
     run, plan = dealt(docs, weights, share, most, block, shard_tokens, seed)
     inside = F.max(F.when((F.col("begin") < F.col("edge")) & (F.col("size") > 0), F.col("o")))
-    cut = session.stash(run.groupBy("k", "shard").agg(F.first("full").alias("full"), inside.alias("last")), "shard-cuts")
+    cut = session.stash(run.groupBy("k", "shard").agg(F.first("full").alias("full"), inside.alias("last")), "shard-cuts", small=True)
     small = cut.count() <= BROADCAST
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), order_of(F.col("doc_id"), F.col("text"), seed).alias("o"))
     rows = rows.join(F.broadcast(plan.select("k", "source_", "shards")), F.col("source").eqNullSafe(F.col("source_")), "left")

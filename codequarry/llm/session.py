@@ -15,7 +15,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 #: Rows and bytes of one Arrow batch handed to a Python worker.
 BATCH_ROWS = 2048
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Words of 64 bits of the filter of ids that scans test: 2 MB of bits.
 WORDS = 1 << 18
 
@@ -58,7 +58,7 @@ def id_filter(ids: DataFrame) -> DataFrame:
     """
     h = F.xxhash64("id")
     at = ids.where("id is not null").select(F.pmod(h, F.lit(WORDS)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")).alias("bit"))
-    return stash(at.groupBy("word").agg(F.bit_or("bit").alias("bits")), "id-filter")
+    return stash(at.groupBy("word").agg(F.bit_or("bit").alias("bits")), "id-filter", small=True)
 
 
 def split_by_ids(df: DataFrame, column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,14 +86,20 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The scan of the texts is filtered by ``ids`` first: what is shuffled are the
     texts asked for and few more.
     """
-    wanted = stash(ids.select("id").distinct(), "ids")
+    wanted = stash(ids.select("id").distinct(), "ids", small=True)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return split_by_ids(texts, F.col("id"), wanted)[0].join(wanted, "id", "left_semi")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``small`` tables, of ids or links and not of texts, go to a sixteenth of the
+    usual number of files.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))

@@ -450,7 +450,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     pairs = linked(kept).groupBy("doc_id", "ref").agg(F.collect_set(F.struct("f", "l", "r", "rl", "rr")).alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
     width = min_words - SHINGLE_WORDS + 1
     found = session.stash(verified(docs, session.stash(pairs, "linked-documents"), percent, width, enough), "first-passages")
-    again = session.stash(linked_again(docs, kept, found, width), "documents-linked-again")
+    again = session.stash(linked_again(docs, kept, found, width), "documents-linked-again", small=True)
     return found.unionByName(verified(docs, again, percent, width, 1)).distinct()
 
 
@@ -461,7 +461,7 @@ def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     carried along, whatever their names.
     """
     cuts = found.groupBy(F.col("doc_id").alias("id")).agg(F.sort_array(F.collect_set(F.struct("start_char", "end_char"))).alias("cuts"))
-    cuts = session.stash(cuts, "passages-of-documents")
+    cuts = session.stash(cuts, "passages-of-documents", small=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
     maybe, rest = session.split_by_ids(rows, F.col("id"), cuts)
     joined = maybe.join(cuts, "id", "left")
