@@ -47,16 +47,16 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
     # Ids with several rows: their rows are told apart by digest.
-    several = session.stash(whole.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
+    several = session.stash(whole.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated-ids", small=True)
     maybe, single = session.split_by_ids(whole, F.col("id"), several)
     maybe = maybe.join(several.withColumn("again", F.lit(True)), "id", "left").withColumn("digest", F.when(F.col("again"), digest))
-    first = session.stash(maybe.where("again").groupBy("id").agg(F.min("digest").alias("first")), "first-digests")
+    first = session.stash(maybe.where("again").groupBy("id").agg(F.min("digest").alias("first")), "first-digests", small=True)
     other = F.xxhash64("id", "digest").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
     key = F.when(F.col("digest").isNull() | (F.col("digest") == F.col("first")), F.col("id")).otherwise(other)
     maybe = maybe.join(first, "id", "left").select("row", "text", key.alias("id"), F.coalesce("again", F.lit(False)).alias("again"))
     keyed = maybe.unionByName(single.select("row", "text", "id", F.lit(False).alias("again")))
     same = jaccard_join.similar_documents(keyed.select(F.col("id").alias("doc_id"), "text"))
-    gone = session.stash(same.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies")
+    gone = session.stash(same.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies", small=True)
     maybe, kept = session.split_by_ids(keyed, F.col("id"), gone)
     left = kept.unionByName(maybe.join(gone, "id", "left_anti").select(*kept.columns))
     once = left.where("again").withColumn("n", F.row_number().over(W.partitionBy("id").orderBy(F.xxhash64("row")))).where("n = 1")
