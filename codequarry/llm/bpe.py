@@ -3,6 +3,7 @@
 A text is cut into chunks that overlap; each chunk is pre-tokenised alone, the
 boundary lists are stitched at a boundary on which both neighbours agree, and
 each pre-token is encoded by its ranks.  Decoding joins the tokens' raw bytes.
+Very long texts are dealt to many tasks in segments that meet the same way.
 
 Nulls and empty texts have no tokens.  Repeated rows give repeated results, a
 null ``doc_id`` stays null, other columns are not read.  A text without any
@@ -20,8 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import session
+
 #: Longest look-ahead, in characters, that a match ending before a chunk's end may have needed.
 GUARD = 4
 
@@ -108,16 +112,30 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 1 << 12, overlap: int = 1 << 8, keep_ids: bool = False) -> DataFrame:
+def result_fields(keep_ids: bool) -> list[T.StructField]:
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return fields + ([T.StructField("ids", T.ArrayType(T.IntegerType(), False))] if keep_ids else [])
+
+
+def result_batch(first: list[pa.Array], counts: list[int], ids_sha: list[str], decoded_sha: list[str], kept: list[bytes] | None, names: list[str]) -> pa.RecordBatch:
+    cols = [*first, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+    if kept is not None:
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        cols.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(kept), dtype="<i4"))))
+    return pa.RecordBatch.from_arrays(cols, names)
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = 1 << 12, overlap: int = 1 << 8, segment: int = 1 << 16, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int) of every text.
 
-    One pass over (doc_id, text) without a shuffle; memory follows the longest text.
+    Texts are cut into chunks of ``chunk`` characters.  Those of up to
+    ``segment`` characters are encoded where they are read, without a shuffle;
+    longer ones are dealt out in segments, so that many tasks share one text.
     """
-    if not 0 < overlap < chunk:
-        raise ValueError("overlap must be positive and below chunk")
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    if keep_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
+    if not 0 < overlap < chunk <= segment:
+        raise ValueError("overlap must be positive and below chunk, and chunk no longer than segment")
+    fields = result_fields(keep_ids)
+    names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -130,10 +148,88 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: i
                 b.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 if keep_ids:
                     kept.append(ids)
-            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if keep_ids:
-                offs = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                cols.append(pa.ListArray.from_arrays(offs, pa.array(np.frombuffer(b"".join(kept), dtype="<i4"))))
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
+            yield result_batch([batch.column(0)], counts, a, b, kept if keep_ids else None, names)
+
+    rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
+    long = F.coalesce(F.length("text"), F.lit(0)) > segment
+    short = rows.where(~long).mapInArrow(run, T.StructType(fields))
+    # Repeated rows are one job; its number is stored with its text.
+    jobs = session.stash(rows.where(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("job", F.monotonically_increasing_id()), "long-texts")
+    if jobs.isEmpty():
+        return short
+    encoded, left = in_segments(jobs.select("job", "text"), ranks_path, pattern, chunk, overlap, segment, keep_ids)
+    encoded = encoded.join(jobs.select("job", "doc_id", "copies"), "job")
+    rest = jobs.join(left, "job", "left_semi").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy").mapInArrow(run, T.StructType(fields))
+    return short.unionByName(encoded.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")).unionByName(rest)
+
+
+def in_segments(jobs: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int, segment: int, keep_ids: bool) -> tuple[DataFrame, DataFrame]:
+    """Results of the ``jobs`` (job, text), and the jobs whose segments don't meet.
+
+    Each segment and the overlap behind it is pre-tokenised alone.  Neighbours
+    meet at the first boundary in their overlap that both have; what lies
+    between two meeting points is encoded by itself, and the results of a text
+    are put together in order, as a stream.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = -(-len(text) // segment)
+                for k in range(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([job]), pa.array([k], pa.int32()), pa.array([k == n - 1]), pa.array([text[k * segment : (k + 1) * segment + overlap]])], ["job", "k", "last", "piece"])
+
+    def pre_tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        for batch in batches:
+            head, tail = [], []
+            for k, piece in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                # Only where no white space is behind: nothing before a boundary depends on what follows it then.
+                ends = [e for e in stitched_boundaries(c.pattern, piece, chunk, overlap) if not piece[e - 1].isspace()]
+                head.append([k * segment + e for e in ends if e <= overlap])
+                tail.append([k * segment + e for e in ends if segment < e <= len(piece) - GUARD])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, pa.list_(pa.int64())), pa.array(tail, pa.list_(pa.int64()))], ["job", "k", "last", "piece", "head", "tail"])
+
+    pieces = jobs.mapInArrow(deal, "job bigint, k int, last boolean, piece string").repartition("job", "k")
+    pieces = session.stash(pieces.mapInArrow(pre_tokenise, "job bigint, k int, last boolean, piece string, head array<bigint>, tail array<bigint>"), "segments")
+    ahead = pieces.select("job", (F.col("k") - 1).alias("k"), F.col("head").alias("next"))
+    met = session.stash(pieces.where("not last").select("job", "k", "tail").join(ahead, ["job", "k"]).select("job", "k", F.array_min(F.array_intersect("tail", "next")).alias("at")), "meeting-points", small=True)
+    left = met.where("at is null").select("job").distinct()
+    parts = pieces.select("job", "k", "piece").join(left, "job", "left_anti")
+    parts = parts.join(met.select("job", (F.col("k") + 1).alias("k"), F.col("at").alias("from")), ["job", "k"], "left").join(met.select("job", "k", F.col("at").alias("to")), ["job", "k"], "left")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        for batch in batches:
+            ids = []
+            for k, piece, a, b in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
+                start = k * segment
+                ids.append(c.encode(piece[(a or start) - start : None if b is None else b - start], chunk, overlap))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["job", "k", "ids"])
+
+    ids = parts.select("job", "k", "piece", "from", "to").mapInArrow(encode, "job bigint, k int, ids binary")
+    fields = [T.StructField("job", T.LongType()), *result_fields(keep_ids)[1:]]
+    names = [f.name for f in fields]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(ranks_path, pattern)
+        now, n, one, two, kept = None, 0, hashlib.sha256(), hashlib.sha256(), []
+
+        def done() -> pa.RecordBatch:
+            return result_batch([pa.array([now], pa.int64())], [n], [one.hexdigest()], [two.hexdigest()], kept if keep_ids else None, names)
+
+        for batch in batches:
+            for job, part in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if job != now:
+                    if now is not None:
+                        yield done()
+                    now, n, one, two, kept = job, 0, hashlib.sha256(), hashlib.sha256(), []
+                n += len(part) // 4
+                one.update(part)
+                two.update(c.decode(part))
+                if keep_ids:
+                    kept.append(part)
+        if now is not None:
+            yield done()
 
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").mapInArrow(run, T.StructType(fields))
+    return ids.repartition("job").sortWithinPartitions("job", "k").mapInArrow(gather, T.StructType(fields)), left

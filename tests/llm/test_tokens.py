@@ -37,6 +37,17 @@ def test_encode_documents_round_trip(spark, odd, none):
         bpe.encode_documents(odd, RANKS, P.PATTERN, chunk=10, overlap=10)
 
 
+def test_segments_of_long_texts_equal_the_library(spark):
+    c = bpe.codec(RANKS, P.PATTERN)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a", "b'", "'re", " ", "  ", "\n", "1", "é", "!!", "   \n ", "word", "漢字", "\U0001f600"]) for _ in range(rng.randint(300, 4000))) for _ in range(25)]
+    texts += ["x" * 3000, " " * 2000, "ab " * 900, "short", "", None, texts[0], texts[0]]
+    df = spark.createDataFrame([(None if i == 3 else min(i, 26), t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = sorted((len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest(), tuple(ids)) for t in (x or "" for x in texts) for ids in [c._core.encode_ordinary(t)])
+    got = bpe.encode_documents(df, RANKS, P.PATTERN, chunk=64, overlap=24, segment=200, keep_ids=True).collect()
+    assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], tuple(r["ids"])) for r in got) == want and sum(r["doc_id"] is None for r in got) == 1
+
+
 def library_counts(path, texts):
     from tokenizers import Tokenizer
 
