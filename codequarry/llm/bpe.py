@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import session
+from .textcore import trim
 
 #: Longest look-ahead, in characters, that a match ending before a chunk's end may have needed.
 GUARD = 4
@@ -140,6 +141,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for batch in batches:
+            trim()
             counts, a, b, kept = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = c.encode(text or "", chunk, overlap)

@@ -101,7 +101,7 @@ def stash(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
     if small:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     _WRITTEN.append((spark, path))
     # The shuffle files of what was written go when the driver's collector finds that nothing refers to them; the scheduler does until its next job.
     spark.range(1).collect()
