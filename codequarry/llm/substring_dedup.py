@@ -179,18 +179,17 @@ def unpacked(place, ahead) -> dict:
     return {"c": c.cast("int"), "l": (c - place.bitwiseAND((1 << 32) - 1)).cast("int"), "r": (c + F.shiftright(ahead, 3)).cast("int"), "f": ahead.bitwiseAND(7).cast("int")}
 
 
-def keyed_windows(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> DataFrame:
-    """owner, key (a kind and a hash), doc_id, place, ahead: a row for each key that a window has."""
-    half = lambda x, k: F.shiftrightunsigned(x, 32) if k % 2 == 0 else x.bitwiseAND((1 << 32) - 1)
-    keys = F.array(*[F.when(half(F.col("left" if k < 2 else "right"), k) != 0, half(F.col("left" if k < 2 else "right"), k).bitwiseOR(k << 32)) for k in kinds])
-    return kept.select("owner", *(["salt"] if "salt" in kept.columns else []), "doc_id", "place", "ahead", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
-
-
 LINK = ["owner", "key", "c", "doc_id", "ref", "f", "l", "r", "rl", "rr"]
 
 
-def group_links(a: np.ndarray, kinds: tuple[int, ...]) -> list[np.ndarray]:
-    """LINK columns of whole groups: rows of ``a`` are owner, salt, doc_id, place, ahead, left, right; columns are sorted by owner and salt."""
+def group_links(a: np.ndarray, kinds: tuple[int, ...], once: bool) -> list[np.ndarray]:
+    """LINK columns of whole groups: each window with the first document of its groups.
+
+    Rows of ``a`` are owner, salt, doc_id, place, ahead, left, right and whether
+    the owner is crowded; columns are sorted by owner and salt.  A crowded
+    owner's first windows are linked to themselves.  ``once`` keeps one of
+    several keys by which a window has the same first one.
+    """
     low = np.int64((1 << 32) - 1)
     part = np.cumsum(np.concatenate([[0], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])]))
     at, keys = [], []
@@ -204,15 +203,22 @@ def group_links(a: np.ndarray, kinds: tuple[int, ...]) -> list[np.ndarray]:
     group = (part[i] << 34) | key
     order = np.lexsort((a[3][i], a[2][i], group))
     i, key, group = i[order], key[order], group[order]
-    lead = np.maximum.accumulate(np.where(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)], np.arange(len(group)), 0))
-    found = a[2][i] > a[2][i[lead]]
-    i, j, key = i[found], i[lead][found], key[found]
+    begins = np.concatenate([[True], group[1:] != group[:-1]])[: len(group)]
+    j = i[np.maximum.accumulate(np.where(begins, np.arange(len(group)), 0))]
+    lone = begins & (a[7][i] == 1)
+    far = a[2][i] > a[2][j]
+    if once:
+        pair = np.flatnonzero(far)
+        far[:] = False
+        far[pair[np.unique(i[pair] * a.shape[1] + j[pair], return_index=True)[1]]] = True
+    found = far | lone
+    i, j, key = i[found], j[found], key[found]
     c, rc = a[3][i] >> 32, a[3][j] >> 32
     return [a[0][i], key, c, a[2][i], a[2][j], a[4][i] & 7, c - (a[3][i] & low), c + (a[4][i] >> 3), rc - (a[3][j] & low), rc + (a[4][j] >> 3)]
 
 
-def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> DataFrame:
-    """LINK: each window with the first document of each of its groups.
+def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS)), *, once: bool) -> DataFrame:
+    """LINK: each window with the first document of each of its groups; ``once`` as in ``group_links``.
 
     Windows of one owner come together in a task, which finds the groups; it
     holds TOGETHER windows or one owner's at a time.  Those of a crowded owner
@@ -220,7 +226,7 @@ def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> Dat
     part's first document, and these, SALTS at most, are linked to the first of
     all.
     """
-    dealt = kept.withColumn("salt", F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("bigint"))
+    salt = F.when(F.col("crowded"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("bigint")
     kinds_ = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +234,7 @@ def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> Dat
         n = 0
 
         def rows(a: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(group_links(a, kinds), kinds_, strict=True)], LINK)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(group_links(a, kinds, once), kinds_, strict=True)], LINK)
 
         for batch in batches:
             held.append(np.stack([x.to_numpy(zero_copy_only=False) for x in batch.columns]))
@@ -245,13 +251,12 @@ def linked(kept: DataFrame, kinds: tuple[int, ...] = tuple(range(KINDS))) -> Dat
             yield rows(np.concatenate(held, 1))
 
     schema = "owner bigint, key bigint, c int, doc_id bigint, ref bigint, f int, l int, r int, rl int, rr int"
-    sorted_ = dealt.select("owner", "salt", "doc_id", "place", "ahead", "left", "right").repartition("owner", "salt").sortWithinPartitions("owner", "salt")
-    found = sorted_.mapInArrow(run, schema)
-    first = F.min(F.struct("doc_id", "place", "ahead"))
-    parts = keyed_windows(dealt.where("crowded"), kinds).groupBy("owner", "key", "salt").agg(first.alias("m"))
-    parts = parts.withColumn("first", F.min("m").over(W.partitionBy("owner", "key"))).where("m.doc_id > first.doc_id")
-    mine, other = unpacked(F.col("m.place"), F.col("m.ahead")), unpacked(F.col("first.place"), F.col("first.ahead"))
-    return found.unionByName(parts.select("owner", "key", mine["c"].alias("c"), F.col("m.doc_id").alias("doc_id"), F.col("first.doc_id").alias("ref"), mine["f"].alias("f"), mine["l"].alias("l"), mine["r"].alias("r"), other["l"].alias("rl"), other["r"].alias("rr")))
+    dealt = kept.select("owner", salt.alias("salt"), "doc_id", "place", "ahead", "left", "right", F.col("crowded").cast("bigint").alias("crowded"))
+    found = session.stash(dealt.repartition("owner", "salt").sortWithinPartitions("owner", "salt").mapInArrow(run, schema), "group-links")
+    first = F.min(F.struct("doc_id", "c", "l", "r")).over(W.partitionBy("owner", "key"))
+    parts = found.where("doc_id = ref").withColumn("first", first).where("doc_id > first.doc_id")
+    parts = parts.select("owner", "key", "c", "doc_id", F.col("first.doc_id").alias("ref"), "f", "l", "r", F.col("first.l").alias("rl"), F.col("first.r").alias("rr"))
+    return found.where("doc_id > ref").unionByName(parts)
 
 
 def overlapping(row: np.ndarray, f: np.ndarray, first: np.ndarray, last: np.ndarray, enough: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -402,10 +407,13 @@ def linked_again(docs: DataFrame, kept: DataFrame, found: DataFrame, width: int)
     spans = found.join(once, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start_word").alias("a"), (F.col("end_word") - SHINGLE_WORDS).alias("b"))).alias("spans"))
     # One side of an owner always has room for a long key in such a run.
     kept = kept.where("(ahead & 7) = 0")
-    long = linked(kept, (1, 3)).join(spans, "doc_id", "left")
+    long = linked(kept, (1, 3), once=False).join(spans, "doc_id", "left")
     low, high = F.greatest("l", F.col("c") - (width - 1)), F.least("r", F.col("c") + (width - 1))
     open_ = long.where(~F.coalesce(F.exists("spans", lambda x: (x["a"] <= low) & (x["b"] >= high)), F.lit(False))).select("owner", "key").distinct()
-    members = keyed_windows(kept, (1, 3)).join(open_.hint("shuffle_hash"), ["owner", "key"], "left_semi")
+    half = lambda x: F.col(x).bitwiseAND((1 << 32) - 1)
+    keys = F.array(F.when(half("left") != 0, half("left").bitwiseOR(1 << 32)), F.when(half("right") != 0, half("right").bitwiseOR(3 << 32)))
+    members = kept.select("owner", "doc_id", "place", "ahead", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
+    members = members.join(open_.hint("shuffle_hash"), ["owner", "key"], "left_semi")
     u = unpacked(F.col("place"), F.col("ahead"))
     members = members.groupBy("doc_id").agg(F.collect_set(F.struct("owner", *[u[n].alias(n) for n in "clr"])).alias("at"))
     members = session.stash(members.join(spans, "doc_id", "left"), "open-windows")
@@ -447,7 +455,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, percent: int
     session.small_batches(spark)
     twice = windows(docs, min_words, functions, owners_only=True).groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner", (F.col("n") > CROWD).alias("crowded"))
     kept = session.stash(windows(docs, min_words, functions).join(twice.hint("shuffle_hash"), "owner"), "shared-windows")
-    pairs = linked(kept).groupBy("doc_id", "ref").agg(F.collect_set(F.struct("f", "l", "r", "rl", "rr")).alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
+    pairs = linked(kept, once=True).groupBy("doc_id", "ref").agg(F.collect_set(F.struct("f", "l", "r", "rl", "rr")).alias("links")).where(F.size(F.array_distinct(F.transform("links", lambda x: x["f"]))) >= enough)
     width = min_words - SHINGLE_WORDS + 1
     found = session.stash(verified(docs, session.stash(pairs, "linked-documents"), percent, width, enough), "first-passages")
     again = session.stash(linked_again(docs, kept, found, width), "documents-linked-again", small=True)
