@@ -90,13 +90,14 @@ def src_parse_html(spark, d):
     return parsers.html_outline(fx.table(spark, d, "pages"))
 
 
-@query()
+@query("SELECT 'm' || p_partkey || '.py' AS file, x.kind, CASE x.kind WHEN 'import' THEN 'os' WHEN 'class' THEN 'C' || p_size ELSE replace(p_name, ' ', '_') END AS name, CASE WHEN x.kind = 'method' THEN 'C' || p_size END AS class, CAST(x.line AS BIGINT) AS line, CAST(x.last AS BIGINT) AS end_line, CAST(x.complexity AS BIGINT) AS complexity, CAST(x.complexity AS BIGINT) AS params, CASE WHEN x.kind = 'method' THEN array_to_string(list_sort(list_distinct(['join', replace(p_name, ' ', '_')])), ',') ELSE '' END AS calls FROM part, (VALUES ('import', 1, 1, 0), ('class', 3, 7, 0), ('method', 4, 7, 3)) x(kind, line, last, complexity)")
 def src_parse_python(spark, d):
     """Symbols of generated modules, one a part, through the parser's map over batches."""
     p = fx.table(spark, d, "part")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     code = F.concat(F.lit("import os\n\nclass C"), F.col("p_size").cast("string"), F.lit(":\n    def "), name, F.lit("(self, a, b=1):\n        if a and b:\n            return os.path.join(a, b)\n        return "), name, F.lit("(a)\n"))
-    return parsers.python_symbols(p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), code.alias("content")))
+    rows = parsers.python_symbols(p.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("file"), code.alias("content")))
+    return rows.withColumn("calls", F.array_join("calls", ","))
 
 
 @query("SELECT sha, count(*) AS files, min(ts) AS ts FROM commit_files GROUP BY 1", ("commit_files",))
