@@ -12,6 +12,7 @@ from .functions import text as tx
 from .operators import graph, metrics, quality, resolve, search, sets
 from .plans.chain import Engine as ChainEngine
 from .plans.selector import Compiler
+from .sources import sinks
 from .streaming.stateful import Subscriptions
 
 
@@ -41,6 +42,23 @@ class Project:
     def health(self) -> Health:
         return Health(self)
 
+    @cached_property
+    def edit(self) -> Edit:
+        return Edit(self)
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self)
+
+    @cached_property
+    def viz(self) -> Viz:
+        return Viz(self)
+
+    def call_edges(self) -> DataFrame:
+        """Calls with name, file and language of both ends."""
+        side = lambda end, key: self.symbols.select(F.col("id").alias(key), F.col("name").alias(f"{end}_name"), F.col("file").alias(f"{end}_file"), F.col("language").alias(f"{end}_language"))
+        return self.calls.join(side("caller", "src"), "src").join(side("callee", "dst"), "dst")
+
     def need(self, name: str) -> DataFrame:
         table = getattr(self, name)
         if table is None:
@@ -91,6 +109,11 @@ class Nav(_Facade):
     def callees(self, name: str, depth: int = 1) -> DataFrame:
         return self._named(graph.reach(self.p.calls, self.p.ids_of(name), depth))
 
+    def xref(self, *names: str) -> DataFrame:
+        """(name, section, other, file): definitions, callers, callees and dependents of names."""
+        wanted = self.p.symbols.sparkSession.createDataFrame([(n,) for n in names], "name string")
+        return resolve.xref(self.p.symbols, self.p.call_edges(), wanted)
+
     def caller_tree(self, root: int, depth: int = 3) -> DataFrame:
         return graph.tree(graph.reverse(self.p.calls), root, depth)
 
@@ -162,12 +185,51 @@ class Health(_Facade):
         return metrics.stats(self.p.symbols)
 
     def constraints(self, rules: list[dict]) -> DataFrame:
-        f = self.p.symbols.select("id", "file")
-        e = self.p.calls.join(f.select(F.col("id").alias("src"), F.col("file").alias("caller_file")), "src").join(f.select(F.col("id").alias("dst"), F.col("file").alias("callee_file")), "dst")
-        return quality.violations(e, rules)
+        return quality.violations(self.p.call_edges(), rules)
 
     def similarity(self) -> DataFrame:
         return quality.clone_groups(self.p.need("files"))
 
     def sync(self, old: DataFrame, new: DataFrame) -> DataFrame:
         return sets.sync_diff(old, new)
+
+
+class Edit(_Facade):
+    def safe(self, edit: str) -> DataFrame:
+        """(file, downstream, verdict): how risky an edit of each file is, by its dependents, complexity and tests."""
+        e = self.p.call_edges().where("caller_file <> callee_file")
+        use = e.groupBy(F.col("callee_file").alias("file")).agg(F.count_distinct("caller_file").alias("downstream"), F.count_if(tx.is_test_path(F.col("caller_file"))).alias("tests"))
+        out = e.groupBy(F.col("caller_file").alias("file")).agg(F.count_distinct("callee_file").alias("deps"))
+        score = quality.complexity_score(F.count("*"), F.avg("complexity"), F.sum("complexity"))
+        s = self.p.symbols.groupBy("file").agg(tx.grade(score).alias("grade")).join(use, "file", "left").join(out, "file", "left").na.fill(0)
+        init = tx.basename(F.col("file")) == "__init__.py"
+        return s.select("file", "downstream", quality.safe_edit(F.col("downstream"), F.col("grade"), F.col("tests"), init, F.lit(edit), F.col("deps")).alias("verdict"))
+
+    def diff(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        """Changes of elements between two versions, with the category of each."""
+        d = quality.diff(old, new)
+        c, p = quality.classify_change(F.col("file"), F.col("kind"), F.col("change"), F.coalesce("new_name", "old_name"), F.lit(""))
+        return d.where("change <> 'unchanged'").withColumn("category", c).withColumn("confidence", p)
+
+
+class Index(_Facade):
+    def sync(self, old: DataFrame, new: DataFrame) -> DataFrame:
+        return sets.sync_diff(old, new)
+
+    def replace(self, edges: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
+        return sets.replace_edges(edges, fresh, files)
+
+    def audit(self) -> DataFrame:
+        return resolve.audit(self.p.call_edges(), self.p.symbols)
+
+
+class Viz(_Facade):
+    def imports(self, direction: str = "LR", max_edges: int = 200) -> str:
+        return sinks.mermaid(self.p.need("imports"), direction, max_edges)
+
+    def calls(self, direction: str = "LR", max_edges: int = 200) -> str:
+        e = self.p.call_edges().select(F.col("caller_name").alias("src"), F.col("callee_name").alias("dst"))
+        return sinks.mermaid(e, direction, max_edges)
+
+    def graph_json(self) -> DataFrame:
+        return sinks.graph_json(self.p.symbols.select("id", F.col("name").alias("label")), self.p.calls)

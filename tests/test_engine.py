@@ -37,6 +37,17 @@ def test_actions(project):
     assert project.health.constraints([{"id": "r", "from": "tests/**", "to": "src/*"}]).count() == 1
 
 
+def test_edit_index_and_drawings(project, spark):
+    assert {r["file"]: (r["downstream"], r["verdict"]) for r in project.edit.safe("rename").collect()} == {"src/a.py": (1, "caution"), "src/b.py": (0, "dangerous"), "tests/test_a.py": (0, "caution")}
+    schema = "file string, pos int, kind string, name string, signature string, body string, digest string, members array<string>"
+    old = spark.createDataFrame([("a.py", 1, "function", "f", "s", "b", "1", [])], schema)
+    new = spark.createDataFrame([("a.py", 1, "function", "f", "t", "b", "2", []), ("a.py", 2, "class", "C", "s", "b", "3", [])], schema)
+    assert sorted((r["change"], r["category"], r["confidence"]) for r in project.edit.diff(old, new).collect()) == [("added", "feature_addition", 0.8), ("signature_changed", "api_change", 0.85)]
+    assert project.viz.calls().split("\n")[0] == "flowchart LR" and '"start"' in project.viz.calls() and project.viz.imports("TB").count("-->") == 1
+    assert project.viz.graph_json().count() == 6 and project.index.audit().first()["total"] == 2
+    assert sorted((r["section"], r["other"]) for r in project.nav.xref("start").collect()) == [("callee", "run"), ("caller", "test_run"), ("definition", "start"), ("dependent", "src/a.py")]
+
+
 def test_actions_need_their_tables(project):
     bare = Project(project.symbols, project.calls)
     for action in (lambda: bare.search.content("x"), lambda: bare.search.select("*"), lambda: bare.health.deps()):
