@@ -2,8 +2,10 @@
 
 from itertools import product
 
+import duckdb
+
 from codequarry.operators import graph
-from codequarry.registry import QUERIES
+from codequarry.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -53,3 +55,25 @@ def test_every_symbol_has_a_place(spark):
     n = spark.read.parquet(f"{DIR}/part.parquet").count()
     assert n > 100
     assert sorted(r["place"] for r in QUERIES["rank_source_pref"](spark, DIR).collect()) == list(range(1, n + 1))
+
+
+def calls_of_one_ref_id(spark, path):
+    """Tables of two calls whose ids (caller * 1000003 + callee) are the same, and a third one."""
+    parts = [(k, name, "MEDIUM", 5, brand) for k, name, brand in [(5, "run", "Brand#1"), (1000010, "gone", "Brand#2"), (6, "walk", "Brand#3"), (7, "gone", "Brand#1"), (8, "gone", "Brand#2")]]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_type string, p_size int, p_brand string").write.parquet(f"{path}/part.parquet")
+    lines = [(1, 1, 5), (1, 2, 1000010), (2, 1, 6), (2, 2, 7), (3, 1, 5), (3, 2, 1000010), (4, 1, 8), (4, 2, 5)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def by_sql(d, name):
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    return con.sql(ORACLES[name])
+
+
+def test_second_pass_counts_calls_of_one_ref_id_once(spark, tmp_path):
+    d = calls_of_one_ref_id(spark, tmp_path)
+    got = QUERIES["res_second_pass"](spark, d).collect()
+    assert list(map(tuple, got)) == by_sql(d, "res_second_pass").fetchall() == [(3, 3, 0)]
