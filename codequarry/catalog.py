@@ -19,6 +19,7 @@ from .plans.selector import Compiler
 from .sources import fixtures as fx
 from .sources import parsers
 from .sources.fixtures import with_sql
+from .storage import cut
 from .streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -738,7 +739,7 @@ def _cascade_sql() -> str:
 @query(_cascade_sql(), ("call_edges",))
 def res_cascade(spark, d):
     """All calls against a project without the names that begin with blue, so that every rule has something to do."""
-    e, s = fx.call_edges(spark, d), fx.symbols(spark, d)
+    e, s = cut(fx.call_edges(spark, d)), fx.symbols(spark, d)
     s = s.where(~F.col("name").startswith("blue ") & ((F.col("id") % 40 == 0) | F.col("name").startswith("red ")))
     k = F.col("caller") % 7
     qualifier = F.when(k == 0, "self").when(k == 1, F.concat(F.lit("C"), (F.col("callee") % 97).cast("string"))).when(k == 2, "os.path").when(k == 3, "dict").when(k == 4, "pkg")

@@ -77,3 +77,10 @@ def test_second_pass_counts_calls_of_one_ref_id_once(spark, tmp_path):
     d = calls_of_one_ref_id(spark, tmp_path)
     got = QUERIES["res_second_pass"](spark, d).collect()
     assert list(map(tuple, got)) == by_sql(d, "res_second_pass").fetchall() == [(3, 3, 0)]
+
+
+def test_cascade_answers_for_every_target_of_a_ref_id(spark, tmp_path):
+    d = calls_of_one_ref_id(spark, tmp_path)
+    got = sorted(map(repr, map(tuple, QUERIES["res_cascade"](spark, d).select("ref_id", "resolution", "rule", "def_id", "def_file").collect())))
+    want = sorted(map(repr, by_sql(d, "res_cascade").fetchall()))
+    assert got == want and len(got) == 5
