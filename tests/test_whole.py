@@ -84,3 +84,9 @@ def test_cascade_answers_for_every_target_of_a_ref_id(spark, tmp_path):
     got = sorted(map(repr, map(tuple, QUERIES["res_cascade"](spark, d).select("ref_id", "resolution", "rule", "def_id", "def_file").collect())))
     want = sorted(map(repr, by_sql(d, "res_cascade").fetchall()))
     assert got == want and len(got) == 5
+
+
+def test_cascade_resolves_against_every_symbol(spark, tmp_path):
+    d = calls_of_one_ref_id(spark, tmp_path)
+    got = {tuple(r) for r in QUERIES["res_cascade"](spark, d).select("ref_id", "rule", "def_id").collect()}
+    assert (8 * 1000003 + 5, "class_method", 5) in got
