@@ -59,10 +59,24 @@ def with_sql(names: list[str], body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}{', ' if body.lstrip()[:2] == '+ ' else ' '}{body.lstrip().removeprefix('+ ')}"
 
 
+#: Rows of a table that a task gets at most, about, in steps that keep them in memory.
+ROWS_A_TASK = 400_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str, each: int = 1) -> int:
+    """Tasks for a step that makes ``each`` rows of a table's row: as many more as there are more rows, so that a task's share stays.
+
+    The rows are counted in the files' footers.  Spark's own number is fixed, and
+    partitions put together by their packed bytes may hold tens of millions of rows.
+    """
+    rows = table(spark, sf_dir, name).count() * each
+    return 1 + max(rows // ROWS_A_TASK, min(rows // 25_000, spark.sparkContext.defaultParallelism))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     t, five, ten = F.col("p_type"), F.col("p_size") % 5, F.col("p_size") % 10
@@ -77,10 +91,12 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("caller"))
+    n = tasks(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition(n, "l_orderkey")
+    lines = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("caller"))
     nxt = F.lead("caller").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
     e = lines.select("caller", nxt.alias("callee")).where("callee is not null and callee <> caller")
-    return e.groupBy("caller", "callee").agg(F.count("*").alias("weight"))
+    return e.repartition(n, "caller", "callee").groupBy("caller", "callee").agg(F.count("*").alias("weight"))
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +127,10 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), F.concat(F.lit("f"), (F.col("l_partkey") % 100).cast("string")).alias("file")).distinct()
-    return rows.join(o, F.col("sha") == F.col("o_orderkey")).select("sha", "file", "ts")
+    n = tasks(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.col("o_orderdate").alias("ts")).repartition(n, "sha")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sha"), (F.col("l_partkey") % 100).alias("f")).repartition(n, "sha").distinct()
+    return rows.join(o, "sha").select("sha", F.concat(F.lit("f"), F.col("f").cast("string")).alias("file"), "ts")
 
 
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Queries over whole graphs on tables where a bound would show."""
 
+import re
 from itertools import product
 
 import duckdb
+import pytest
 
 from codequarry.operators import graph
 from codequarry.registry import ORACLES, QUERIES
+from codequarry.sources import fixtures as fx
 
 DIR = "/root/testdata/sf0.001"
 
@@ -90,3 +93,11 @@ def test_cascade_resolves_against_every_symbol(spark, tmp_path):
     d = calls_of_one_ref_id(spark, tmp_path)
     got = {tuple(r) for r in QUERIES["res_cascade"](spark, d).select("ref_id", "rule", "def_id").collect()}
     assert (8 * 1000003 + 5, "class_method", 5) in got
+
+
+@pytest.mark.parametrize("name, table, each", [("agg_cochange_lift", "lineitem", 1)])
+def test_more_rows_are_dealt_to_more_tasks(spark, monkeypatch, name, table, each):
+    monkeypatch.setattr(fx, "ROWS_A_TASK", 100)
+    rows = spark.read.parquet(f"{DIR}/{table}.parquet").count()
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert str(1 + rows * each // 100) in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan)
