@@ -110,7 +110,7 @@ def src_git_log(spark, d):
 def snk_edges(spark, d):
     e = fx.call_edges(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"), F.lit("calls").alias("kind"), F.lit(0).alias("line"), F.col("caller_file").alias("file"), "weight")
     fresh = e.where(F.col("file").startswith("src/gen/")).withColumn("weight", -F.col("weight"))
-    return sets.replace_edges(e, fresh, fresh.select("file")).select("src", "dst", "file", "weight")
+    return sets.replace_edges(e, fresh, fresh.select("file"), fx.tasks(spark, d, "lineitem")).select("src", "dst", "file", "weight")
 
 
 @query("SELECT id, CAST(json_object('id', id, 'name', name, 'kind', kind) AS VARCHAR) AS row FROM symbols", ("symbols",))

@@ -30,10 +30,15 @@ def sync_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("path", status.alias("status"))
 
 
-def replace_edges(edges: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
-    """``edges`` with those of ``files`` replaced by ``fresh``; one row stays of each (src, dst, kind, line), the fresh one."""
+def replace_edges(edges: DataFrame, fresh: DataFrame, files: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``edges`` with those of ``files`` replaced by ``fresh``; one row stays of each (src, dst, kind, line), the fresh one.
+
+    ``tasks``: into how many the edges are dealt, for more of them than Spark's number suits.
+    """
     kept = edges.join(files.select("file").distinct(), "file", "left_anti").withColumn("age_", F.lit(1))
     both = kept.unionByName(fresh.withColumn("age_", F.lit(0)))
+    if tasks:
+        both = both.repartition(tasks, "src", "dst")
     return first_of(both, ["src", "dst", "kind", "line"], ["age_", "file"]).select(*edges.columns)
 
 
