@@ -201,7 +201,7 @@ _TOKENS = f"+ tok AS (SELECT id, w FROM (SELECT id, {_STRIP} AS w FROM (SELECT i
 
 @query(_TOKENS + " SELECT id, w AS token, count(*) AS n FROM tok GROUP BY 1, 2", ("symbols",))
 def prj_vectorize(spark, d):
-    return fx.symbols(spark, d).select("id", F.explode(tx.words(tx.symbol_text())).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+    return search.vectors(fx.symbols(spark, d).repartition(fx.tasks(spark, d, "part", 8), "id")).select("id", F.col("w").alias("token"), F.col("c").alias("n"))
 
 
 # -- joins -------------------------------------------------------------------

@@ -100,14 +100,21 @@ def fuzzy(symbols: DataFrame, query: str, most: int = 2) -> DataFrame:
     return symbols.select("id", "name", d.alias("distance")).where("distance >= 0")
 
 
+def vectors(symbols: DataFrame) -> DataFrame:
+    """(id, w, c): how often each token is in a symbol's text; rows of one id count as one symbol."""
+    return symbols.select("id", F.explode(words(symbol_text())).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
+
+
 def semantic(symbols: DataFrame, query: str) -> DataFrame:
-    """(id, score): cosine of token counts between a symbol's text and the query, positive ones."""
+    """(id, score): cosine of token counts between a symbol's text and the query, positive ones.
+
+    Norm and product come from one pass over a symbol's tokens.
+    """
     counts = symbols.sparkSession.range(1).select(F.explode(words(F.lit(query))).alias("w")).groupBy("w").agg(F.count("*").alias("q"))
-    t = symbols.select("id", F.explode(words(symbol_text())).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
-    norm = t.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     qn = counts.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    dot = t.join(F.broadcast(counts), "w").groupBy("id").agg(F.sum(F.col("c") * F.col("q")).alias("dot"))  # the words of one query
-    return dot.join(norm, "id").join(F.broadcast(qn)).select("id", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 4).alias("score")).where("score > 0")
+    t = vectors(symbols).join(F.broadcast(counts), "w", "left")  # the words of one query
+    s = t.groupBy("id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"), F.sum(F.col("c") * F.col("q")).alias("dot"))
+    return s.where("dot > 0").join(F.broadcast(qn)).select("id", F.round(F.col("dot") / (F.col("norm") * F.col("qn")), 4).alias("score")).where("score > 0")
 
 
 def prefix_terms(symbols: DataFrame, query: str) -> DataFrame:
