@@ -427,7 +427,7 @@ def rank_fuzzy(spark, d):
 
 @query(_TOKENS + ", c AS (SELECT id, w, count(*) AS c FROM tok GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(c * c)) AS norm FROM c GROUP BY 1) SELECT id, round(sum(c) / (any_value(norm) * sqrt(3.0)), 4) AS score FROM c JOIN n USING (id) WHERE w IN ('blue', 'gear', 'method') GROUP BY 1", ("symbols",))
 def rank_semantic(spark, d):
-    return search.semantic(fx.symbols(spark, d), "blue gear method")
+    return search.semantic(fx.symbols(spark, d).repartition(fx.tasks(spark, d, "part", 8), "id"), "blue gear method")
 
 
 @query("SELECT id, name, regexp_matches(name, '(^| )gi') AS by_word FROM symbols WHERE contains(name, 'gi')", ("symbols",))

@@ -95,7 +95,7 @@ def test_cascade_resolves_against_every_symbol(spark, tmp_path):
     assert (8 * 1000003 + 5, "class_method", 5) in got
 
 
-@pytest.mark.parametrize("name, table, each", [("agg_cochange_lift", "lineitem", 1), ("snk_edges", "lineitem", 1), ("prj_vectorize", "part", 8)])
+@pytest.mark.parametrize("name, table, each", [("agg_cochange_lift", "lineitem", 1), ("snk_edges", "lineitem", 1), ("prj_vectorize", "part", 8), ("rank_semantic", "part", 8)])
 def test_more_rows_are_dealt_to_more_tasks(spark, monkeypatch, name, table, each):
     monkeypatch.setattr(fx, "ROWS_A_TASK", 100)
     rows = spark.read.parquet(f"{DIR}/{table}.parquet").count()
